@@ -48,3 +48,53 @@ def word_count(c: Column) -> Column:
 
 def crc32_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def map_rows(df: DataFrame, per_batch, schema: str) -> DataFrame:
+    """``mapInArrow`` with a function from one Arrow batch to a dict of columns (or None for no rows)."""
+    arrow = _arrow_schema(df.sparkSession, schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        work = per_batch() if getattr(per_batch, "per_task", False) else per_batch
+        for batch in batches:
+            for part in slices(batch):
+                out = work(part)
+                if out is not None:
+                    yield pa.RecordBatch.from_arrays(
+                        [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(out.values(), arrow, strict=True)],
+                        schema=arrow,
+                    )
+
+    return df.mapInArrow(run, schema)
+
+
+def slices(batch, most_bytes: int = 16 << 20):
+    """Cuts a batch into slices of about ``most_bytes``, a row at least, so that long texts don't add up in memory."""
+    n = max(1, -(-batch.nbytes // most_bytes))
+    step = max(1, -(-batch.num_rows // n))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
+def _arrow_schema(spark: SparkSession, schema: str):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = to_arrow_schema(StructType.fromDDL(schema))
+    return pa.schema([pa.field(f.name, f.type) for f in out])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int, training: Column | None = None) -> DataFrame:
+    """At most ``most`` labelled rows of ``docs`` with their label as ``_label``: those of least id checksum.
+
+    The sample is a bounded number of ids, so it may be broadcast to the documents.
+    """
+    ids = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
+    if training is not None:
+        ids = ids.where(training)
+    ids = ids.groupBy("doc_id").agg(F.max(column).cast("int").alias("_label"))
+    ids = ids.orderBy(F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":s")).cast("binary")), "doc_id").limit(most)
+    return docs.join(F.broadcast(ids), "doc_id")

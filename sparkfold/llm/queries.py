@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sparkfold.llm import line_dedup, mixing
+from sparkfold.llm import line_dedup, mixing, mpeg_audio, quality_forest
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op8_mpeg_audio": mpeg_audio.op8_mpeg_audio,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_quality_forest": quality_forest.op10_quality_forest,
 }
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
