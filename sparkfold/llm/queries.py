@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sparkfold.llm import line_dedup, mixing, mpeg_audio, quality_forest
+from sparkfold.llm import line_dedup, mixing, mpeg_audio, near_dedup, quality_forest
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op8_mpeg_audio": mpeg_audio.op8_mpeg_audio,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality_forest": quality_forest.op10_quality_forest,
