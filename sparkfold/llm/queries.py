@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sparkfold.llm import clause_grammar, html_wrapper, line_dedup, mixing, mpeg_audio, near_dedup, quality_forest
+from sparkfold.llm import clause_grammar, html_wrapper, line_dedup, mixing, mpeg_audio, near_dedup, prefix_viterbi, quality_forest
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_toxicity": clause_grammar.op2_toxicity,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_html_wrapper": html_wrapper.op4_html_wrapper,
+    "op5_prefix_viterbi": prefix_viterbi.op5_prefix_viterbi,
     "op8_mpeg_audio": mpeg_audio.op8_mpeg_audio,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality_forest": quality_forest.op10_quality_forest,
