@@ -7,9 +7,11 @@
    ``K - o + 1`` rarest values. Values of one class only are counted, then dropped, which ends most classes here.
 3. Classes of short lists are paired. A long list (copies by the thousand) is never paired out: its members are
    compared with a hub. Those linked with it are one component. For the rest, shared full shingles are counted: with
-   a of A's and b of B's shingles held by any other member at all, a link needs min(a, b) >= t / (1 + t) * (|A| + |B|),
-   and Jaccard distances to the hub may differ by 1 - t at most. Only pairs that pass are looked at. All three rules
-   are exact, so no link is lost and none of a group's n * n pairs are made.
+   a of A's and b of B's shingles held by any other member at all, a link needs min(a, b) >= t / (1 + t) * (|A| + |B|).
+   With x and y their differences from the hub (shingles gained and lost) and p and q those of x and y that another
+   member may share, it needs 2 * min(p, q) >= |x| + |y| - (1 - t) / (1 + t) * (|A| + |B|); and Jaccard distances to
+   the hub may differ by 1 - t at most. Only pairs that pass are looked at. All three rules are exact, so no link is
+   lost and a group's n * n pairs are not made.
 4. The union sketch of a pair estimates its similarity and filters; the shingles of the texts themselves confirm it.
 5. Confirmed links become components by alternating large and small stars.
 
@@ -218,12 +220,13 @@ def _hub_links(members: DataFrame, reps: DataFrame, texts: DataFrame, similar: t
     own = stored(texts.join(members.select("id").distinct(), "id", "left_semi"), "texts")
     measured = stored(_similarity(members.where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")), own, None), "hubs")
     links = [measured.where(linked).select("a", "b")]
-    # (hub, id, far, part): distance to the hub, and the hub it is linked with by now (itself if none).
+    # (hub, id, far, lost, shared, part): distance to the hub, its shingles lost and kept, and the hub linked with by now.
     far = F.lit(1.0) - F.col("common") / F.col("joint")
     state = measured.groupBy(F.col("a").alias("hub"), F.col("b").alias("id")).agg(
-        F.min(far).alias("far"), F.min(F.when(linked, F.col("a"))).alias("part")
-    ).join(members, ["hub", "id"]).unionByName(members.where("hub = id").withColumns({"far": F.lit(0.0), "part": F.col("id")}), allowMissingColumns=True)
-    state = stored(state.select("hub", "id", "alone", "far", "part"), "state")
+        F.min(far).alias("far"), F.max(F.col("na") - F.col("common")).alias("lost"), F.min("common").alias("shared"), F.min(F.when(linked, F.col("a"))).alias("part")
+    ).join(members, ["hub", "id"])
+    kept = ("hub", "id", "alone", "far", "lost", "shared")
+    state = stored(state.select(*kept, "part"), "state")
     for _ in range(ROUNDS - 1):
         rest = state.where("part is null")
         nexts = rest.groupBy("hub").agg(F.min(F.struct("alone", "id")).alias("x"), F.count("*").alias("left")).where(F.col("left") > SHORT)
@@ -235,32 +238,34 @@ def _hub_links(members: DataFrame, reps: DataFrame, texts: DataFrame, similar: t
         joined = got.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("new"))
         ends = got.groupBy(F.col("a").alias("id")).agg(F.min("a").alias("new"))
         joined = joined.unionByName(ends).groupBy("id").agg(F.min("new").alias("new"))
-        state = stored(state.join(joined, "id", "left").select("hub", "id", "alone", "far", F.coalesce("part", "new").alias("part")), "state")
+        state = stored(state.join(joined, "id", "left").select(*kept, F.coalesce("part", "new").alias("part")), "state")
 
     # What no hub has joined: pairs of different parts that can still be similar, found by size within a hub's members.
     held = _shared_shingles(members.select("id").distinct(), own)
     sizes = reps.select("id", "n").join(held, "id").where(F.col("held") >= t * F.col("n"))
-    rows = stored(state.join(sizes, "id").withColumn("step", F.floor(F.log(F.col("n").cast("double")) / math.log(1.02)).cast("int")), "rest")
-    share = t / (1 + t)
-    wide = math.ceil(-math.log(t) / math.log(1.02)) + 1
+    share, wide, base = t / (1 + t), math.ceil(-math.log(t) / math.log(1.02)) + 1, math.log(1.02)
+    rows = state.join(sizes, "id").withColumn("step", F.floor(F.log(F.col("n").cast("double")) / base).cast("int"))
+    rows = rows.withColumn("apart", F.col("lost") + F.col("n") - F.col("shared")).withColumn("may", F.col("lost") + F.col("held") - F.col("shared"))
+    rows = stored(rows.select("hub", "id", "n", "held", "far", "apart", "may", "part", "step"), "rest")
     most = F.least(F.col("n") / t, F.col("held") / share - F.col("n"))
-    one = rows.where("part is null").select(
-        "hub", F.col("id").alias("a"), F.col("n").alias("na"), F.col("held").alias("ha"), F.col("far").alias("fa"), F.lit(None).cast("long").alias("pa"),
-        F.explode(F.sequence(F.col("step") - wide, F.greatest(F.col("step") - wide, F.floor(F.log(F.greatest(most, F.lit(1.0))) / math.log(1.02)).cast("int")))).alias("step"),
-    )
-    second = rows.where("part is not null and part <> hub").select(
-        "hub", F.col("id").alias("a"), F.col("n").alias("na"), F.col("held").alias("ha"), F.col("far").alias("fa"), F.col("part").alias("pa"),
-        F.explode(F.sequence(F.col("step") - wide, F.greatest(F.col("step") - wide, F.floor(F.log(F.greatest(most, F.lit(1.0))) / math.log(1.02)).cast("int")))).alias("step"),
-    )
-    other = rows.select("hub", "step", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("held").alias("hb"), F.col("far").alias("fb"), F.col("part").alias("pb"))
+    steps = F.sequence(F.col("step") - wide, F.greatest(F.col("step") - wide, F.floor(F.log(F.greatest(most, F.lit(1.0))) / base).cast("int")))
+
+    def side(x: str) -> list:
+        return ["hub", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "held", "far", "apart", "may", "part")]]
+
+    # One side in no hub's part of the component, or in another hub's than the first.
+    one = rows.where("part is null or part <> hub").select(*side("a"), F.explode(steps).alias("step"))
+    other = rows.select(*side("b"), "step")
+    both = F.col("a_n") + F.col("b_n")
     can = (
-        (F.col("a") != F.col("b"))
-        & (F.col("pa").isNull() | F.col("pb").isNull() | (F.col("pa") != F.col("pb")))
-        & (F.least("ha", "hb") >= share * (F.col("na") + F.col("nb")) - 1e-6)
-        & (F.col("na") >= t * F.col("nb") - 1e-6) & (F.col("nb") >= t * F.col("na") - 1e-6)
-        & (F.abs(F.col("fa") - F.col("fb")) <= 1 - t + 1e-6)
+        (F.col("a_id") != F.col("b_id"))
+        & (F.col("a_part").isNull() | F.col("b_part").isNull() | (F.col("a_part") != F.col("b_part")))
+        & (F.least("a_held", "b_held") >= share * both - 1e-6)
+        & (F.col("a_n") >= t * F.col("b_n") - 1e-6) & (F.col("b_n") >= t * F.col("a_n") - 1e-6)
+        & (F.abs(F.col("a_far") - F.col("b_far")) <= 1 - t + 1e-6)
+        & (2 * F.least("a_may", "b_may") >= F.col("a_apart") + F.col("b_apart") - (1 - t) / (1 + t) * both - 1e-6)
     )
-    tested = one.unionByName(second).join(other, ["hub", "step"]).where(can).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    tested = one.join(other, ["hub", "step"]).where(can).select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")).distinct()
     links.append(_similarity(_estimated(tested, reps, K, t), own, similar).select("a", "b"))
     return links
 
