@@ -1 +1,283 @@
-"""Operators."""
+"""Physical forms of a contraction, all built from linear BIGINT keys.
+
+Labels of a role fold into one key: the shared labels into the join key ``j``, D's labels into the output key ``o``
+(row-major position), so that a shuffle moves two keys and a value whatever the rank. Extents of 1 drop out by
+themselves.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sparkfold.functions import Num, element, scaled
+from sparkfold.meta import DType, LayoutSpec, Op, product
+from sparkfold.problem import Problem
+from sparkfold.sources import Tensor, axis, grid
+
+#: A side is broadcast on request or by rule only if its extents bound it to this many bytes.
+BROADCAST_BYTES = 32 << 20
+
+
+def linear(labels: Sequence[int], extent: dict[int, int], at: dict[int, Column], within: Sequence[int] | None = None) -> Column:
+    """Row-major position over ``within`` of the given labels' coordinates."""
+    within = list(within if within is not None else labels)
+    strides = dict(zip(within, LayoutSpec.row_major([extent[x] for x in within]).strides, strict=True))
+    out = F.lit(0).cast("long")
+    for x in labels:
+        if extent[x] != 1:
+            out = out + (at[x] if strides[x] == 1 else at[x] * F.lit(strides[x]).cast("long"))
+    return out
+
+
+def labelled(t: Tensor, labels: Sequence[int], op: Op) -> tuple[DataFrame, dict[int, Column]]:
+    """The tensor's rows on the diagonals its labels ask for, as columns ``l<i>`` by distinct label and re, im."""
+    distinct = list(dict.fromkeys(labels))
+    df = t.df
+    for i, x in enumerate(labels):
+        first = labels.index(x)
+        if first != i:
+            df = df.where(F.col(axis(first)) == F.col(axis(i)))
+    v = element(F.col("v"), t.dtype)
+    v = v.conj() if op is Op.CONJUGATE else v
+    cols = [F.col(axis(labels.index(x))).alias(f"l{i}") for i, x in enumerate(distinct)]
+    cols += [v.re.alias("re")] + ([v.im.alias("im")] if v.im is not None else [])
+    return df.select(*cols), {x: F.col(f"l{i}") for i, x in enumerate(distinct)}
+
+
+def num(dtype: DType, prefix: str = "") -> Num:
+    return Num(F.col(prefix + "re"), F.col(prefix + "im") if dtype.complex else None)
+
+
+def operands(p: Problem, a: Tensor, b: Tensor, reduce_alone: bool = True) -> tuple[DataFrame, DataFrame]:
+    shared, out = [*p.h, *p.k], p.output_labels
+    own_b = [x for x in out if x not in p.labels.a]
+    own_a = [x for x in out if x in p.labels.a]
+    strides = dict(zip(out, LayoutSpec.row_major([p.extent[x] for x in out]).strides, strict=True))
+
+    def keys(t, labels, op, mine, alone, prefix):
+        rows, at = labelled(t, labels, op)
+        o = F.lit(0).cast("long")
+        for x in mine:
+            if p.extent[x] != 1:
+                o = o + at[x] * F.lit(strides[x]).cast("long")
+        parts = ("re", "im")[: 1 + p.dtype.complex]
+        rows = rows.select(linear(shared, p.extent, at).alias("j"), o.alias("o"), *[F.col(c) for c in parts])
+        if alone and reduce_alone:
+            rows = rows.groupBy("j", "o").agg(*[F.sum(c).alias(c) for c in parts])
+        return rows.select(*[F.col(c).alias(prefix + c) for c in ("j", "o", *parts)])
+
+    return keys(a, p.labels.a, p.a.op, own_a, p.alone_a, "a"), keys(b, p.labels.b, p.b.op, own_b, p.alone_b, "b")
+
+
+def _bytes(dims: Sequence[int], dtype: DType) -> int:
+    return product(dims) * (8 * len(dims) + (16 if dtype.complex else 8))
+
+
+def paired(p: Problem, a: DataFrame, b: DataFrame, orient: str) -> DataFrame:
+    """The join of both sides; ``orient`` ab builds on b, ba on a, rule leaves it to Catalyst."""
+    if orient == "ab" and _bytes(p.b.dims, p.dtype) <= BROADCAST_BYTES:
+        b = F.broadcast(b)
+    if orient == "ba" and _bytes(p.a.dims, p.dtype) <= BROADCAST_BYTES:
+        a = F.broadcast(a)
+    if not (p.h or p.k):
+        return a.drop("aj").crossJoin(b.drop("bj"))
+    return a.join(b, F.col("aj") == F.col("bj")).drop("bj")
+
+
+def join_agg(p: Problem, a: Tensor, b: Tensor, orient: str = "rule", deterministic: bool = False, strict: bool = False) -> DataFrame:
+    """(o, re, im): equi-join on the shared labels, then one sum per output element."""
+    left, right = operands(p, a, b, reduce_alone=not strict)
+    joined = paired(p, left, right, orient)
+    x = num(p.dtype, "a") * num(p.dtype, "b")
+    j = F.col("aj") if p.h or p.k else F.lit(0).cast("long")
+    parts = [x.re.alias("re")] + ([x.im.alias("im")] if x.im is not None else [])
+    terms = joined.select((F.col("ao") + F.col("bo")).alias("o"), j.alias("j"), *parts)
+    return summed(terms, p.dtype, deterministic) if p.k or strict and (p.alone_a or p.alone_b) else terms.drop("j")
+
+
+def summed(terms: DataFrame, dtype: DType, deterministic: bool) -> DataFrame:
+    parts = ("re", "im")[: 1 + dtype.complex]
+    if not deterministic:
+        return terms.groupBy("o").agg(*[F.sum(c).alias(c) for c in parts])
+    # Terms in the order of the contracted key: the same bits under any partitioning.
+    ordered = terms.groupBy("o").agg(F.array_sort(F.collect_list(F.struct("j", *parts))).alias("t"))
+
+    def total(part: str) -> Column:
+        return F.aggregate("t", F.lit(0.0), lambda s, x: s + x[part])
+
+    return ordered.select("o", *[total(c).alias(c) for c in parts])
+
+
+def elementwise(p: Problem, a: Tensor, b: Tensor, orient: str = "rule") -> DataFrame:
+    """(o, re, im) of a problem with batch labels only: a join and a product, no aggregate."""
+    left, right = operands(p, a, b)
+    joined = paired(p, left, right, orient)
+    x = num(p.dtype, "a") * num(p.dtype, "b")
+    return joined.select((F.col("ao") + F.col("bo")).alias("o"), x.re.alias("re"), *([x.im.alias("im")] if x.im is not None else []))
+
+
+TileFunction = Callable[..., object]
+
+
+def multiply(a, b):
+    return a @ b
+
+
+def multiply_3m(a, b):
+    """Complex product by three real ones; its error bound is weaker."""
+    x, y = a.real @ b.real, a.imag @ b.imag
+    return (x - y) + 1j * ((a.real + a.imag) @ (b.real + b.imag) - x - y)
+
+
+def block_gemm(p: Problem, a: Tensor, b: Tensor, size: int, tile: TileFunction = multiply, deterministic: bool = False) -> DataFrame:
+    """(o, re, im) by tiles: rows are gathered into size x size tiles, tiles joined on batch and contraction block, and
+    multiplied in Arrow batches. A tile is bounded by its size, so no task holds more than a few."""
+    dtype = p.dtype
+    strides = dict(zip(p.output_labels, LayoutSpec.row_major([p.extent[x] for x in p.output_labels]).strides, strict=True))
+
+    def side(t, labels, op, role, alone, row_first):
+        rows, at = labelled(t, labels, op)
+        parts = ("re", "im")[: 1 + dtype.complex]
+        own = linear(role, p.extent, at)
+        rows = rows.select(linear(p.h, p.extent, at).alias("h"), own.alias("r"), linear(p.k, p.extent, at).alias("k"), *parts)
+        if alone:
+            rows = rows.groupBy("h", "r", "k").agg(*[F.sum(c).alias(c) for c in parts])
+        x = "a" if row_first else "b"
+        r, k = (F.col("r") % size).cast("int"), (F.col("k") % size).cast("int")
+        cell = (r * size + k) if row_first else (k * size + r)
+        gathered = rows.groupBy("h", F.floor(F.col("r") / size).alias(f"{x}r"), F.floor(F.col("k") / size).alias("kb")).agg(
+            F.collect_list(cell).alias(f"{x}i"), *[F.collect_list(c).alias(x + c) for c in parts]
+        )
+        return gathered
+
+    left = side(a, p.labels.a, p.a.op, p.m, p.alone_a, True)
+    right = side(b, p.labels.b, p.b.op, p.n, p.alone_b, False)
+    joined = left.join(right, ["h", "kb"])
+    schema = "h long, m long, n long, j long, re double" + (", im double" if dtype.complex else "")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def dense(row, x):
+            out = np.zeros(size * size, np.complex128 if dtype.complex else np.float64)
+            v = np.array(row[x + "re"], float)
+            out[np.array(row[x + "i"], np.int64)] = v + 1j * np.array(row[x + "im"], float) if dtype.complex else v
+            return out.reshape(size, size)
+
+        cells = np.indices((size, size)).reshape(2, -1)
+        for batch in batches:
+            for row in batch.to_pylist():
+                got = tile(dense(row, "a"), dense(row, "b")).reshape(-1)
+                cols = [np.full(size * size, row["h"]), row["ar"] * size + cells[0], row["br"] * size + cells[1], np.full(size * size, row["kb"]), got.real.astype(float)]
+                cols += [got.imag.astype(float)] if dtype.complex else []
+                names = ["h", "m", "n", "j", "re", "im"][: len(cols)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names)
+
+    tiles = joined.mapInArrow(run, schema).where((F.col("m") < p.size(p.m)) & (F.col("n") < p.size(p.n)))
+
+    def spread(col: str, labels: Sequence[int]) -> Column:
+        out = F.lit(0).cast("long")
+        own = LayoutSpec.row_major([p.extent[x] for x in labels]).strides
+        for x, s in zip(labels, own, strict=True):
+            out = out + F.pmod(F.floor(F.col(col) / s), F.lit(p.extent[x])).cast("long") * F.lit(strides[x]).cast("long")
+        return out
+
+    o = spread("h", p.h) + spread("m", p.m) + spread("n", p.n)
+    terms = tiles.select(o.alias("o"), "j", *[F.col(c) for c in ("re", "im")[: 1 + dtype.complex]])
+    return summed(terms, dtype, deterministic)
+
+
+def complete(p: Problem, products: DataFrame | None, alpha: complex, beta: complex, old: Tensor | None, old_labels: Sequence[int], always_full: bool) -> Tensor:
+    """op_D(alpha * products + beta * op_C(old)) over D's whole grid.
+
+    ``products`` None: they are not to be read (alpha 0 or nothing to contract). ``old`` None: beta's operand is not to
+    be read. ``always_full``: every output element has a product.
+    """
+    dtype, out = p.dtype, p.output_labels
+    dims = [p.extent[x] for x in out]
+    rows = None
+    if products is not None:
+        x = scaled(num(dtype), alpha, dtype)
+        rows = products.select("o", x.re.alias("pre"), *([x.im.alias("pim")] if x.im is not None else []))
+    if old is not None:
+        held, at = labelled(old, old_labels, p.c.op)
+        y = scaled(num(dtype), beta, dtype)
+        base = held.select(linear(out, p.extent, at).alias("o"), y.re.alias("cre"), *([y.im.alias("cim")] if y.im is not None else []))
+        if rows is None:
+            rows = base
+        elif old.dense:
+            rows = base.join(rows, "o", "left")
+        else:
+            rows = base.join(rows, "o", "full")
+    full = old is not None and old.dense or old is None and products is not None and always_full
+    if rows is None or not full:
+        cells = products.sparkSession if products is not None else old.df.sparkSession if old is not None else None
+        cells = (cells or _session()).range(product(dims)).select(F.col("id").alias("o"))
+        rows = cells if rows is None else cells.join(rows, "o", "left")
+    zero = F.lit(0.0)
+
+    def total(c: str) -> Column:
+        terms = [F.coalesce(F.col(s + c), zero) for s, there in (("p", products), ("c", old)) if there is not None]
+        return sum(terms[1:], terms[0]) if terms else zero
+
+    x = Num(total("re"), total("im") if dtype.complex else None)
+    x = x.conj() if p.d.op is Op.CONJUGATE else x
+    strides = dict(zip(out, LayoutSpec.row_major(dims).strides, strict=True))
+    at = {label: F.pmod(F.floor(F.col("o") / strides[label]), F.lit(max(p.extent[label], 1))).cast("long") for label in out}
+    cols = [at[label].alias(axis(i)) for i, label in enumerate(p.labels.d)]
+    return Tensor(rows.select(*cols, x.pack(dtype).alias("v")), tuple(p.extent[x] for x in p.labels.d), dtype, not p.output_diagonal)
+
+
+def overlay(new: Tensor, old: Tensor) -> Tensor:
+    """``old`` with the elements that ``new`` has written."""
+    axes = [axis(i) for i in range(old.rank)]
+    rest = old.df.join(new.df.select(*axes), axes, "left_anti") if axes else old.df.limit(0)
+    return Tensor(new.df.unionByName(rest.select(*axes, "v")), old.dims, old.dtype, old.dense)
+
+
+def _session():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.active()
+
+
+def permute(t: Tensor, perm: Sequence[int]) -> Tensor:
+    """Axis i of the result is axis perm[i] of the tensor."""
+    from sparkfold import errors as E
+
+    if sorted(perm) != list(range(t.rank)):
+        raise E.NotAPermutation(str(tuple(perm)))
+    cols = [F.col(axis(p)).alias(axis(i)) for i, p in enumerate(perm)]
+    return Tensor(t.df.select(*cols, "v"), tuple(t.dims[p] for p in perm), t.dtype, t.dense)
+
+
+def add(alpha: complex, a: Tensor, beta: complex, c: Tensor) -> Tensor:
+    """alpha * A + beta * C; a zero factor's operand is not read."""
+    from sparkfold import errors as E
+
+    if a.dims != c.dims:
+        raise E.ExtentMismatch(f"{a.dims} and {c.dims}")
+    if a.dtype != c.dtype:
+        raise E.DtypeMismatch(f"{a.dtype} and {c.dtype}")
+    axes, dtype = [axis(i) for i in range(a.rank)], a.dtype
+
+    def one(t: Tensor, x: complex) -> Tensor:
+        return t.replace(df=t.df.select(*axes, scaled(element(F.col("v"), dtype), x, dtype).pack(dtype).alias("v")))
+
+    if beta == 0 or alpha == 0:
+        if beta == 0 and alpha != 0:
+            return one(a, alpha)
+        if alpha == 0 and beta != 0:
+            return one(c, beta)
+        zero = Num(F.lit(0.0), F.lit(0.0) if dtype.complex else None).pack(dtype)
+        return Tensor(grid(a.df.sparkSession, a.dims).select(*axes, zero.alias("v")), a.dims, dtype, True)
+    both = a.df.select(*axes, F.col("v").alias("va")).join(c.df.select(*axes, F.col("v").alias("vc")), axes, "inner" if a.dense and c.dense else "full") if axes else a.df.select(F.col("v").alias("va")).crossJoin(c.df.select(F.col("v").alias("vc")))
+
+    def side(col: str, x: complex) -> Num:
+        return scaled(element(F.col(col), dtype).map(lambda v: F.coalesce(v, F.lit(0.0))), x, dtype)
+
+    return Tensor(both.select(*axes, (side("va", alpha) + side("vc", beta)).pack(dtype).alias("v")), a.dims, dtype, a.dense or c.dense)

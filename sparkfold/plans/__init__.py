@@ -1 +1,330 @@
-"""Plans."""
+"""Plans: a strategy chosen once for a problem, run lazily on any operands of its description."""
+
+from __future__ import annotations
+
+from abc import ABC, abstractmethod
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
+
+from sparkfold import errors as E
+from sparkfold import operators as X
+from sparkfold.meta import CSpec, DType, Labels, Op, OperandSpec
+from sparkfold.problem import Problem
+from sparkfold.sources import Tensor
+
+STRATEGIES = ("elementwise", "join_agg", "block_gemm")
+#: Multiply-adds from which dense operands go to tiles when the choice is left to the plan.
+BLOCK_MACS = 512**3
+
+
+@dataclass(frozen=True)
+class PlanConfig:
+    """What is asked for is honoured or refused."""
+
+    strategy: str = "auto"
+    block_size: int = 64
+    complex_method: str = "4m"
+    deterministic: bool = False
+    strict_nonfinite: bool = False
+    orient: str = "rule"
+    partitions: int | None = None
+    no_materialize: bool = False
+
+    def validate(self) -> None:
+        if self.strategy != "auto" and self.strategy.split(".")[0] not in STRATEGIES:
+            raise E.OptionError(f"strategy {self.strategy!r}")
+        if self.complex_method not in ("4m", "3m"):
+            raise E.OptionError(f"complex_method {self.complex_method!r}")
+        if self.orient not in ("ab", "ba", "rule"):
+            raise E.OptionError(f"orient {self.orient!r}")
+        for name in ("block_size", "partitions"):
+            x = getattr(self, name)
+            if x is not None and x < 1:
+                raise E.NotPositive(f"{name} = {x}")
+
+
+@dataclass(frozen=True)
+class PlanReport:
+    algorithm: str
+    m: int
+    n: int
+    k: int
+    batch: int
+    macs: int
+    flops: int
+    est_rows: int
+    partitions: int | None
+    materialized: bool
+    rewrites: tuple[str, ...]
+
+
+@dataclass
+class TileCatalog:
+    """Tile functions by name; a caller's own catalog may hold more than the built-in ones."""
+
+    tiles: dict[str, X.TileFunction] = field(default_factory=lambda: {"4m": X.multiply, "3m": X.multiply_3m})
+
+    def admit(self, name: str, f: X.TileFunction) -> TileCatalog:
+        if name in self.tiles:
+            raise E.SelectError(f"{name!r} is taken")
+        return TileCatalog(self.tiles | {name: f})
+
+    def union(self, other: TileCatalog) -> TileCatalog:
+        return TileCatalog(self.tiles | other.tiles)
+
+
+def candidates(p: Problem) -> list[str]:
+    """Strategies that can do the problem, the rule's choice first."""
+    dtype = p.dtype.value
+    if p.all_batch:
+        return [f"elementwise.{dtype}", f"join_agg.{dtype}"]
+    tiled = [f"block_gemm.{dtype}"] if p.k else []
+    join = [f"join_agg.{dtype}"]
+    return tiled + join if tiled and p.macs >= BLOCK_MACS else join + tiled
+
+
+def list_strategies() -> list[str]:
+    return [f"{s}.{d.value}" for s in STRATEGIES for d in DType]
+
+
+Selector = Callable[[Problem, list[str]], str]
+
+
+class Plan:
+    def __init__(self, problem: Problem, config: PlanConfig | None = None, selector: Selector | None = None, catalog: TileCatalog | None = None, dtype: DType | str | None = None):
+        self.problem, self.config, self.catalog = problem, config or PlanConfig(), catalog or TileCatalog()
+        self.config.validate()
+        if dtype is not None and DType.of(dtype) != problem.dtype:
+            raise E.DtypeMismatch(f"{dtype} for {problem.dtype.value}")
+        able = candidates(problem)
+        if selector is not None:
+            self.algorithm = selector(problem, list(able))
+            if self.algorithm not in able:
+                raise E.SelectError(f"{self.algorithm!r} is not one of {able}")
+        elif self.config.strategy == "auto":
+            dense = [x for x in able if not (self.config.strict_nonfinite and x.startswith("block_gemm"))]
+            self.algorithm = dense[0]
+        else:
+            want = self.config.strategy.split(".")[0]
+            found = [x for x in able if x.split(".")[0] == want]
+            if not found or "." in self.config.strategy and self.config.strategy not in found:
+                raise E.StrategyRefused(f"{self.config.strategy} for this problem; it can be {able}")
+            self.algorithm = found[0]
+        if self.config.complex_method == "3m" and (not self.algorithm.startswith("block_gemm") or not problem.dtype.complex):
+            raise E.StrategyRefused("3m is a method of complex tiles")
+
+    @property
+    def report(self) -> PlanReport:
+        p = self.problem
+        rewrites = []
+        if (p.alone_a or p.alone_b) and not self.config.strict_nonfinite:
+            rewrites.append("isolated labels summed before the join")
+        if any(x == 1 for _, x in p.extents):
+            rewrites.append("unit extents dropped")
+        rewrites.append("labels folded into linear keys")
+        if any(len(set(x)) != len(x) for x in (p.labels.a, p.labels.b)):
+            rewrites.append("diagonals filtered at the scan")
+        if not p.k and not p.all_batch:
+            rewrites.append("no aggregate: outer product")
+        if p.all_batch:
+            rewrites.append("no aggregate: elementwise")
+        alone = p.size(p.alone_a) * p.size(p.alone_b)
+        return PlanReport(self.algorithm, p.size(p.m), p.size(p.n), p.size(p.k) * alone, p.size(p.h), p.macs, p.macs * p.dtype.flops, p.size(p.output_labels), self.config.partitions, False, tuple(rewrites))
+
+    # --- execution
+
+    def _bind(self, t: Tensor, spec: OperandSpec, name: str) -> None:
+        if t.dims != spec.dims:
+            raise E.Mismatch(f"{name} is {t.dims}, planned {spec.dims}")
+        if t.dtype != self.problem.dtype:
+            raise E.DtypeMismatch(f"{name} is {t.dtype.value}, planned {self.problem.dtype.value}")
+
+    def _products(self, a: Tensor, b: Tensor):
+        p, c = self.problem, self.config
+        kind = self.algorithm.split(".")[0]
+        if kind == "elementwise":
+            out = X.elementwise(p, a, b, c.orient)
+        elif kind == "block_gemm":
+            out = X.block_gemm(p, a, b, c.block_size, self.catalog.tiles[c.complex_method], c.deterministic)
+        else:
+            out = X.join_agg(p, a, b, c.orient, c.deterministic, c.strict_nonfinite)
+        return out.repartition(c.partitions, "o") if c.partitions else out
+
+    def _run(self, alpha: complex, a: Tensor | None, b: Tensor | None, beta: complex, old: Tensor | None, labels: Sequence[int], in_place: bool) -> Tensor:
+        p = self.problem
+        if p.output_empty:
+            out = X.complete(p, None, 0, 0, None, (), False)
+            return out
+        read = alpha != 0 and not p.contraction_empty
+        if not read and in_place and beta == 1 and old is not None and p.c.op is Op.IDENTITY and p.d.op is Op.IDENTITY:
+            return old
+        use_old = old if beta != 0 else None
+        full = bool(read and a.dense and b.dense)
+        return X.complete(p, self._products(a, b) if read else None, alpha, beta, use_old, labels, full)
+
+    def execute(self, a: Tensor, b: Tensor, alpha: complex = 1, d_old: Tensor | None = None) -> Tensor:
+        """Overwrites: alpha * op(A) op(B). ``d_old``: what elements off a repeated label's diagonal keep."""
+        self._bind(a, self.problem.a, "A")
+        self._bind(b, self.problem.b, "B")
+        out = self._run(alpha, a, b, 0, None, (), False)
+        return X.overlay(out, d_old) if self.problem.output_diagonal and d_old is not None else out
+
+    def execute_accum(self, a: Tensor, b: Tensor, alpha: complex, beta: complex, c: Tensor | None = None, d_old: Tensor | None = None) -> Tensor:
+        """Accumulates: ``d_old`` if C is D, ``c`` if it is separate. With beta 0 neither is read, and C may be None."""
+        p = self.problem
+        self._bind(a, p.a, "A")
+        self._bind(b, p.b, "B")
+        if p.c.kind == "output":
+            if c is not None or d_old is None and beta != 0:
+                raise E.CMode("planned to accumulate in D")
+            if d_old is not None:
+                self._bind(d_old, p.d, "D")
+            out = self._run(alpha, a, b, beta, d_old, p.labels.d, True)
+        elif p.c.kind == "separate":
+            if c is None and beta != 0:
+                raise E.CMode("planned with a separate C")
+            if c is not None:
+                self._bind(c, p.c.operand, "C")
+            out = self._run(alpha, a, b, beta, c, p.labels.c, False)
+        else:
+            raise E.CMode("planned without C")
+        return X.overlay(out, d_old) if p.output_diagonal and d_old is not None else out
+
+
+def plan(problem: Problem, config: PlanConfig | None = None, **kw) -> Plan:
+    return Plan(problem, config, **kw)
+
+
+def contract(spec: str, a: Tensor, b: Tensor, alpha: complex = 1, conj: str = "", config: PlanConfig | None = None) -> Tensor:
+    """One call for ``"ik,kj->ij"``."""
+    return Plan(Problem.einsum(a.dtype, spec, a.dims, b.dims, conj), config).execute(a, b, alpha)
+
+
+@dataclass(frozen=True)
+class BatchItem:
+    plan: Plan
+    alpha: complex
+    a: Tensor
+    b: Tensor
+    beta: complex = 0
+    c: Tensor | None = None
+    d_old: Tensor | None = None
+
+
+def contract_batched(items: Sequence[BatchItem]) -> list[Tensor]:
+    """Results in order. All items are validated before any is planned; a failure leaves nothing half done."""
+    for i, x in enumerate(items):
+        p = x.plan.problem
+        for t, s, n in ((x.a, p.a, "A"), (x.b, p.b, "B")):
+            try:
+                x.plan._bind(t, s, n)
+            except E.TensorError as e:
+                raise type(e)(f"item {i}: {e}") from None
+        if x.beta != 0 and p.c.kind == "absent":
+            raise E.CMode(f"item {i}: planned without C")
+    return [x.plan.execute_accum(x.a, x.b, x.alpha, x.beta, x.c, x.d_old) if x.beta != 0 else x.plan.execute(x.a, x.b, x.alpha, x.d_old) for x in items]
+
+
+def batched_frame(items: Sequence[BatchItem]):
+    """One DataFrame of all results with an ``item`` column: one Spark job for the batch."""
+    from pyspark.sql import functions as F
+
+    out = None
+    for i, t in enumerate(contract_batched(items)):
+        rows = t.df.withColumn("item", F.lit(i))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def execute_batched(plan_: Plan, a: Sequence[Tensor], b: Sequence[Tensor], alpha: complex = 1, beta: complex = 0, c: Sequence[Tensor] | None = None) -> list[Tensor]:
+    """One plan and one pair of factors over many operands; C may be absent exactly if beta is 0."""
+    if len(a) != len(b) or c is not None and len(c) != len(a):
+        raise E.ConfigError("operand lists differ in length")
+    if beta != 0 and c is None:
+        raise E.CMode("beta needs C")
+    sep = plan_.problem.c.kind == "separate"
+    return contract_batched([BatchItem(plan_, alpha, x, y, beta, c[i] if c and sep else None, c[i] if c and not sep else None) for i, (x, y) in enumerate(zip(a, b, strict=True))])
+
+
+# --- backends
+
+
+@dataclass(frozen=True)
+class Requirements:
+    dtypes: tuple[DType, ...] = tuple(DType)
+    no_materialize: bool = False
+
+
+class PreparedContraction(ABC):
+    @abstractmethod
+    def run(self, a: Tensor, b: Tensor, alpha: complex = 1, beta: complex = 0, c: Tensor | None = None) -> Tensor: ...
+
+
+class ContractionBackend(ABC):
+    """Anything that can prepare a problem and run it on tensors."""
+
+    name = "backend"
+
+    @abstractmethod
+    def prepare(self, problem: Problem, requirements: Requirements | None = None) -> PreparedContraction: ...
+
+
+@dataclass(frozen=True)
+class _SparkPrepared(PreparedContraction):
+    plan: Plan
+
+    def run(self, a, b, alpha=1, beta=0, c=None):
+        if beta == 0:
+            return self.plan.execute(a, b, alpha)
+        return self.plan.execute_accum(a, b, alpha, beta, **({"c": c} if self.plan.problem.c.kind == "separate" else {"d_old": c}))
+
+
+class SparkBackend(ContractionBackend):
+    name = "spark"
+
+    def __init__(self, config: PlanConfig | None = None):
+        self.config = config
+
+    def prepare(self, problem, requirements=None):
+        if requirements and problem.dtype not in requirements.dtypes:
+            raise E.DatatypeUnsupported(problem.dtype.value)
+        return _SparkPrepared(Plan(problem, self.config))
+
+
+@dataclass(frozen=True)
+class _NumpyPrepared(PreparedContraction):
+    problem: Problem
+
+    def run(self, a, b, alpha=1, beta=0, c=None):
+        import numpy as np
+        from sparkfold.sources import from_numpy, to_numpy
+
+        p = self.problem
+        ids = {x: i for i, x in enumerate(p.extent)}
+        out = list(p.output_labels)
+        conj = lambda x, op: np.conj(x) if op is Op.CONJUGATE else x
+        total = np.zeros([p.extent[x] for x in out], complex if p.dtype.complex else float)
+        if alpha != 0 and not p.contraction_empty:
+            total = alpha * np.einsum(conj(to_numpy(a), p.a.op), [ids[x] for x in p.labels.a], conj(to_numpy(b), p.b.op), [ids[x] for x in p.labels.b], [ids[x] for x in out])
+        if beta != 0:
+            labels = p.labels.c if p.c.kind == "separate" else p.labels.d
+            total = total + beta * np.einsum(conj(to_numpy(c), p.c.op), [ids[x] for x in labels], [ids[x] for x in out])
+        total = conj(total, p.d.op)
+        if p.output_diagonal:
+            full = np.zeros([p.extent[x] for x in p.labels.d], total.dtype)
+            at = np.indices(total.shape)
+            full[tuple(at[out.index(x)] for x in p.labels.d)] = total
+            total = full
+        return from_numpy(a.df.sparkSession, np.asarray(total), p.dtype)
+
+
+class NumpyBackend(ContractionBackend):
+    """A second, independent backend on the driver, for small tensors."""
+
+    name = "numpy"
+
+    def prepare(self, problem, requirements=None):
+        return _NumpyPrepared(problem)
+
+
+__all__ = ["BatchItem", "CSpec", "ContractionBackend", "Labels", "NumpyBackend", "Plan", "PlanConfig", "PlanReport", "PreparedContraction", "Requirements", "SparkBackend", "TileCatalog", "batched_frame", "candidates", "contract", "contract_batched", "execute_batched", "list_strategies", "plan"]
