@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -111,7 +112,7 @@ def from_numpy(spark: SparkSession, array, dtype: DType | str | None = None) ->
     if dtype is None and str(array.dtype) not in kinds:
         raise E.DatatypeUnsupported(str(array.dtype))
     dtype = DType.of(dtype) if dtype is not None else kinds[str(array.dtype)]
-    index = np.indices(array.shape).reshape(array.ndim, -1)
+    index = np.indices(array.shape).reshape(array.ndim, array.size)
     flat = array.reshape(-1)
     cols = {axis(i): pa.array(index[i].astype(np.int64)) for i in range(array.ndim)}
     part = np.float32 if dtype.single else np.float64
@@ -150,7 +151,7 @@ def small_ints(spark: SparkSession, dims: Sequence[int], seed: int, dtype: DType
 def check_sink(path: str, inputs: Sequence[DataFrame]) -> None:
     """Refuses an output path that is, holds or lies in an input's path."""
     def norm(p: str) -> str:
-        return p.split(":", 1)[-1].replace("//", "/").rstrip("/") + "/"
+        return re.sub("/+", "/", p.split(":", 1)[-1]).rstrip("/") + "/"
 
     out = norm(path)
     for df in inputs:
