@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sparkfold.functions import Num, element, scaled
 from sparkfold.meta import DType, LayoutSpec, Op, product
 from sparkfold.problem import Problem
-from sparkfold.sources import Tensor, axis, grid
+from sparkfold.sources import Tensor, axis, coordinate, grid
 
 #: A side is broadcast on request or by rule only if its extents bound it to this many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -148,7 +148,7 @@ def block_gemm(p: Problem, a: Tensor, b: Tensor, size: int, tile: TileFunction =
         x = "a" if row_first else "b"
         r, k = (F.col("r") % size).cast("int"), (F.col("k") % size).cast("int")
         cell = (r * size + k) if row_first else (k * size + r)
-        gathered = rows.groupBy("h", F.floor(F.col("r") / size).alias(f"{x}r"), F.floor(F.col("k") / size).alias("kb")).agg(
+        gathered = rows.groupBy("h", F.expr(f"r div {size}").alias(f"{x}r"), F.expr(f"k div {size}").alias("kb")).agg(
             F.collect_list(cell).alias(f"{x}i"), *[F.collect_list(c).alias(x + c) for c in parts]
         )
         return gathered
@@ -183,7 +183,7 @@ def block_gemm(p: Problem, a: Tensor, b: Tensor, size: int, tile: TileFunction =
         out = F.lit(0).cast("long")
         own = LayoutSpec.row_major([p.extent[x] for x in labels]).strides
         for x, s in zip(labels, own, strict=True):
-            out = out + F.pmod(F.floor(F.col(col) / s), F.lit(p.extent[x])).cast("long") * F.lit(strides[x]).cast("long")
+            out = out + coordinate(col, s, p.extent[x]) * F.lit(strides[x]).cast("long")
         return out
 
     o = spread("h", p.h) + spread("m", p.m) + spread("n", p.n)
@@ -191,11 +191,11 @@ def block_gemm(p: Problem, a: Tensor, b: Tensor, size: int, tile: TileFunction =
     return summed(terms, dtype, deterministic)
 
 
-def complete(p: Problem, products: DataFrame | None, alpha: complex, beta: complex, old: Tensor | None, old_labels: Sequence[int], always_full: bool) -> Tensor:
+def complete(p: Problem, products: DataFrame | None, alpha: complex, beta: complex, old: Tensor | None, old_labels: Sequence[int], always_full: bool, sparse: bool = False) -> Tensor:
     """op_D(alpha * products + beta * op_C(old)) over D's whole grid.
 
     ``products`` None: they are not to be read (alpha 0 or nothing to contract). ``old`` None: beta's operand is not to
-    be read. ``always_full``: every output element has a product.
+    be read. ``always_full``: every output element has a product. ``sparse``: elements without a term stay absent.
     """
     dtype, out = p.dtype, p.output_labels
     dims = [p.extent[x] for x in out]
@@ -214,7 +214,7 @@ def complete(p: Problem, products: DataFrame | None, alpha: complex, beta: compl
         else:
             rows = base.join(rows, "o", "full")
     full = old is not None and old.dense or old is None and products is not None and always_full
-    if rows is None or not full:
+    if rows is None or not (full or sparse):
         cells = products.sparkSession if products is not None else old.df.sparkSession if old is not None else None
         cells = (cells or _session()).range(product(dims)).select(F.col("id").alias("o"))
         rows = cells if rows is None else cells.join(rows, "o", "left")
@@ -226,10 +226,11 @@ def complete(p: Problem, products: DataFrame | None, alpha: complex, beta: compl
 
     x = Num(total("re"), total("im") if dtype.complex else None)
     x = x.conj() if p.d.op is Op.CONJUGATE else x
+    dense = not p.output_diagonal and (full or not sparse)
     strides = dict(zip(out, LayoutSpec.row_major(dims).strides, strict=True))
-    at = {label: F.pmod(F.floor(F.col("o") / strides[label]), F.lit(max(p.extent[label], 1))).cast("long") for label in out}
+    at = {label: coordinate("o", strides[label], p.extent[label]) for label in out}
     cols = [at[label].alias(axis(i)) for i, label in enumerate(p.labels.d)]
-    return Tensor(rows.select(*cols, x.pack(dtype).alias("v")), tuple(p.extent[x] for x in p.labels.d), dtype, not p.output_diagonal)
+    return Tensor(rows.select(*cols, x.pack(dtype).alias("v")), tuple(p.extent[x] for x in p.labels.d), dtype, dense)
 
 
 def overlay(new: Tensor, old: Tensor) -> Tensor:

@@ -29,12 +29,16 @@ class PlanConfig:
     orient: str = "rule"
     partitions: int | None = None
     no_materialize: bool = False
+    #: "sparse" leaves out elements that no term reaches; the result is then a tensor whose absent elements are 0.
+    density: str = "dense"
 
     def validate(self) -> None:
         if self.strategy != "auto" and self.strategy.split(".")[0] not in STRATEGIES:
             raise E.OptionError(f"strategy {self.strategy!r}")
         if self.complex_method not in ("4m", "3m"):
             raise E.OptionError(f"complex_method {self.complex_method!r}")
+        if self.density not in ("dense", "sparse"):
+            raise E.OptionError(f"density {self.density!r}")
         if self.orient not in ("ab", "ba", "rule"):
             raise E.OptionError(f"orient {self.orient!r}")
         for name in ("block_size", "partitions"):
@@ -160,7 +164,7 @@ class Plan:
             return old
         use_old = old if beta != 0 else None
         full = bool(read and a.dense and b.dense)
-        return X.complete(p, self._products(a, b) if read else None, alpha, beta, use_old, labels, full)
+        return X.complete(p, self._products(a, b) if read else None, alpha, beta, use_old, labels, full, self.config.density == "sparse")
 
     def execute(self, a: Tensor, b: Tensor, alpha: complex = 1, d_old: Tensor | None = None) -> Tensor:
         """Overwrites: alpha * op(A) op(B). ``d_old``: what elements off a repeated label's diagonal keep."""

@@ -18,6 +18,9 @@ from sparkfold.meta import CSpec, DotGeneral, DType, Labels, LayoutSpec, Op, Ope
 from sparkfold.problem import Problem
 from sparkfold.sources import Tensor, axis, from_strided, from_table, small_ints, to_strided
 
+#: Results of table queries are sparse: no grid of all elements is made.
+SPARSE = P.PlanConfig(density="sparse")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -138,24 +141,24 @@ def gram_supplier(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_Q} SELECT s, sum(v * p_size)::DOUBLE AS value FROM q JOIN part ON p = p_partkey GROUP BY s HAVING value <> 0")
 def matvec_part_size(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(P.contract("sp,p->s", q_tensor(spark, d), z_tensor(spark, d)), "s")
+    return _rows(P.contract("sp,p->s", q_tensor(spark, d), z_tensor(spark, d), config=SPARSE), "s")
 
 
 @query(f"WITH {_Q} SELECT s_nationkey::BIGINT AS n, p, sum(v)::DOUBLE AS value FROM q JOIN supplier ON s = s_suppkey GROUP BY ALL HAVING sum(v) <> 0")
 def matmul_nation_part(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(P.contract("sn,sp->np", sn_tensor(spark, d), q_tensor(spark, d)), "n", "p")
+    return _rows(P.contract("sn,sp->np", sn_tensor(spark, d), q_tensor(spark, d), config=SPARSE), "n", "p")
 
 
 @query(f"WITH {_W} SELECT a.u, a.t, b.t AS s, sum(a.v * b.v) AS value FROM w a JOIN w b ON a.u = b.u AND a.h = b.h GROUP BY ALL")
 def batched_user_hours(spark: SparkSession, d: str) -> DataFrame:
     w = w_tensor(spark, d)
-    return _rows(P.contract("uth,ush->uts", w, w), "u", "t", "s")
+    return _rows(P.contract("uth,ush->uts", w, w, config=SPARSE), "u", "t", "s")
 
 
 @query(f"WITH {_W} SELECT a.u, b.u AS v, sum(a.v * b.v) AS value FROM w a JOIN w b ON a.t = b.t AND a.h = b.h GROUP BY ALL")
 def multi_contract(spark: SparkSession, d: str) -> DataFrame:
     w = w_tensor(spark, d)
-    return _rows(P.contract("uth,vth->uv", w, w), "u", "v")
+    return _rows(P.contract("uth,vth->uv", w, w, config=SPARSE), "u", "v")
 
 
 @query(
@@ -163,35 +166,35 @@ def multi_contract(spark: SparkSession, d: str) -> DataFrame:
     " SELECT p_partkey AS p, r, f, p_size * v AS value FROM part CROSS JOIN f WHERE p_size * v <> 0"
 )
 def outer_size_flags(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(P.contract("p,rf->prf", z_tensor(spark, d), f_tensor(spark, d)), "p", "r", "f")
+    return _rows(P.contract("p,rf->prf", z_tensor(spark, d), f_tensor(spark, d), config=SPARSE), "p", "r", "f")
 
 
 @query(f"WITH {_Q} SELECT sum(v * v)::DOUBLE AS value FROM q")
 def full_contract_scalar(spark: SparkSession, d: str) -> DataFrame:
     q = q_tensor(spark, d)
-    return _rows(P.contract("sp,sp->", q, q))
+    return _rows(P.contract("sp,sp->", q, q, config=SPARSE))
 
 
 @query(f"WITH {_W}, {_U} SELECT u, t, v * v AS value FROM uu")
 def hadamard_user_type(spark: SparkSession, d: str) -> DataFrame:
     u = u_tensor(spark, d)
-    return _rows(P.contract("ut,ut->ut", u, u), "u", "t")
+    return _rows(P.contract("ut,ut->ut", u, u, config=SPARSE), "u", "t")
 
 
 @query(f"WITH {_E} SELECT v, sum(x * x) AS value FROM ex GROUP BY v HAVING sum(x * x) <> 0")
 def rowwise_sqnorm(spark: SparkSession, d: str) -> DataFrame:
     e = e_tensor(spark, d)
-    return _rows(P.contract("vd,vd->v", e, e), "v")
+    return _rows(P.contract("vd,vd->v", e, e, config=SPARSE), "v")
 
 
 @query(f"WITH {_W}, {_U}, r AS (SELECT u, t, sum(v) AS v FROM w GROUP BY ALL) SELECT r.u, b.u AS s, sum(r.v * b.v) AS value FROM r JOIN uu b ON r.t = b.t GROUP BY ALL")
 def isolated_reduce_a(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(P.contract("uth,st->us", w_tensor(spark, d), u_tensor(spark, d)), "u", "s")
+    return _rows(P.contract("uth,st->us", w_tensor(spark, d), u_tensor(spark, d), config=SPARSE), "u", "s")
 
 
 @query(f"WITH {_W}, {_U}, r AS (SELECT u, t, sum(v) AS v FROM w GROUP BY ALL) SELECT r.u, b.u AS s, sum(r.v * b.v) AS value FROM r JOIN uu b ON r.t = b.t GROUP BY ALL")
 def isolated_reduce_b(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(P.contract("st,uth->us", u_tensor(spark, d), w_tensor(spark, d)), "u", "s")
+    return _rows(P.contract("st,uth->us", u_tensor(spark, d), w_tensor(spark, d), config=SPARSE), "u", "s")
 
 
 @query(
@@ -200,14 +203,14 @@ def isolated_reduce_b(spark: SparkSession, d: str) -> DataFrame:
 )
 def diag_input(spark: SparkSession, d: str) -> DataFrame:
     q = q_tensor(spark, d)
-    g = P.contract("sp,tp->st", q, q)
-    return _rows(P.contract("ii,ij->j", g, g), "j")
+    g = P.contract("sp,tp->st", q, q, config=SPARSE)
+    return _rows(P.contract("ii,ij->j", g, g, config=SPARSE), "j")
 
 
 @query(f"WITH {_Q} SELECT b.s, a.s AS t, 2 * sum(a.v * b.v) AS value FROM q a JOIN q b ON a.p = b.p GROUP BY ALL")
 def output_permuted(spark: SparkSession, d: str) -> DataFrame:
     q = q_tensor(spark, d)
-    return _rows(P.contract("sp,tp->ts", q, q, alpha=2), "t", "s")
+    return _rows(P.contract("sp,tp->ts", q, q, alpha=2, config=SPARSE), "t", "s")
 
 
 @query(f"WITH {_W} SELECT h, u, t, v AS value FROM w")
@@ -233,7 +236,7 @@ def batched_items(spark: SparkSession, d: str) -> DataFrame:
     items = []
     for i, flag in enumerate("ANR"):
         q = from_table(line.where(F.col("l_returnflag") == flag), ["l_suppkey", "l_partkey"], "l_quantity", dims)
-        items.append(P.BatchItem(P.Plan(Problem.einsum("f64", "sp,p->s", q.dims, z.dims)), i + 1, q, z))
+        items.append(P.BatchItem(P.Plan(Problem.einsum("f64", "sp,p->s", q.dims, z.dims), SPARSE), i + 1, q, z))
     return P.batched_frame(items).select("item", F.col(axis(0)).alias("s"), F.col("v").alias("value")).where("value <> 0")
 
 
@@ -246,7 +249,7 @@ def _complex(t: Tensor, *names: str) -> DataFrame:
 )
 def complex_matmul(spark: SparkSession, d: str) -> DataFrame:
     c = c_tensor(spark, d)
-    return _complex(P.contract("sp,tp->st", c, c), "s", "t")
+    return _complex(P.contract("sp,tp->st", c, c, config=SPARSE), "s", "t")
 
 
 @query(
@@ -254,7 +257,7 @@ def complex_matmul(spark: SparkSession, d: str) -> DataFrame:
 )
 def conj_a(spark: SparkSession, d: str) -> DataFrame:
     c = c_tensor(spark, d)
-    return _complex(P.contract("sp,tp->st", c, c, conj="a"), "s", "t")
+    return _complex(P.contract("sp,tp->st", c, c, conj="a", config=SPARSE), "s", "t")
 
 
 @query(
@@ -264,14 +267,14 @@ def conj_a(spark: SparkSession, d: str) -> DataFrame:
 def conj_d_beta_c(spark: SparkSession, d: str) -> DataFrame:
     """conj(2 A B + conj(C)) with C = A B."""
     c = c_tensor(spark, d)
-    g = P.contract("sp,tp->st", c, c)
+    g = P.contract("sp,tp->st", c, c, config=SPARSE)
     p = Problem.einsum("c64", "sp,tp->st", c.dims, c.dims, conj="cd")
-    return _complex(P.Plan(p).execute_accum(c, c, 2, 1, d_old=g), "s", "t")
+    return _complex(P.Plan(p, SPARSE).execute_accum(c, c, 2, 1, d_old=g), "s", "t")
 
 
 @query(f"WITH {_E} SELECT label::BIGINT AS c, d, sum(x) AS value FROM ex JOIN embeddings ON v = vec_id GROUP BY ALL HAVING sum(x) <> 0")
 def label_centroid_sum(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(P.contract("vc,vd->cd", y_tensor(spark, d), e_tensor(spark, d)), "c", "d")
+    return _rows(P.contract("vc,vd->cd", y_tensor(spark, d), e_tensor(spark, d), config=SPARSE), "c", "d")
 
 
 _EGRAM = f"WITH {_E} SELECT a.d AS i, b.d AS j, sum(a.x * b.x) AS value FROM ex a JOIN ex b ON a.v = b.v GROUP BY ALL HAVING sum(a.x * b.x) <> 0"
@@ -280,20 +283,20 @@ _EGRAM = f"WITH {_E} SELECT a.d AS i, b.d AS j, sum(a.x * b.x) AS value FROM ex
 @query(_EGRAM)
 def block_gemm_gram(spark: SparkSession, d: str) -> DataFrame:
     e = e_tensor(spark, d)
-    return _rows(P.contract("vi,vj->ij", e, e, config=P.PlanConfig(strategy="block_gemm")), "i", "j")
+    return _rows(P.contract("vi,vj->ij", e, e, config=P.PlanConfig(density="sparse", strategy="block_gemm")), "i", "j")
 
 
 @query(_EGRAM)
 def deterministic_gram(spark: SparkSession, d: str) -> DataFrame:
     e = e_tensor(spark, d)
-    return _rows(P.contract("vi,vj->ij", e, e, config=P.PlanConfig(strategy="join_agg", deterministic=True)), "i", "j")
+    return _rows(P.contract("vi,vj->ij", e, e, config=P.PlanConfig(density="sparse", strategy="join_agg", deterministic=True)), "i", "j")
 
 
 @query(f"WITH {_Q} SELECT a.s, b.s AS t, sum(a.v * b.v)::DOUBLE AS value FROM q a JOIN q b ON a.p = b.p GROUP BY ALL")
 def accumulate_over_slices(spark: SparkSession, d: str) -> DataFrame:
     """D += A B over two halves of the parts gives the whole."""
     q = q_tensor(spark, d)
-    p = P.Plan(Problem.einsum("f64", "sp,tp->st", q.dims, q.dims))
+    p = P.Plan(Problem.einsum("f64", "sp,tp->st", q.dims, q.dims), SPARSE)
     odd, even = (q.replace(df=q.df.where(F.col(axis(1)) % 2 == i)) for i in (1, 0))
     return _rows(p.execute_accum(even, even, 1, 1, d_old=p.execute(odd, odd)), "s", "t")
 

@@ -70,12 +70,18 @@ def from_table(df: DataFrame, axes: Sequence[Column | str], value: Column | str,
     return Tensor(out.select(*names, v.alias("v")), tuple(dims), dtype, dense)
 
 
+def coordinate(key: str, stride: int, extent: int) -> Column:
+    """An axis out of a linear key, in 64-bit integers."""
+    c = F.expr(f"{key} div {stride}L") if stride != 1 else F.col(key)
+    return F.pmod(c, F.lit(max(extent, 1)).cast("long"))
+
+
 def grid(spark: SparkSession, dims: Sequence[int]) -> DataFrame:
     """All coordinates in row-major order with their number ``o``."""
     n = product(dims)
     layout = LayoutSpec.row_major(dims)
-    cols = [F.pmod(F.floor(F.col("id") / s) if s > 1 else F.col("id"), F.lit(max(d, 1))).cast("long").alias(axis(i)) for i, (d, s) in enumerate(zip(dims, layout.strides, strict=True))]
-    return spark.range(n).select(F.col("id").alias("o"), *[c for c in cols])
+    cols = [coordinate("id", s, d).alias(axis(i)) for i, (d, s) in enumerate(zip(dims, layout.strides, strict=True))]
+    return spark.range(n).select(F.col("id").alias("o"), *cols)
 
 
 def position(layout: LayoutSpec) -> Column:
