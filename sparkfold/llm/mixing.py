@@ -127,14 +127,15 @@ def mix(
     # Without a cut bin (all words lacked, to the last) every competing document is in.
     decided = stored(plan.join(cuts, "_mx_key", "left").coalesce(1), "mix-cuts")
 
+    inner = {c: f"_mx_{c}" for c in ("certain", "p", "cut_q", "cut_bin")}
+    decided = decided.select("_mx_key", "source_size", "target", *[F.col(c).alias(n) for c, n in inner.items()])
     out = docs.withColumns({"_mx_key": source_key(F.col(source_col)), "_mx_u": u, "size": word_count(F.col(text_col))}).join(decided, "_mx_key")
-    q = pareto_rank(F.col("_mx_u"), F.col("p"))
+    q = pareto_rank(F.col("_mx_u"), F.col("_mx_p"))
     own_bin = F.floor(q / (1 + q) * bins).cast("int")
-    extra = F.when(F.col("p") <= 0, F.lit(0)).when(
-        F.col("cut_bin").isNull() | (own_bin < F.col("cut_bin")) | ((own_bin == F.col("cut_bin")) & (q <= F.col("cut_q"))), F.lit(1)
-    ).otherwise(F.lit(0))
+    below = (own_bin < F.col("_mx_cut_bin")) | ((own_bin == F.col("_mx_cut_bin")) & (q <= F.col("_mx_cut_q")))
+    extra = F.when(F.col("_mx_p") <= 0, F.lit(0)).when(F.col("_mx_cut_bin").isNull() | below, F.lit(1)).otherwise(F.lit(0))
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target", (F.col("certain") + extra).cast("int").alias("copies")
+        *[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target", (F.col("_mx_certain") + extra).cast("int").alias("copies")
     )
 
 
