@@ -90,11 +90,16 @@ def _arrow_schema(spark: SparkSession, schema: str):
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int, training: Column | None = None) -> DataFrame:
     """At most ``most`` labelled rows of ``docs`` with their label as ``_label``: those of least id checksum.
 
-    The sample is a bounded number of ids, so it may be broadcast to the documents.
+    The sample is a bounded number of ids, so it may be broadcast to the documents. Checksums above those that the
+    sample can need are left out first, so that tasks don't each send ``most`` rows to be merged.
     """
     ids = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
     if training is not None:
         ids = ids.where(training)
     ids = ids.groupBy("doc_id").agg(F.max(column).cast("int").alias("_label"))
-    ids = ids.orderBy(F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":s")).cast("binary")), "doc_id").limit(most)
+    rank = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":s")).cast("binary"))
+    total = ids.count()
+    if total > 2 * most:
+        ids = ids.where(rank < int(2**32 * 1.5 * most / total))
+    ids = ids.orderBy(rank, "doc_id").limit(most)
     return docs.join(F.broadcast(ids), "doc_id")
