@@ -10,8 +10,9 @@ costs no single task more than others.
 
 Extraction walks a page along its host's wrapper. Text goes if it lies in an element that names itself as navigation,
 header, footer, sidebar, notice, advert, form or comments, in a slot whose text is the same on most pages of the host
-while their other texts differ, or in a list that is links for the most part. If a page has ``article`` or ``main``
-elements, only what lies in them counts. Parts that the wrapper lacks are judged by the page alone.
+while their other texts differ, or in a list that is links for the most part. If a page marks its text by ``article`` or
+``main`` elements, only what lies in them counts, and of it constant slots and lists of links too. Parts that the wrapper
+lacks are judged by the page alone.
 
 Defined results: null or empty html gives the empty text; markup that breaks off is read as far as it goes; rows that
 repeat are extracted alike; a null url is a host of its own; an empty table gives an empty table. A wrapper stops taking
@@ -44,7 +45,7 @@ _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe svg math template xmp select object canvas audio video".split())
-DROP_TAGS = frozenset("nav header footer aside form head menu dialog button figcaption fieldset".split()) | RAW
+DROP_TAGS = frozenset("nav header footer aside form head menu dialog button fieldset".split()) | RAW
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 DROP_WORDS = re.compile(
     r"(?:^|[-_\s])(?:ads?|adv|adverts?|advertisements?|advertising|adsense|banner|sponsor(?:ed|s)?|promo(?:tion|s)?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|"
@@ -52,6 +53,7 @@ DROP_WORDS = re.compile(
     r"masthead|topbar|toolbar|login|signup|search|copyright|skip|hidden|sr-only|toc|site-?header|page-?header)(?:$|[-_\s\d])",
     re.I,
 )
+DROP_NAMES = frozenset("header top topbar top-bar".split())
 MAIN_TAGS = frozenset(("article", "main"))
 CLOSES = {t: frozenset(ends.split()) for t, ends in (("li", "li"), ("dt", "dt dd"), ("dd", "dt dd"), ("tr", "tr td th"), ("td", "td th"), ("th", "td th"), ("option", "option"))}
 HOLDS = frozenset("ul ol dl table".split())
@@ -87,7 +89,7 @@ def _element(tag: str, raw: str) -> Element:
     drop = (
         tag in DROP_TAGS or role in DROP_ROLES or "hidden" in at or at.get("aria-hidden") == "true"
         or "display:none" in at.get("style", "").replace(" ", "").lower()
-        or bool(tag not in ("html", "body") and (DROP_WORDS.search(names) or DROP_WORDS.search(ident)))
+        or bool(tag not in ("html", "body") and (DROP_WORDS.search(names) or DROP_WORDS.search(ident) or not DROP_NAMES.isdisjoint([*names.lower().split(), ident.lower()])))
     )
     return Element(tag, re.sub(r"\d+", "0", f"{tag}.{names}#{ident}"[:120]), drop, main)
 
@@ -346,6 +348,7 @@ def _has_main(e: Element) -> bool:
 
 def extract(page: Element, wrapper: Node | None) -> str:
     blocks: list[str] = []
+    marked = _has_main(page)
 
     def walk(e: Element, w: Node | None, inside: bool) -> None:
         inside |= e.main
@@ -361,17 +364,17 @@ def extract(page: Element, wrapper: Node | None) -> str:
             if node is not None and key == "#" and not node.many:
                 at += 1
             if isinstance(k, Text):
-                if inside and not (node is not None and node.flag):
+                if inside and (marked or node is None or not node.flag):
                     blocks.append(k.text)
             elif k.drop:
                 if k.tag == "header" and inside:
                     for h in k.kids:
                         if isinstance(h, Element) and re.fullmatch("h[1-6]", h.tag):
                             walk(h, None, True)
-            elif not (node is not None and node.flag and not k.main):
+            elif marked or node is None or not node.flag:
                 walk(k, node, inside)
 
-    walk(page, wrapper, not _has_main(page))
+    walk(page, wrapper, not marked)
     return " ".join(b for b in blocks if b)
 
 

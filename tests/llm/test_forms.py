@@ -25,6 +25,7 @@ def test_extraction():
         "<form><input>go</form><aside>x</aside><script>if(a<b){'</p>'}</script><span hidden>no</span><footer>f</footer>"
     )
     assert hw.extract(hw.parse(page), None) == "T & x Hello world next line two <b> 3 < 4 a b"
+    assert hw.extract(hw.parse("<div class=header>x</div><figure><figcaption>c</figcaption></figure><div class=entry-header>t</div>"), None) == "c t"
     assert hw.extract(hw.parse("<body><p>out</p><article><header><h1>H</h1>by me</header><p>in"), None) == "H in"
     for x, want in ((None, ""), ("", ""), ("plain", "plain"), ("<p>a <b", "a"), ("<div>" * 5000 + "deep", "deep"), ("<p>" * 3000 + "x", "x"), ('<a href="x>y</a> z', "y z")):
         assert hw.extract(hw.parse(x), None) == want
