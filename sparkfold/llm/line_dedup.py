@@ -28,6 +28,9 @@ MIN_CHARS = 10
 #: Batches a table is cut into, by quantiles of its ids, and runs of one level before they are merged.
 BATCHES = 4
 FANOUT = 2
+#: Keys with more than this part of a batch's lines are joined apart from the rest: there are fewer than its inverse, so
+#: their table is bounded and may be broadcast.
+HOT_SHARE = 1 / 500
 LAST_ID = 9223372036854775807
 
 
@@ -119,18 +122,18 @@ def dedup_lines(
         )
     )
     lines = stored(lines, "lines")
+    held = {r.batch: r["count"] for r in lines.groupBy("batch").count().collect()}
 
     store = LineRuns(spark, fanout)
     dropped = None
     for b in range(batches):
         mine = lines.where(F.col("batch") == b)
-        fresh = store.ingest(mine.groupBy("h1", "h2").agg(F.min("_ld_doc").alias("owner")))
-        gone = (
-            mine.join(fresh, ["h1", "h2"], "left")
-            .where(F.col("owner").isNull() | (F.col("owner") < F.col("_ld_doc")))
-            .select("_ld_doc", "_ld_text", "pos")
-        )
-        dropped = gone if dropped is None else dropped.unionByName(gone)
+        firsts = stored(mine.groupBy("h1", "h2").agg(F.min("_ld_doc").alias("owner"), F.count("*").alias("n")), "firsts")
+        fresh = store.ingest(firsts.drop("n"))
+        hot = F.broadcast(firsts.where(F.col("n") > held.get(b, 0) * HOT_SHARE).select("h1", "h2").join(fresh, ["h1", "h2"], "left"))
+        for rows, owners in ((mine.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti"), fresh), (mine.join(hot.select("h1", "h2"), ["h1", "h2"], "left_semi"), hot)):
+            gone = rows.join(owners, ["h1", "h2"], "left").where(F.col("owner").isNull() | (F.col("owner") < F.col("_ld_doc"))).select("_ld_doc", "_ld_text", "pos")
+            dropped = gone if dropped is None else dropped.unionByName(gone)
     positions = dropped.groupBy("_ld_doc", "_ld_text").agg(F.array_sort(F.collect_set("pos")).alias("_ld_gone"))
 
     joined = marked.join(positions, ["_ld_doc", "_ld_text"], "left")
