@@ -129,11 +129,13 @@ def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] | None
     directory = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
     best = F.min(F.struct(F.negative("cosine").alias("cosine"), "own_license"))
     licensed = own.where(F.col("licence_file") & F.col("path").isNotNull()).groupBy(directory.alias("dir")).agg(best.alias("best")).select("dir", F.col("best.own_license").alias("inherited"))
-    depth = F.sequence(F.lit(0), F.size(parts) - 1)
-    ancestors = own.where("own_license is null and path is not null").select("row", F.explode(depth).alias("depth"), parts.alias("parts"))
-    ancestors = ancestors.select("row", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("dir"))
-    nearest = ancestors.join(licensed, "dir").groupBy("row").agg(F.max(F.struct("depth", "dir", "inherited")).alias("near"))
-    out = own.join(nearest, "row", "left")
+    # Nearest licensed ancestors are found once a directory, however many files lie in it.
+    depth = F.sequence(F.lit(0), F.when(F.col("dir") == "", F.lit(0)).otherwise(F.size(F.split("dir", "/"))))
+    own = own.withColumn("dir", F.when(F.col("own_license").isNull() & F.col("path").isNotNull(), directory))
+    ancestors = own.where("dir is not null").select("dir").distinct().select("dir", F.explode(depth).alias("depth"))
+    ancestors = ancestors.select(F.col("dir").alias("of"), "depth", F.array_join(F.slice(F.split("dir", "/"), F.lit(1), F.col("depth")), "/").alias("dir"))
+    nearest = ancestors.join(licensed, "dir").groupBy("of").agg(F.max(F.struct("depth", "dir", "inherited")).alias("near"))
+    out = own.join(nearest, own["dir"] == nearest["of"], "left")
     return out.select("doc_id", "path", "own_license", "cosine", "licence_file", F.coalesce("own_license", "near.inherited").alias("license"), F.col("near.dir").alias("from_dir"))
 
 
