@@ -11,8 +11,8 @@ costs no single task more than others.
 Extraction walks a page along its host's wrapper. Text goes if it lies in an element that names itself as navigation,
 header, footer, sidebar, notice, advert, form or comments, in a slot whose text is the same on most pages of the host
 while their other texts differ, or in a list that is links for the most part. If a page marks its text by ``article`` or
-``main`` elements, only what lies in them counts, and of it constant slots and lists of links too. Parts that the wrapper
-lacks are judged by the page alone.
+``main`` elements, only what lies in them counts; of it constant slots go too, and such lists of links as most of the
+host's pages have, so that an article keeps a list of its own. Parts that the wrapper lacks are judged by the page alone.
 
 Defined results: null or empty html gives the empty text; markup that breaks off is read as far as it goes; rows that
 repeat are extracted alike; a null url is a host of its own; an empty table gives an empty table. A wrapper stops taking
@@ -349,6 +349,10 @@ def _has_main(e: Element) -> bool:
 def extract(page: Element, wrapper: Node | None) -> str:
     blocks: list[str] = []
     marked = _has_main(page)
+    least = max(CONST_PAGES, CONST_SHARE * wrapper.n) if marked and wrapper is not None else 0
+
+    def cut(node: Node | None) -> bool:
+        return node is not None and node.flag and node.n >= least
 
     def walk(e: Element, w: Node | None, inside: bool) -> None:
         inside |= e.main
@@ -364,14 +368,14 @@ def extract(page: Element, wrapper: Node | None) -> str:
             if node is not None and key == "#" and not node.many:
                 at += 1
             if isinstance(k, Text):
-                if inside and (marked or node is None or not node.flag):
+                if inside and not cut(node):
                     blocks.append(k.text)
             elif k.drop:
                 if k.tag == "header" and inside:
                     for h in k.kids:
                         if isinstance(h, Element) and re.fullmatch("h[1-6]", h.tag):
                             walk(h, None, True)
-            elif marked or node is None or not node.flag:
+            elif not cut(node):
                 walk(k, node, inside)
 
     walk(page, wrapper, not marked)

@@ -59,6 +59,19 @@ def test_wrappers_find_groups_options_and_constants(spark):
     assert hw.extract_pages(df.limit(0)).collect() == []
 
 
+def test_wrappers_decide_inside_articles():
+    def marked(i):
+        own = "<ul><li><a href=/>own source</a></li></ul>" if i == 7 else ""
+        return f"<body><article><div class=k>Read our terms first</div><h1>Title {i}</h1><p>Body {i}</p>{own}<div class=z><ul><li><a href=/>More of this</a></li></ul></div></article></body>"
+
+    w = None
+    for i in range(20):
+        w = hw.combine(w, hw.skeleton(hw.parse(marked(i))))
+    hw.judge(w)
+    for i in range(20):
+        assert hw.extract(hw.parse(marked(i)), w) == f"Title {i} Body {i}" + (" own source" if i == 7 else "")
+
+
 def test_repeated_groups_fold():
     root = hw.skeleton(hw.parse("<dl>" + "<dt>a</dt><dd>b</dd>" * 5 + "</dl>"))
     (dl,) = root.kids
