@@ -180,3 +180,14 @@ def test_pipeline(spark, sf):
         ids = now
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert out.count() == docs.count() and out.where("not exact").count() == 0
+
+
+def test_pipeline_drops_near_copies_from_080(spark):
+    words = [f"w{i}" for i in range(104)]
+    near = [*words[:50], "other", *words[51:]]  # 95 shingles of 105 shared: 0.905
+    mid = [*words[:30], "x", *words[31:70], "y", *words[71:]]  # 90 of 110 shared: 0.818
+    far = [*words[:20], "p", *words[21:50], "q", *words[51:80], "r", *words[81:]]  # 85 of 115: 0.739
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in ((1, words), (2, mid))]
+    rows += [(i, " ".join(f"{tag}{w}" for w in t), "en", "s", 1) for tag, group in (("a", ((3, words), (4, far))), ("b", ((5, words), (6, near)))) for i, t in group]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3, 4, 5]
