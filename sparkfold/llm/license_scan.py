@@ -1,8 +1,8 @@
 """License scan: sparse TF-IDF cosine of a text's segments to license templates, then inheritance down directories.
 
-Segments are lines and their sentences. A segment that shares a word with a template is weighed by TF-IDF, with document
-frequencies of the templates' words counted over all files, and takes the template of greatest cosine if that is
-``SIMILAR`` or more. A file has the license of its best segment. A licence file (named like one, or made up of license
+Segments are lines and their sentences. A segment that has one of the ``CUES`` is weighed by TF-IDF, with document
+frequencies of its words and the templates' counted over all files, and takes the template of greatest cosine if that is
+``SIMILAR`` or more. The words' counts are joined to the files that have segments. A file has the license of its best segment. A licence file (named like one, or made up of license
 segments for the most part) gives its license to its directory; a file without one takes that of its nearest ancestor
 directory: ancestors of all files are joined with the licensed directories by path.
 
@@ -56,21 +56,35 @@ def segment_words(segment: str) -> list[str]:
 CUES = re.compile(r"licen[cs]e|permission|redistribution|public domain", re.I)
 
 
+def candidates(text: str | None) -> list[tuple[int, list[str]]]:
+    """Segments that may be about a license: how many words they add to the file's license segments, and their words."""
+    out = []
+    if not text or not CUES.search(text):
+        return out
+    for line in text.split("\n"):
+        if not CUES.search(line):
+            continue
+        sentences = _SENTENCE.split(line)
+        for segment in dict.fromkeys([line, *sentences]):
+            if CUES.search(segment):
+                out.append((len(segment.split()) if segment is not line or len(sentences) == 1 else 0, segment_words(segment)))
+    return out
+
+
 class Matcher:
     def __init__(self, templates: dict[str, tuple[str, ...]], frequencies: dict[str, int], files: int):
-        self.idf = {w: math.log((1 + files) / (1 + n)) + 1 for w, n in frequencies.items()}
-        self.other = math.log(1 + files) + 1
+        self.files = files
         self.vectors = []
         for name, texts in templates.items():
             for t in texts:
-                self.vectors.append((name, *self._vector(segment_words(t))))
+                self.vectors.append((name, *self._vector(segment_words(t), frequencies)))
 
-    def _vector(self, words: list[str]) -> tuple[dict[str, float], float]:
-        v = {w: n * self.idf.get(w, self.other) for w, n in Counter(words).items()}
+    def _vector(self, words: list[str], frequencies: dict[str, int]) -> tuple[dict[str, float], float]:
+        v = {w: n * (math.log((1 + self.files) / (1 + frequencies.get(w, 0))) + 1) for w, n in Counter(words).items()}
         return v, math.sqrt(sum(x * x for x in v.values()))
 
-    def best(self, words: list[str]) -> tuple[float, str]:
-        v, norm = self._vector(words)
+    def best(self, words: list[str], frequencies: dict[str, int]) -> tuple[float, str]:
+        v, norm = self._vector(words, frequencies)
         top, name = 0.0, ""
         for n, t, t_norm in self.vectors:
             dot = sum(x * t[w] for w, x in v.items() if w in t)
@@ -78,50 +92,57 @@ class Matcher:
                 top, name = dot / (norm * t_norm), n
         return top, name
 
-    def scan(self, text: str | None) -> tuple[str | None, float, float]:
+    def scan(self, segments: list[tuple[int, list[str]]], n_words: int, frequencies: dict[str, int]) -> tuple[str | None, float, float]:
         """License, cosine, and the part of the words that lies in license segments."""
         top, name, inside = 0.0, None, 0
-        if not text or not CUES.search(text):
-            return None, 0.0, 0.0
-        for line in text.split("\n"):
-            if not CUES.search(line):
-                continue
-            for segment in dict.fromkeys([line, *_SENTENCE.split(line)]):
-                if CUES.search(segment):
-                    words = segment_words(segment)
-                    cosine, found = self.best(words)
-                    if cosine >= SIMILAR:
-                        if segment is not line or len(_SENTENCE.split(line)) == 1:
-                            inside += len(segment.split())
-                        if cosine > top:
-                            top, name = cosine, found
-        return name, top, inside / max(1, len(text.split()))
-
-
-def _frequencies(files: DataFrame, templates: dict[str, tuple[str, ...]]) -> tuple[dict[str, int], int]:
-    vocabulary = frozenset(w for texts in templates.values() for t in texts for w in segment_words(t))
+        for size, words in segments:
+            cosine, found = self.best(words, frequencies)
+            if cosine >= SIMILAR:
+                inside += size
+                if cosine > top:
+                    top, name = cosine, found
+        return name, top, inside / max(1, n_words)
+
+
+def _frequencies(files: DataFrame) -> DataFrame:
+    """(word, n): the files that hold a word; those of the word "" are all files."""
 
     def per_batch(batch):
         c: Counter = Counter()
-        for t in batch[0].to_pylist():
-            c.update(vocabulary.intersection(w.strip(".,;:!?()'\"") for w in (t or "").lower().split()))
-            c[""] += 1
+        for t in batch["text"].to_pylist():
+            c.update({"", *segment_words(t or "")})
         return {"word": list(c), "n": list(c.values())}
 
-    got = {r.word: r.n for r in map_rows(files.select("text"), per_batch, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    return {w: got.get(w, 0) for w in vocabulary}, got.get("", 0)
+    return map_rows(files.select("text"), per_batch, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(doc_id, path, own_license, cosine, licence_file, license, from_dir) of files (doc_id, path, text)."""
     templates = templates or TEMPLATES
-    matcher = Matcher(templates, *_frequencies(files, templates))
 
-    def per_batch(batch):
-        got = [matcher.scan(t) for t in batch["text"].to_pylist()]
+    def cut(batch):
+        texts = batch["text"].to_pylist()
+        segments = [[{"size": n, "words": w} for n, w in candidates(t)] for t in texts]
+        n_words = [len((t or "").split()) if x else 0 for t, x in zip(texts, segments, strict=True)]
+        return {"doc_id": batch["doc_id"], "path": batch["path"], "n_words": n_words, "segments": segments}
+
+    found = map_rows(files.select("doc_id", "path", "text"), cut, "doc_id long, path string, n_words long, segments array<struct<size: long, words: array<string>>>")
+    found = stored(found.withColumn("row", F.monotonically_increasing_id()), "segments")
+    fixed = sorted({"", *(w for texts in templates.values() for t in texts for w in segment_words(t))})
+    words = found.select("row", F.explode(F.array_distinct(F.flatten("segments.words"))).alias("word"))
+    wanted = words.select("word").union(files.sparkSession.createDataFrame([(w,) for w in fixed], "word string")).distinct()
+    counts = stored(_frequencies(files).join(wanted, "word", "left_semi"), "words")
+    of_templates = {r.word: r.n for r in counts.where(F.col("word").isin(fixed)).collect()}
+    matcher = Matcher(templates, of_templates, of_templates.pop("", 0))
+    weighed = words.join(counts, "word").groupBy("row").agg(F.collect_list(F.struct("word", "n")).alias("counts"))
+
+    def match(batch):
+        got = []
+        for segments, n, known in zip(batch["segments"].to_pylist(), batch["n_words"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+            got.append(matcher.scan([(x["size"], x["words"]) for x in segments], n, {x["word"]: x["n"] for x in known or ()}))
         return {"doc_id": batch["doc_id"], "path": batch["path"], "own_license": [g[0] for g in got], "cosine": [g[1] for g in got], "share": [g[2] for g in got]}
 
-    own = map_rows(files.select("doc_id", "path", "text"), per_batch, "doc_id long, path string, own_license string, cosine double, share double")
+    own = map_rows(found.join(weighed, "row", "left").select("doc_id", "path", "n_words", "segments", "counts"), match, "doc_id long, path string, own_license string, cosine double, share double")
     parts = F.split("path", "/")
     named = F.coalesce(F.element_at(parts, -1).rlike(LICENSE_NAME), F.lit(False))
     own = own.withColumn("licence_file", F.col("own_license").isNotNull() & ((F.col("share") >= MOSTLY) | named)).drop("share")

@@ -156,3 +156,12 @@ def test_licenses(spark):
     assert (got[3].license, got[3].from_dir) == ("Apache-2.0", "") and got[8].license == "Apache-2.0"
     assert got[4].license == "CC-BY-NC-4.0" and not got[4].licence_file and got[6].license is None
     assert ls.scan_licenses(spark.createDataFrame([], "doc_id long, path string, text string")).collect() == []
+
+
+def test_license_weights_are_the_corpus_own(spark):
+    """A header with words that every file has is found whatever the number of files."""
+    rest = "by our project team for all of you and them"
+    for n in (40, 4000):
+        files = [(i, f"d/{i}.txt", rest) for i in range(n)] + [(n, "d/x.txt", "Licensed under the MIT License by our project team for all of you")]
+        got = {r.doc_id: r for r in ls.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+        assert got[n].own_license == "MIT" and got[0].own_license is None
