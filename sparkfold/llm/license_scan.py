@@ -1,8 +1,9 @@
 """License scan: sparse TF-IDF cosine of a text's segments to license templates, then inheritance down directories.
 
-Segments are lines and their sentences. A segment that has one of the ``CUES`` is weighed by TF-IDF, with document
+Segments are lines, paragraphs (lines joined), the sentences of both, the leading block of comment lines and, of files
+named like a licence or whose paragraphs are about licenses for the most part, the whole text. A segment that has one of the ``CUES`` is weighed by TF-IDF, with document
 frequencies of its words and the templates' counted over all files, and takes the template of greatest cosine if that is
-``SIMILAR`` or more. The words' counts are joined to the files that have segments. A file has the license of its best segment. A licence file (named like one, or made up of license
+``SIMILAR`` or more. The words' counts are joined to the files that have segments. A file has the license that its whole text resembles, or else that of its best segment. A licence file (named like one, or made up of license
 segments for the most part) gives its license to its directory; a file without one takes that of its nearest ancestor
 directory: ancestors of all files are joined with the licensed directories by path.
 
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfold.llm.common import map_rows, stored, table
+from sparkfold.llm.license_texts import TEXTS
 
 # Usual header sentences of licenses, by SPDX identifier.
 TEMPLATES = {
@@ -45,6 +47,8 @@ SIMILAR = 0.75
 MOSTLY = 0.5
 _WORD = re.compile(r"[a-z0-9][a-z0-9.\-]*[a-z0-9]|[a-z0-9]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+#: What a line of a leading block may begin with, beside blanks.
+_COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|--|;|%|<!--|\"\"\"|'''|\(\*|\.\.|$)")
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|copyright|notice)([.\-_].*)?$"
 
 
@@ -56,18 +60,45 @@ def segment_words(segment: str) -> list[str]:
 CUES = re.compile(r"licen[cs]e|permission|redistribution|public domain", re.I)
 
 
-def candidates(text: str | None) -> list[tuple[int, list[str]]]:
-    """Segments that may be about a license: how many words they add to the file's license segments, and their words."""
+LINE, PARAGRAPH, HEAD, WHOLE = range(4)
+
+
+def candidates(text: str | None, path: str | None = None) -> list[tuple[int, int, int, list[str]]]:
+    """Segments that may be about a license: kind, number of the paragraph, how many of its words it covers, words.
+
+    A sentence counts as a line; a paragraph's sentences over several lines have its number from 0, those of single
+    lines the same number less than 0.
+    """
     out = []
     if not text or not CUES.search(text):
         return out
-    for line in text.split("\n"):
-        if not CUES.search(line):
+    lines = text.split("\n")
+    paragraphs: list[list[str]] = [[]]
+    for line in lines:
+        if segment_words(line):
+            paragraphs[-1].append(line)
+        elif paragraphs[-1]:
+            paragraphs.append([])
+    total = about = 0
+    for number, part in enumerate(paragraphs):
+        joined = "\n".join(part)
+        total += len(joined.split())
+        if not CUES.search(joined):
             continue
-        sentences = _SENTENCE.split(line)
-        for segment in dict.fromkeys([line, *sentences]):
-            if CUES.search(segment):
-                out.append((len(segment.split()) if segment is not line or len(sentences) == 1 else 0, segment_words(segment)))
+        about += len(joined.split())
+        for line in part:
+            sentences = _SENTENCE.split(line)
+            for segment in dict.fromkeys([line, *sentences]):
+                if CUES.search(segment):
+                    out.append((LINE, -1 - number, len(segment.split()) if segment is not line or len(sentences) == 1 else 0, segment_words(segment)))
+        if len(part) > 1:
+            out.append((PARAGRAPH, number, len(joined.split()), segment_words(joined)))
+            out += [(LINE, number, len(x.split()), segment_words(x)) for x in _SENTENCE.split(joined) if "\n" in x and CUES.search(x)]
+    head = "\n".join(lines[: next((i for i, x in enumerate(lines) if not _COMMENT.match(x)), len(lines))])
+    if CUES.search(head):
+        out.append((HEAD, 0, len(head.split()), segment_words(head)))
+    if about >= MOSTLY * total or re.match(LICENSE_NAME, (path or "").rsplit("/", 1)[-1]):
+        out.append((WHOLE, 0, len(text.split()), segment_words(text)))
     return out
 
 
@@ -92,16 +123,27 @@ class Matcher:
                 top, name = dot / (norm * t_norm), n
         return top, name
 
-    def scan(self, segments: list[tuple[int, list[str]]], n_words: int, frequencies: dict[str, int]) -> tuple[str | None, float, float]:
+    def scan(self, segments: list[tuple[int, int, int, list[str]]], n_words: int, frequencies: dict[str, int]) -> tuple[str | None, float, float]:
         """License, cosine, and the part of the words that lies in license segments."""
-        top, name, inside = 0.0, None, 0
-        for size, words in segments:
+        top, name, whole = 0.0, None, False
+        lines: Counter = Counter()
+        paragraphs: dict[int, int] = {}
+        least = 0
+        for kind, number, size, words in segments:
             cosine, found = self.best(words, frequencies)
-            if cosine >= SIMILAR:
-                inside += size
-                if cosine > top:
-                    top, name = cosine, found
-        return name, top, inside / max(1, n_words)
+            if cosine < SIMILAR:
+                continue
+            if kind == LINE:
+                lines[number] += size
+            elif kind == PARAGRAPH:
+                paragraphs[number] = size
+            else:
+                least = max(least, size)
+            if (kind == WHOLE, cosine) > (whole, top):
+                top, name, whole = cosine, found, kind == WHOLE
+        numbers = {n if n >= 0 else -1 - n for n in [*lines, *paragraphs]}
+        inside = sum(paragraphs.get(n) or max(lines[n], lines[-1 - n]) for n in numbers)
+        return name, top, max(inside, least) / max(1, n_words)
 
 
 def _frequencies(files: DataFrame) -> DataFrame:
@@ -118,15 +160,15 @@ def _frequencies(files: DataFrame) -> DataFrame:
 
 def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(doc_id, path, own_license, cosine, licence_file, license, from_dir) of files (doc_id, path, text)."""
-    templates = templates or TEMPLATES
+    templates = templates or {name: TEMPLATES.get(name, ()) + TEXTS.get(name, ()) for name in {**TEMPLATES, **TEXTS}}
 
     def cut(batch):
         texts = batch["text"].to_pylist()
-        segments = [[{"size": n, "words": w} for n, w in candidates(t)] for t in texts]
+        segments = [[dict(zip(("kind", "part", "size", "words"), x, strict=True)) for x in candidates(t, p)] for t, p in zip(texts, batch["path"].to_pylist(), strict=True)]
         n_words = [len((t or "").split()) if x else 0 for t, x in zip(texts, segments, strict=True)]
         return {"doc_id": batch["doc_id"], "path": batch["path"], "n_words": n_words, "segments": segments}
 
-    found = map_rows(files.select("doc_id", "path", "text"), cut, "doc_id long, path string, n_words long, segments array<struct<size: long, words: array<string>>>")
+    found = map_rows(files.select("doc_id", "path", "text"), cut, "doc_id long, path string, n_words long, segments array<struct<kind: int, part: int, size: long, words: array<string>>>")
     found = stored(found.withColumn("row", F.monotonically_increasing_id()), "segments")
     fixed = sorted({"", *(w for texts in templates.values() for t in texts for w in segment_words(t))})
     words = found.select("row", F.explode(F.array_distinct(F.flatten("segments.words"))).alias("word"))
@@ -139,7 +181,7 @@ def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] | None
     def match(batch):
         got = []
         for segments, n, known in zip(batch["segments"].to_pylist(), batch["n_words"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-            got.append(matcher.scan([(x["size"], x["words"]) for x in segments], n, {x["word"]: x["n"] for x in known or ()}))
+            got.append(matcher.scan([(x["kind"], x["part"], x["size"], x["words"]) for x in segments], n, {x["word"]: x["n"] for x in known or ()}))
         return {"doc_id": batch["doc_id"], "path": batch["path"], "own_license": [g[0] for g in got], "cosine": [g[1] for g in got], "share": [g[2] for g in got]}
 
     own = map_rows(found.join(weighed, "row", "left").select("doc_id", "path", "n_words", "segments", "counts"), match, "doc_id long, path string, own_license string, cosine double, share double")

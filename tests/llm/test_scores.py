@@ -165,3 +165,21 @@ def test_license_weights_are_the_corpus_own(spark):
         files = [(i, f"d/{i}.txt", rest) for i in range(n)] + [(n, "d/x.txt", "Licensed under the MIT License by our project team for all of you")]
         got = {r.doc_id: r for r in ls.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
         assert got[n].own_license == "MIT" and got[0].own_license is None
+
+
+def test_license_headers_and_texts_over_lines(spark):
+    gnu = (
+        "/* frob.c: frobs\n * Copyright (C) 2020 Some Body\n *\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+        " * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version.\n */\nint frob() {{ return 1; }}\n"
+    )
+    isc = (
+        "Copyright (c) 2020, Some Body\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\n"
+        'copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\n'
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR\nANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES\nWHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS.\n"
+    )
+    bsd = ls.TEXTS["BSD-2-Clause"][0].replace(", ", ",\n").replace("reserved. ", "reserved.\n\n")
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n" + "The licenses for most software are designed to take away your freedom.\n" * 20
+    files = [(1, "a/x.c", gnu.format(3)), (2, "a/y.c", gnu.format(2)), (3, "i/LICENSE", isc), (4, "i/src/z.c", "int z;"), (5, "b/LICENSE", bsd), (6, "g/COPYING", gpl)]
+    got = {r.doc_id: r for r in ls.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert {i: r.license for i, r in got.items()} == {1: "GPL-3.0", 2: "GPL-2.0", 3: "ISC", 4: "ISC", 5: "BSD-2-Clause", 6: "GPL-2.0"}
+    assert got[3].licence_file and got[6].licence_file and not got[4].licence_file
