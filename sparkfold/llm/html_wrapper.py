@@ -44,8 +44,10 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![=\w\"'])(hidden)\b")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe svg math template xmp select object canvas audio video".split())
-DROP_TAGS = frozenset("nav header footer aside form head menu dialog button fieldset".split()) | RAW
+RAW = frozenset("script style textarea title".split())
+#: Elements that go with all they hold, nested too; without an end tag they hold nothing.
+EMBEDDED = frozenset("noscript iframe svg math template xmp select object canvas audio video".split())
+DROP_TAGS = frozenset("nav header footer aside form head menu dialog button fieldset".split()) | RAW | EMBEDDED
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 DROP_WORDS = re.compile(
     r"(?:^|[-_\s])(?:ads?|adv|adverts?|advertisements?|advertising|adsense|banner|sponsor(?:ed|s)?|promo(?:tion|s)?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|"
@@ -99,6 +101,20 @@ def parse(html: str | None) -> Element:
     root = Element("root", "root", False, False)
     stack, deep, at, src = [root], 0, 0, html or ""
     link, muted = False, ""
+    # Open embedded elements, which are in no parent's list, with the state before them.
+    held: list[tuple[Element, int, bool, str]] = []
+
+    def close(i: int) -> None:
+        """Closes the elements from place i; an embedded one without end tag gives what it took to its parent."""
+        parts: list[list] = []
+        while len(stack) > i:
+            e = stack.pop()
+            if held and held[-1][0] is e:
+                held.pop()
+                parts.append(e.kids)
+                if len(stack) == i or not held or held[-1][0] is not stack[-1]:
+                    while parts:
+                        stack[-1].kids.extend(parts.pop())
 
     def add(text: str) -> None:
         if not text or muted:
@@ -135,13 +151,21 @@ def parse(html: str | None) -> Element:
                 if tag == muted:
                     muted = ""
                 continue
+            if tag in EMBEDDED:
+                place = next((i for i in range(len(held) - 1, -1, -1) if held[i][0].tag == tag), None)
+                if place is not None:
+                    e, deep, link, muted = held[place]
+                    del held[place:]
+                    while stack.pop() is not e:
+                        pass
+                continue
             if deep and tag not in VOID:
                 deep -= 1
                 add("\n")
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     muted, link = "", False
                     break
             continue
@@ -157,20 +181,28 @@ def parse(html: str | None) -> Element:
             if tag == "hr" and stack[-1].kids:
                 stack[-1].kids.append(Element("hr", "hr", False, False))
             continue
+        if attrs.endswith("/") and (tag in EMBEDDED or any(e.tag in ("svg", "math") for e, *_ in held)):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(src, at)
             at = end.end() if end else n
             continue
         if attrs.endswith("/") and tag not in ("p", "div", "li"):
             continue
+        if tag in EMBEDDED:
+            e = Element(tag, tag, True, False)
+            held.append((e, deep, link, muted))
+            stack.append(e)
+            deep = 0
+            continue
         muted, link = "", False
         while len(stack) > 1 and stack[-1].tag == "p":
             stack.pop()
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in HOLDS or tag not in CLOSES:
+            if stack[i].tag in HOLDS or stack[i].tag in EMBEDDED or tag not in CLOSES:
                 break
             if stack[i].tag in CLOSES[tag]:
-                del stack[i:]
+                close(i)
                 break
         if len(stack) > MOST_DEPTH:
             deep += 1
@@ -179,6 +211,7 @@ def parse(html: str | None) -> Element:
         new = _element(tag, attrs)
         stack[-1].kids.append(new)
         stack.append(new)
+    close(1)
     return root
 
 

@@ -59,6 +59,22 @@ def test_wrappers_find_groups_options_and_constants(spark):
     assert hw.extract_pages(df.limit(0)).collect() == []
 
 
+def test_embedded_elements_end_where_they_end():
+    for x, want in (
+        ('<article><p>a <svg width="1"/> b<p>c</article>', "a b c"),
+        ("<article><p>a<video src=x/>b<p>c</article>", "ab c"),
+        ("<article><audio src=x><p>a<p>b</article><div>out</div><audio>no</audio>", "a b"),
+        ("<p>a <svg><g><svg><text>no</text></svg><text>no</text></g></svg> b", "a b"),
+        ("<p>a <object><object><p>no</object><p>no</p></object> b<object><p>c", "a b c"),
+        ("<ul><li>a<template><li>no</li></template> b<li>c</ul>", "a b c"),
+        ("<p>a<svg><title/><style/><path/></svg>b<select><option>no<option>no</select>c", "abc"),
+        ("<div>" * 400 + "a<svg><g>no<path></svg>b" + "</div>" * 400 + "c", "ab c"),
+        ("<p>a<canvas>" * 3000 + "b", " ".join(["a"] * 3000 + ["b"])),
+        ("<p>a<script>no<svg></script>b<textarea><p>no</textarea>c", "abc"),
+    ):
+        assert hw.extract(hw.parse(x), None) == want, x[:80]
+
+
 def test_wrappers_decide_inside_articles():
     def marked(i):
         own = "<ul><li><a href=/>own source</a></li></ul>" if i == 7 else ""
