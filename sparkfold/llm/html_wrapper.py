@@ -16,15 +16,18 @@ host's pages have, so that an article keeps a list of its own. Parts that the wr
 
 Defined results: null or empty html gives the empty text; markup that breaks off is read as far as it goes; rows that
 repeat are extracted alike; a null url is a host of its own; an empty table gives an empty table. A wrapper stops taking
-in new elements at ``MOST_NODES``; pages that differ from it lose no text by that.
+in new elements at ``MOST_NODES``. Such a host is decided by exact counts instead, made in Spark over all its pages:
+each slot and list has as its place the elements that lead to it, and a place is constant, or links, by the same rules.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
 import zlib
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -218,18 +221,22 @@ def parse(html: str | None) -> Element:
 class Node:
     """A member of a wrapper's sequence: element, group (key "()") or text slot (key "#")."""
 
-    __slots__ = ("key", "many", "opt", "n", "kids", "same", "chars", "links", "flag")
+    __slots__ = ("key", "many", "opt", "n", "kids", "same", "chars", "links", "flag", "full")
 
     def __init__(self, key, many=False, opt=False, n=1, kids=(), same=0, chars=0, links=0):
         self.key, self.many, self.opt, self.n, self.kids = key, many, opt, n, list(kids)
         self.same, self.chars, self.links, self.flag = same, chars, links, False
+        #: Elements were left out of it.
+        self.full = False
 
     def dump(self):
-        return [self.key, int(self.many), int(self.opt), self.n, self.same, self.chars, self.links, [k.dump() for k in self.kids]]
+        return [self.key, int(self.many), int(self.opt), self.n, self.same, self.chars, self.links, [k.dump() for k in self.kids], int(self.full)]
 
     @staticmethod
     def load(x) -> Node:
-        return Node(x[0], bool(x[1]), bool(x[2]), x[3], [Node.load(k) for k in x[7]], x[4], x[5], x[6])
+        out = Node(x[0], bool(x[1]), bool(x[2]), x[3], [Node.load(k) for k in x[7]], x[4], x[5], x[6])
+        out.full = bool(x[8])
+        return out
 
     def size(self) -> int:
         return 1 + sum(k.size() for k in self.kids)
@@ -242,6 +249,7 @@ def _shape(node: Node):
 def absorb(a: Node, b: Node, room: list[int], inside: bool = False) -> None:
     """Merges b into a; ``inside``: both are of one page, so a repetition and not another page."""
     a.many |= b.many
+    a.full |= b.full
     a.opt |= b.opt
     if not inside:
         a.n += b.n
@@ -290,6 +298,8 @@ def align(a: list[Node], b: list[Node], room: list[int], inside: bool = False) -
                 room[0] -= node.size()
                 node.opt = True
                 out.append(node)
+            else:
+                room[1] = 1
         if x < len(a):
             absorb(a[x], b[y], room, inside)
             out.append(a[x])
@@ -325,7 +335,7 @@ def fold(nodes: list[Node], room: list[int]) -> list[Node]:
 
 def skeleton(e: Element) -> Node:
     """The page's own expression."""
-    room = [MOST_NODES]
+    room = [MOST_NODES, 0]
     kids, chars, links = [], 0, 0
     for k in e.kids:
         if isinstance(k, Text):
@@ -337,13 +347,21 @@ def skeleton(e: Element) -> Node:
     kids = fold(kids, room)
     for k in kids:
         chars, links = chars + k.chars, links + k.links
-    return Node(e.key, kids=kids, chars=chars, links=links)
+    out = Node(e.key, kids=kids, chars=chars, links=links)
+    out.full = bool(room[1]) or any(_full(k) for k in kids)
+    return out
+
+
+def _full(node: Node) -> bool:
+    return node.full or (node.key == "()" and any(_full(k) for k in node.kids))
 
 
 def combine(a: Node | None, b: Node) -> Node:
     if a is None:
         return b
-    absorb(a, b, [MOST_NODES - a.size()])
+    room = [MOST_NODES - a.size(), 0]
+    absorb(a, b, room)
+    a.full |= bool(room[1])
     return a
 
 
@@ -379,16 +397,80 @@ def _has_main(e: Element) -> bool:
     return any(isinstance(k, Element) and not k.drop and (k.main or _has_main(k)) for k in e.kids)
 
 
-def extract(page: Element, wrapper: Node | None) -> str:
+def _place(above: int, key: str, nth: int = 0) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{above}/{nth}/{key}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def places(page: Element) -> list[tuple[int, bool, bool, int, int, int]]:
+    """(place, slot, repeated, checksum, chars, links) of the page's text slots and lists, each place once."""
+    found: dict[int, list] = {}
+
+    def walk(e: Element, here: int, repeated: bool) -> tuple[int, int]:
+        times = Counter(k.key for k in e.kids if isinstance(k, Element))
+        nth = chars = links = 0
+        for k in e.kids:
+            if isinstance(k, Text):
+                t, nth = k.text, nth + 1
+                at, row = _place(here, "#", nth), [True, repeated, zlib.crc32(t.encode("utf-8", "surrogatepass")), len(t), min(k.links, len(t))]
+            else:
+                at = _place(here, k.key)
+                row = [False, repeated or times[k.key] > 1, 0, 0, 0]
+                row[3:] = walk(k, at, row[1])
+            chars, links = chars + row[3], links + row[4]
+            if isinstance(k, Text) or k.tag in HOLDS:
+                if at in found:
+                    found[at][3] += row[3]
+                    found[at][4] += row[4]
+                else:
+                    found[at] = row
+        return chars, links
+
+    walk(page, 0, False)
+    return [(at, *row) for at, row in found.items()]
+
+
+def constant_places(pages: DataFrame) -> DataFrame:
+    """(host, html_key, places): what goes from each of the pages (host, html, html_key), by counts over all of them."""
+
+    def per_batch(batch):
+        rows = []
+        for host, key, source in zip(*(batch[c].to_pylist() for c in ("host", "html_key", "html")), strict=True):
+            # The row without a place counts the page.
+            rows += [(host, key, *x) for x in [(None, False, False, 0, 0, 0), *places(parse(source))]]
+        names = ("host", "html_key", "place", "slot", "repeated", "same", "chars", "links")
+        return dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)) if rows else None
+
+    schema = "host string, html_key string, place long, slot boolean, repeated boolean, same long, chars long, links long"
+    all_ = stored(map_rows(pages.select("host", "html_key", "html"), per_batch, schema), "places")
+    counts = all_.groupBy("host", "place").agg(
+        F.count("*").alias("n"), F.max("slot").alias("slot"), F.max("repeated").alias("repeated"), (F.min("same") == F.max("same")).alias("alike"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
+    )
+    counts = stored(counts, "places")
+    hosts = counts.groupBy("host").agg(
+        F.max(F.when(F.col("place").isNull(), F.col("n"))).alias("pages"), F.max(F.col("slot") & ~F.col("repeated") & ~F.col("alike")).alias("varied")
+    )
+    often = (F.col("n") >= CONST_PAGES) & (F.col("n") >= CONST_SHARE * F.col("pages"))
+    slot = F.col("slot") & F.col("varied") & ~F.col("repeated") & F.col("alike") & often
+    links = ~F.col("slot") & (F.col("chars") > 0) & (F.col("links") >= LINK_SHARE * F.col("chars"))
+    gone = counts.where("place is not null").join(hosts, "host").where(slot | links).select("host", "place", often.alias("often"))
+    chosen = all_.select("host", "html_key", "place").distinct().join(gone, ["host", "place"])
+    return chosen.groupBy("host", "html_key").agg(F.collect_list(F.struct("place", "often")).alias("places"))
+
+
+def extract(page: Element, wrapper: Node | None, gone: dict[int, bool] | None = None) -> str:
+    """The page's main text; ``gone``: instead of the wrapper's, the places that go, and whether most pages have them."""
     blocks: list[str] = []
     marked = _has_main(page)
     least = max(CONST_PAGES, CONST_SHARE * wrapper.n) if marked and wrapper is not None else 0
 
-    def cut(node: Node | None) -> bool:
+    def cut(node: Node | None, place: int) -> bool:
+        if gone is not None:
+            return place in gone and (gone[place] or not marked)
         return node is not None and node.flag and node.n >= least
 
-    def walk(e: Element, w: Node | None, inside: bool) -> None:
+    def walk(e: Element, w: Node | None, inside: bool, here: int) -> None:
         inside |= e.main
+        nth = 0
         members = _members(w) if w is not None else []
         at = 0
         for k in e.kids:
@@ -400,18 +482,20 @@ def extract(page: Element, wrapper: Node | None) -> str:
             at = match if match is not None else at
             if node is not None and key == "#" and not node.many:
                 at += 1
+            nth += key == "#"
+            place = _place(here, key, nth if key == "#" else 0) if gone is not None else 0
             if isinstance(k, Text):
-                if inside and not cut(node):
+                if inside and not cut(node, place):
                     blocks.append(k.text)
             elif k.drop:
                 if k.tag == "header" and inside:
                     for h in k.kids:
                         if isinstance(h, Element) and re.fullmatch("h[1-6]", h.tag):
-                            walk(h, None, True)
-            elif not cut(node):
-                walk(k, node, inside)
+                            walk(h, None, True, _place(place, h.key) if gone is not None else 0)
+            elif not cut(node, place):
+                walk(k, node, inside, place)
 
-    walk(page, wrapper, not marked)
+    walk(page, wrapper, not marked, 0)
     return " ".join(b for b in blocks if b)
 
 
@@ -420,7 +504,7 @@ def _host(url):
 
 
 def wrappers(pages: DataFrame, parts: int = 32) -> DataFrame:
-    """(host, wrapper): one expression a host, from all its pages."""
+    """(host, wrapper, full): one expression a host, from all its pages; full: it has elements left out."""
 
     def per_partition(batches):
         import pyarrow as pa
@@ -451,18 +535,25 @@ def wrappers(pages: DataFrame, parts: int = 32) -> DataFrame:
 
     first = pages.mapInArrow(per_partition, "host string, wrapper string")
     level = first.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(parts))).groupBy("host", "part").applyInArrow(merged, "host string, wrapper string")
-    return level.groupBy("host").applyInArrow(merged, "host string, wrapper string")
+    # The root's own mark ends the text.
+    return level.groupBy("host").applyInArrow(merged, "host string, wrapper string").withColumn("full", F.col("wrapper").endswith(", 1]"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page (page_id, url, html)."""
     hosted = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
     known = stored(wrappers(hosted.select("host", "html")), "wrappers")
+    joined = hosted.join(known, "host", "left")
+    if known.where("full").isEmpty():
+        joined = joined.withColumn("places", F.lit(None).cast("array<struct<place: long, often: boolean>>"))
+    else:
+        keyed = joined.withColumn("html_key", F.when(F.col("full"), F.sha2(F.coalesce("html", F.lit("")), 256)))
+        joined = keyed.join(constant_places(keyed.where("full")), ["host", "html_key"], "left")
     cache: dict[str, Node] = {}
 
     def per_batch(batch):
         texts = []
-        for source, w in zip(batch["html"].to_pylist(), batch["wrapper"].to_pylist(), strict=True):
+        for source, w, full, known_places in zip(*(batch[c].to_pylist() for c in ("html", "wrapper", "full", "places")), strict=True):
             node = None
             if w is not None:
                 node = cache.get(w)
@@ -470,11 +561,11 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                     if len(cache) > 500:
                         cache.clear()
                     node = cache[w] = judge(Node.load(json.loads(w)))
-            texts.append(extract(parse(source), node))
+            texts.append(extract(parse(source), node, {x["place"]: x["often"] for x in known_places or ()} if full else None))
         return {"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
     # Spark broadcasts the wrappers if their files are small enough for it, and shuffles both sides otherwise.
-    return map_rows(hosted.join(known, "host", "left").select("page_id", "url", "html", "wrapper"), per_batch, "page_id long, url string, text string, n_chars long")
+    return map_rows(joined.select("page_id", "url", "html", "wrapper", "full", "places"), per_batch, "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,23 @@ def test_wrappers_find_groups_options_and_constants(spark):
     assert hw.extract_pages(df.limit(0)).collect() == []
 
 
+def test_hosts_beyond_the_bound_are_counted_exactly(spark):
+    """Templates of their own in every sixth page fill the wrapper; what is left out is decided by counts."""
+
+    names = [a + b for a in "ghijkmqrstuvwxyz" for b in "ghijkmqrstuvwxyz" * 2][:500]
+
+    def many(i):
+        t = i % 6
+        lis = "".join(f"<li><a href=/{j}>link {j}</a></li>" for j in range(3))
+        own = "".join(f"<div class=k{'abcdef'[t]}{x}{'pq'[y % 2]}>w {i} {y}</div>" for y, x in enumerate(names))
+        return f"<body><div class=t{'abcdef'[t]}>{own}<ul>{lis}</ul><div class=x>Body {i}</div></div><div class=zz>Same notice everywhere</div></body>"
+
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", many(i)) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    assert hw.wrappers(df.withColumn("host", F.lit("h"))).first().full
+    for r in hw.extract_pages(df).collect():
+        assert r.text == " ".join(f"w {r.page_id} {y}" for y in range(500)) + f" Body {r.page_id}"
+
+
 def test_embedded_elements_end_where_they_end():
     for x, want in (
         ('<article><p>a <svg width="1"/> b<p>c</article>', "a b c"),
