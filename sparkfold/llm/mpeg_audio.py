@@ -231,6 +231,8 @@ def pack(data: bytes) -> bytes:
         frames += 1
     audio = b"".join(parts)
     total = len(audio)
+    # Audio that looks as if it ended in an ID3v1 tag gets a real, empty one behind it.
+    end = b"TAG" + bytes(125) if audio[-128:-125] == b"TAG" else b""
     marks = [max(0, min(frames * i // 100, frames - 1)) * length for i in range(100)]
     toc = bytes(min(255, m * 256 // max(total, 1)) for m in marks)
     _, head, size = _FRAMES[3 if len(_FRAMES[3][1]) + 120 <= _FRAMES[3][2] else -1]
@@ -238,12 +240,15 @@ def pack(data: bytes) -> bytes:
     xing += bytes(size - len(xing))
     tag = _text_frame("payload_bytes", str(len(data)))
     n = len(tag)
-    return b"ID3\x04\0\0" + bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127)) + tag + xing + audio
+    return b"ID3\x04\0\0" + bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127)) + tag + xing + audio + end
 
 
 def payload(data: bytes, stream: Stream) -> bytes:
     size = int(stream.tags.get("payload_bytes", "0"))
-    return b"".join([data[a:b] for a, b in stream.bodies])[:size]
+    found = b"".join([data[a:b] for a, b in stream.bodies])[:size]
+    if len(found) < size:
+        raise ValueError(f"{len(found)} bytes of a payload of {size}")
+    return found
 
 
 def feature(s: Stream) -> str:

@@ -179,6 +179,17 @@ def test_audio_resynchronises_and_verifies():
     assert mp.parse(b"").samples == 0 and mp.parse(b"\xff" * 100).offsets == [] and mp.parse(media[: at + 50]).skipped > 0
 
 
+def test_audio_payload_that_looks_like_a_tag():
+    n = 100_000
+    for at in range(n - 400, n - 2):
+        data = bytes(at) + b"TAG" + bytes(n - at - 3)
+        media = mp.pack(data)
+        s = mp.parse(media)
+        assert mp.payload(media, s) == data and s.skipped == 0 and s.vbr_frames == len(s.offsets)
+    with pytest.raises(ValueError):
+        mp.payload(media[:-10], mp.parse(media[:-10]))
+
+
 def test_audio_headers():
     h = mp.header(0xFFFB9064)
     assert (h.layer, h.kbits, h.rate, h.length, h.samples, h.protected) == (3, 128, 44100, 417, 1152, False)
