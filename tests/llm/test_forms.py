@@ -235,3 +235,56 @@ def test_pipeline_drops_near_copies_from_080(spark):
     rows += [(i, " ".join(f"{tag}{w}" for w in t), "en", "s", 1) for tag, group in (("a", ((3, words), (4, far))), ("b", ((5, words), (6, near)))) for i, t in group]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3, 4, 5]
+
+
+@pytest.mark.skipif(not os.path.exists(pv.MODEL), reason="no tokenizer files")
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """run() against the stages in plain Python; mixing by its SQL; without labels only the base rule rejects."""
+    import duckdb
+
+    from sparkfold.llm.mixing import OP1_SQL
+
+    rnd = random.Random(5)
+    rows = []
+    for i in range(14):
+        words = [f"d{i}w{j}" for j in range(104)]
+        lines = ["Shared line of many documents"] * (i % 3 == 0) + [" ".join(words[:52]), " ".join(words[52:])]
+        rows.append((3 * i + 1, "\n".join(lines), "en", "abc"[i % 3], 1))
+        if i % 4 == 1:  # near copies; two or three words apart: 0.81 or 0.73 alike
+            other = list(words)
+            for j in (20, 75) if i < 9 else (20, 50, 80):
+                other[j] = f"x{rnd.randrange(999)}"
+            rows.append((3 * i + 2, " ".join(other), "en", "abc"[i % 3], 1))
+    rows += [(90, "too short", "en", "a", 1), (91, "same three words " * 30, "en", "b", 1), (92, None, "en", "c", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def base_rule(text):
+        w = (text or "").split()
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        covered = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 3)}
+        return len(w) >= 50 and 2 * len(covered) <= len(w)
+
+    docs = [(i, t, s) for i, t, _, s, _ in rows if base_rule(t)]
+    assert len(docs) == len(rows) - 3
+    first: dict[str, int] = {}
+    for i, t, _ in sorted(docs):
+        for x in t.split("\n"):
+            first.setdefault(x.strip().lower(), i)
+    docs = [(i, "\n".join(x for x in t.split("\n") if len(x.strip()) < 10 or first[x.strip().lower()] == i), s) for i, t, s in docs]
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+
+    near = {i for i, t, _ in docs for j, u, _ in docs if j < i and 5 * len(shingles(t) & shingles(u)) >= 4 * len(shingles(t) | shingles(u))}
+    docs = [d for d in docs if d[0] not in near]
+    assert near
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?)", docs)
+    copies = {i: taken // size for i, size, taken in c.execute(f"SELECT doc_id, size, taken FROM ({OP1_SQL})").fetchall()}
+    want = sorted((i, t) for i, t, _ in docs for _ in range(copies[i]))
+    pieces = pv.Pieces(pv.Pieces.load(pv.MODEL))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, pieces.decode(r.ids)) for r in got) == want and all(r.exact for r in got)
