@@ -108,17 +108,75 @@ def test_forest_rejects_junk_and_keeps_the_rest(spark):
 # --- language model
 
 
-def test_model_is_a_distribution():
-    rng = np.random.default_rng(0)
-    m = lm.Model(rng.normal(size=(lm.Model.ROWS, lm.CLASSES)))
-    near, far, a, b = m.tables()
-    for x, y in ((0, 5), (100, 7), (4095, 4095)):
-        p = np.exp(near[x] + far[y]) / (a[x] @ b[y])
-        assert abs(p.sum() - 1) < 1e-4
-        c1, c2, c3, c4 = x // 64, x % 64, y // 64, y % 64
-        direct = m.bias + m.one[c1] + m.two[c2] + m.four[c4] + m.near[lm._pair(np.array(c1), np.array(c2), 0)] + m.far[lm._pair(np.array(c3), np.array(c4), 7)]
-        p2 = np.exp(direct - direct.max())
-        assert np.allclose(p, p2 / p2.sum(), rtol=1e-3, atol=1e-6)
+def tiny_model(spark, texts):
+    classes = lm.Classes([b"the", b"of"], [b"ing", b"ion"])
+    vocabulary = lm.Vocabulary(classes, {b"the": 5, b"of": 3, lm.END: 2})
+    flat, at, stops = lm.numbered(vocabulary, texts)
+    return classes, vocabulary, flat, at, stops
+
+
+def test_model_is_a_distribution_over_named_features(spark):
+    """Every factor is a softmax of the sum of the rows that the words before name."""
+    w = [np.random.default_rng(0).normal(size=x.shape).astype(np.float32) for x in lm.start_weights(np.ones((lm.CLASSES, lm.GROUPS)))]
+    _, v, flat, at, stops = tiny_model(spark, ["the thing of motion notion", None, "", "of of of"])
+    assert list(stops) == [6, 7, 8, 12]
+    assert [v.tokens[i] for i in flat[at]] == [*b"the thing of motion notion".split(), *[lm.END] * 3, *[b"of"] * 3, lm.END]
+    rows = lm.feature_rows(v.name[flat], v.klass[flat], at)
+    for x, got, first, part in zip(w, lm.both(w, rows, len(at)), lm.FIRST, rows, strict=True):
+        for t in range(len(at)):
+            s = sum(x[first[i] + (0 if r is None else int(r[t]))].astype(float) for i, r in enumerate(part))
+            assert np.allclose(got[t], np.exp(s) / np.exp(s).sum(), atol=1e-5)
+    assert v.name[flat][at[1]] != v.name[flat][at[3]] and v.klass[v[b"motion"]] == v.klass[v[b"notion"]]
+
+
+def test_a_round_is_the_gradient_of_the_likelihood(spark):
+    """Observed less expected counts equal the numerical derivative of the log-likelihood."""
+    _, v, flat, at, _ = tiny_model(spark, ["the thing of motion and the notion of being", "of the ring"])
+    names, kinds, groups = v.name[flat], v.klass[flat], v.group[flat]
+    k, g = kinds[at].astype(int), groups[at].astype(int)
+    rows = lm.feature_rows(names, kinds, at)
+    w = [np.random.default_rng(1).normal(size=x.shape).astype(np.float32) / 4 for x in lm.start_weights(np.ones((lm.CLASSES, lm.GROUPS)))]
+    every = np.arange(len(at))
+    for factor, target in enumerate((k, g)):
+        sums = lm.Sums(factor)
+        sums.add(lm.both(w, rows, len(at))[factor], rows[factor], target)
+        likelihood = lambda: np.log(lm.both(w, rows, len(at))[factor][every, target].astype(float)).sum()  # noqa: B023, E731
+        for region in range(len(rows[factor])):
+            r = rows[factor][region]
+            row = lm.FIRST[factor][region] + (0 if r is None else int(r[2]))
+            for o in (int(target[2]), 3):
+                kept = w[factor][row, o]
+                w[factor][row, o] = kept + 0.05
+                up = likelihood()
+                w[factor][row, o] = kept - 0.05
+                down = likelihood()
+                w[factor][row, o] = kept
+                assert abs((up - down) / 0.1 - sums.gap[o, row] / lm.UNIT) < 5e-3
+        assert sums.seen[:, : lm.FIRST[factor][1]].sum() == len(at)
+
+
+def test_scores_do_not_depend_on_the_partitioning(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    one, seven = (sorted((r.doc_id, r.score) for r in lm.score_texts(x).collect()) for x in (d.repartition(1), d.repartition(7, "text")))
+    assert one == seven
+
+
+def test_head_where_tokens_tie(spark):
+    ties = spark.range(20000).select(F.col("id").cast("string").cast("binary").alias("token"), F.lit(1).cast("long").alias("n"))
+    assert 500 < len(lm.head_of(ties, 1000)) <= 1000
+    some = ties.limit(300).union(spark.createDataFrame([(b"x", 50), (b"y", 50), (b"z", 9)], "token binary, n long"))
+    assert list(lm.head_of(some, 1000))[:3] == [b"x", b"y", b"z"] and len(lm.head_of(some, 1000)) == 303
+    assert list(lm.head_of(some, 3))[:2] == [b"x", b"y"] and lm.head_of(ties.limit(0), 10) == {}
+
+
+def test_scores_of_awkward_rows(spark):
+    """Repeated rows score alike, a long text is scored whole, and clashing columns are left alone."""
+    long = "one two three " * 40_000
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (2, long), (None, None), (3, "")] + [(i, "a b c d e f") for i in range(10, 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit("x") for x in ("row", "token", "n", "h", "held_out", "score")})
+    got = lm.score_texts(d).collect()
+    assert len(got) == len(rows) and len({(r.score, r.base_score) for r in got if r.doc_id == 1}) == 1
+    assert next(r.n_tokens for r in got if r.doc_id == 2) == 120_001
 
 
 def test_base_scores_are_exact_and_the_model_better(spark, sf, monkeypatch):
