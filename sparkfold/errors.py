@@ -73,3 +73,5 @@ OutputOverlapsInput = _kind("OutputOverlapsInput", AliasError, "the sink lies in
 OutputOnlyLabel = _kind("OutputOnlyLabel", Unsupported, "a label of D is in neither A nor B")
 DatatypeUnsupported = _kind("DatatypeUnsupported", Unsupported, "no such element type")
 StrategyRefused = _kind("StrategyRefused", Unsupported, "the requested strategy can't do this problem")
+WouldMaterialize = _kind("WouldMaterialize", Unsupported, "operands would be copied against the requirement")
+BadCoordinate = _kind("BadCoordinate", LayoutError, "a coordinate or value is null, or a coordinate out of range")

@@ -52,6 +52,7 @@ def num(dtype: DType, prefix: str = "") -> Num:
 
 
 def operands(p: Problem, a: Tensor, b: Tensor, reduce_alone: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Both sides as (j, o, re, im) with prefixes a and b. Unless isolated labels are summed here, their position is x."""
     shared, out = [*p.h, *p.k], p.output_labels
     own_b = [x for x in out if x not in p.labels.a]
     own_a = [x for x in out if x in p.labels.a]
@@ -64,10 +65,11 @@ def operands(p: Problem, a: Tensor, b: Tensor, reduce_alone: bool = True) -> tup
             if p.extent[x] != 1:
                 o = o + at[x] * F.lit(strides[x]).cast("long")
         parts = ("re", "im")[: 1 + p.dtype.complex]
-        rows = rows.select(linear(shared, p.extent, at).alias("j"), o.alias("o"), *[F.col(c) for c in parts])
+        own = linear(alone, p.extent, at) if not reduce_alone else F.lit(0).cast("long")
+        rows = rows.select(linear(shared, p.extent, at).alias("j"), o.alias("o"), own.alias("x"), *[F.col(c) for c in parts])
         if alone and reduce_alone:
-            rows = rows.groupBy("j", "o").agg(*[F.sum(c).alias(c) for c in parts])
-        return rows.select(*[F.col(c).alias(prefix + c) for c in ("j", "o", *parts)])
+            rows = rows.groupBy("j", "o", "x").agg(*[F.sum(c).alias(c) for c in parts])
+        return rows.select(*[F.col(c).alias(prefix + c) for c in ("j", "o", *(() if reduce_alone else ("x",)), *parts)])
 
     return keys(a, p.labels.a, p.a.op, own_a, p.alone_a, "a"), keys(b, p.labels.b, p.b.op, own_b, p.alone_b, "b")
 
@@ -76,45 +78,97 @@ def _bytes(dims: Sequence[int], dtype: DType) -> int:
     return product(dims) * (8 * len(dims) + (16 if dtype.complex else 8))
 
 
-def paired(p: Problem, a: DataFrame, b: DataFrame, orient: str) -> DataFrame:
-    """The join of both sides; ``orient`` ab builds on b, ba on a, rule leaves it to Catalyst."""
-    if orient == "ab" and _bytes(p.b.dims, p.dtype) <= BROADCAST_BYTES:
-        b = F.broadcast(b)
-    if orient == "ba" and _bytes(p.a.dims, p.dtype) <= BROADCAST_BYTES:
-        a = F.broadcast(a)
-    if not (p.h or p.k):
-        return a.drop("aj").crossJoin(b.drop("bj"))
-    return a.join(b, F.col("aj") == F.col("bj")).drop("bj")
+#: Rows of one key that meet one another in a task; keys with more are split on both sides.
+MEET = 4096
+#: Products of one key from which it is split.
+HOT = MEET * MEET
+
+
+def key_counts(p: Problem, a: Tensor, b: Tensor, reduce_alone: bool = True) -> DataFrame:
+    """(j, na, nb): rows of both sides by join key, of keys that both have."""
+    left, right = operands(p, a, b, reduce_alone)
+    na = left.groupBy(F.col("aj").alias("j")).agg(F.count("*").alias("na"))
+    return na.join(right.groupBy(F.col("bj").alias("j")).agg(F.count("*").alias("nb")), "j")
+
+
+def split_hot(a: DataFrame, b: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Gives rows of hot keys a part of their own side and copies for the parts of the other: no two rows meet twice,
+    and no task gets more than about ``MEET`` rows of a side of one key."""
+    parts = hot.select(F.col("j").alias("hj"), F.ceil(F.col("na") / MEET).cast("int").alias("sa"), F.ceil(F.col("nb") / MEET).cast("int").alias("sb"))
 
+    def cut(df: DataFrame, x: str, own: str, other: str) -> DataFrame:
+        one = F.coalesce(F.col(own), F.lit(1))
+        out = df.join(parts, F.col(x + "j") == F.col("hj"), "left").withColumn("_own", F.pmod(F.xxhash64(*df.columns), one).cast("int"))
+        out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)))
+        pair = ("_own", "_other") if x == "a" else ("_other", "_own")
+        return out.select(*df.columns, F.col(pair[0]).alias(x + "p"), F.col(pair[1]).alias(x + "q"))
 
-def join_agg(p: Problem, a: Tensor, b: Tensor, orient: str = "rule", deterministic: bool = False, strict: bool = False) -> DataFrame:
+    return cut(a, "a", "sa", "sb"), cut(b, "b", "sb", "sa")
+
+
+def paired(p: Problem, a: DataFrame, b: DataFrame, orient: str, partitions: int | None = None, hot: DataFrame | None = None) -> DataFrame:
+    """The join of both sides; ``orient`` ab builds on b, ba on a, rule leaves it to Catalyst. ``partitions``: into how
+    many the work is dealt. ``hot``: (j, na, nb) of keys to split."""
+    if not (p.h or p.k):
+        a = a.repartition(partitions) if partitions else a
+        return a.drop("aj").crossJoin(b.drop("bj"))
+    on = ["j"]
+    if hot is not None:
+        (a, b), on = split_hot(a, b, hot), ["j", "p", "q"]
+    small_b, small_a = (orient == side and _bytes(t.dims, p.dtype) <= BROADCAST_BYTES for side, t in (("ab", p.b), ("ba", p.a)))
+    if partitions:
+        a = a if small_a else a.repartition(partitions, *["a" + x for x in on])
+        b = b if small_b else b.repartition(partitions, *["b" + x for x in on])
+    a, b = F.broadcast(a) if small_a else a, F.broadcast(b) if small_b else b
+    same = F.col("aj") == F.col("bj")
+    for x in on[1:]:
+        same = same & (F.col("a" + x) == F.col("b" + x))
+    return a.join(b, same).drop(*["b" + x for x in on], "ap", "aq")
+
+
+def join_agg(p: Problem, a: Tensor, b: Tensor, orient: str = "rule", deterministic: bool = False, strict: bool = False, partitions: int | None = None, hot: DataFrame | None = None) -> DataFrame:
     """(o, re, im): equi-join on the shared labels, then one sum per output element."""
     left, right = operands(p, a, b, reduce_alone=not strict)
-    joined = paired(p, left, right, orient)
+    joined = paired(p, left, right, orient, partitions, hot)
     x = num(p.dtype, "a") * num(p.dtype, "b")
     j = F.col("aj") if p.h or p.k else F.lit(0).cast("long")
     parts = [x.re.alias("re")] + ([x.im.alias("im")] if x.im is not None else [])
+    alone = strict and (p.alone_a or p.alone_b)
+    if alone:
+        j = (j * F.lit(p.size(p.alone_a)) + F.col("ax")) * F.lit(p.size(p.alone_b)) + F.col("bx")
     terms = joined.select((F.col("ao") + F.col("bo")).alias("o"), j.alias("j"), *parts)
-    return summed(terms, p.dtype, deterministic) if p.k or strict and (p.alone_a or p.alone_b) else terms.drop("j")
+    positions = p.size([*p.h, *p.k]) * (p.size([*p.alone_a, *p.alone_b]) if alone else 1)
+    return summed(terms, p.dtype, deterministic, positions) if p.k or alone else terms.drop("j")
 
 
-def summed(terms: DataFrame, dtype: DType, deterministic: bool) -> DataFrame:
-    parts = ("re", "im")[: 1 + dtype.complex]
-    if not deterministic:
-        return terms.groupBy("o").agg(*[F.sum(c).alias(c) for c in parts])
-    # Terms in the order of the contracted key: the same bits under any partitioning.
-    ordered = terms.groupBy("o").agg(F.array_sort(F.collect_list(F.struct("j", *parts))).alias("t"))
+def _running(part: str) -> Column:
+    return F.aggregate("t", F.lit(0.0), lambda s, x: s + x[part])
 
-    def total(part: str) -> Column:
-        return F.aggregate("t", F.lit(0.0), lambda s, x: s + x[part])
 
-    return ordered.select("o", *[total(c).alias(c) for c in parts])
+#: Terms of an ordered partial sum, at most.
+ORDERED = 1024
 
 
-def elementwise(p: Problem, a: Tensor, b: Tensor, orient: str = "rule") -> DataFrame:
+def summed(terms: DataFrame, dtype: DType, deterministic: bool, positions: int) -> DataFrame:
+    """(o, re, im) from (o, j, re, im), 0 <= j < ``positions``."""
+    parts = ("re", "im")[: 1 + dtype.complex]
+    if not deterministic:
+        return terms.groupBy("o").agg(*[F.sum(c).alias(c) for c in parts])
+    # Partial sums of fixed ranges of j, in the order of j, then of ranges of ranges: the same bits under any
+    # partitioning, and no list longer than ORDERED.
+    while True:
+        bucket = F.expr(f"j div {ORDERED}L") if positions > ORDERED else F.lit(0).cast("long")
+        ordered = terms.withColumn("b", bucket).groupBy("o", "b").agg(F.array_sort(F.collect_list(F.struct("j", *parts))).alias("t"))
+        total = [_running(c).alias(c) for c in parts]
+        if positions <= ORDERED:
+            return ordered.select("o", *total)
+        terms, positions = ordered.select("o", F.col("b").alias("j"), *total), -(-positions // ORDERED)
+
+
+def elementwise(p: Problem, a: Tensor, b: Tensor, orient: str = "rule", partitions: int | None = None) -> DataFrame:
     """(o, re, im) of a problem with batch labels only: a join and a product, no aggregate."""
     left, right = operands(p, a, b)
-    joined = paired(p, left, right, orient)
+    joined = paired(p, left, right, orient, partitions)
     x = num(p.dtype, "a") * num(p.dtype, "b")
     return joined.select((F.col("ao") + F.col("bo")).alias("o"), x.re.alias("re"), *([x.im.alias("im")] if x.im is not None else []))
 
@@ -132,52 +186,94 @@ def multiply_3m(a, b):
     return (x - y) + 1j * ((a.real + a.imag) @ (b.real + b.imag) - x - y)
 
 
-def block_gemm(p: Problem, a: Tensor, b: Tensor, size: int, tile: TileFunction = multiply, deterministic: bool = False) -> DataFrame:
-    """(o, re, im) by tiles: rows are gathered into size x size tiles, tiles joined on batch and contraction block, and
-    multiplied in Arrow batches. A tile is bounded by its size, so no task holds more than a few."""
+def blocks_of(p: Problem, size: int) -> tuple[int, int, int]:
+    """Blocks of the output's rows, its columns and the contraction."""
+    return tuple(max(1, -(-p.size(x) // size)) for x in (p.m, p.n, p.k))
+
+
+def block_gemm(
+    p: Problem, a: Tensor, b: Tensor, size: int, tile: TileFunction = multiply, deterministic: bool = False, every_cell: bool = False, partitions: int | None = None
+) -> DataFrame:
+    """(o, re, im) by blocks of at most size x size elements.
+
+    Each cell goes to the output blocks it takes part in (its row of blocks or its column of blocks), with its
+    contraction block. A task reads its cells in the order of output block and contraction block, fills a block of both
+    sides at a time, multiplies them and adds the product to the output block it is at, which it gives out when the next
+    one begins: it holds three blocks and their product, whatever the extents. Sums over tasks run in Spark. Cells of
+    value 0 are left out unless ``every_cell``.
+    """
     dtype = p.dtype
+    parts = ("re", "im")[: 1 + dtype.complex]
     strides = dict(zip(p.output_labels, LayoutSpec.row_major([p.extent[x] for x in p.output_labels]).strides, strict=True))
+    m_blocks, n_blocks, _ = blocks_of(p, size)
+    rows_m, rows_n = p.size(p.m), p.size(p.n)
 
-    def side(t, labels, op, role, alone, row_first):
+    def side(t, labels, op, role, alone, first):
         rows, at = labelled(t, labels, op)
-        parts = ("re", "im")[: 1 + dtype.complex]
-        own = linear(role, p.extent, at)
-        rows = rows.select(linear(p.h, p.extent, at).alias("h"), own.alias("r"), linear(p.k, p.extent, at).alias("k"), *parts)
+        rows = rows.select(linear(p.h, p.extent, at).alias("h"), linear(role, p.extent, at).alias("r"), linear(p.k, p.extent, at).alias("k"), *parts)
         if alone:
             rows = rows.groupBy("h", "r", "k").agg(*[F.sum(c).alias(c) for c in parts])
-        x = "a" if row_first else "b"
-        r, k = (F.col("r") % size).cast("int"), (F.col("k") % size).cast("int")
-        cell = (r * size + k) if row_first else (k * size + r)
-        gathered = rows.groupBy("h", F.expr(f"r div {size}").alias(f"{x}r"), F.expr(f"k div {size}").alias("kb")).agg(
-            F.collect_list(cell).alias(f"{x}i"), *[F.collect_list(c).alias(x + c) for c in parts]
-        )
-        return gathered
-
-    left = side(a, p.labels.a, p.a.op, p.m, p.alone_a, True)
-    right = side(b, p.labels.b, p.b.op, p.n, p.alone_b, False)
-    joined = left.join(right, ["h", "kb"])
-    schema = "h long, m long, n long, j long, re double" + (", im double" if dtype.complex else "")
+        own = F.expr(f"r div {size}L")
+        mine, others = (own, n_blocks) if first else (own, m_blocks)
+        rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))) if others > 1 else F.lit(0).cast("long"))
+        m, n = ("mine", "other") if first else ("other", "mine")
+        return rows.select(
+            ((F.col("h") * m_blocks + F.col(m)) * n_blocks + F.col(n)).alias("block"), F.expr(f"k div {size}L").alias("kb"),
+            F.lit(0 if first else 1).cast("byte").alias("side"), (F.col("r") % size).cast("int").alias("r"), (F.col("k") % size).cast("int").alias("k"), *parts,
+        )
+
+    cells = side(a, p.labels.a, p.a.op, p.m, p.alone_a, True).unionByName(side(b, p.labels.b, p.b.op, p.n, p.alone_b, False))
+    cells = cells.repartition(partitions, "block", "kb") if partitions else cells.repartition("block", "kb")
+    kind = "complex128" if dtype.complex else "float64"
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def dense(row, x):
-            out = np.zeros(size * size, np.complex128 if dtype.complex else np.float64)
-            v = np.array(row[x + "re"], float)
-            out[np.array(row[x + "i"], np.int64)] = v + 1j * np.array(row[x + "im"], float) if dtype.complex else v
-            return out.reshape(size, size)
+        filled, there, total, at = np.zeros((2, size, size), kind), [False, False], None, None
+
+        def give(block: int, kb: int):
+            h, rest = divmod(block, m_blocks * n_blocks)
+            m, n = (x * size for x in divmod(rest, n_blocks))
+            got = total[: rows_m - m, : rows_n - n]
+            i, k = np.nonzero(np.ones(got.shape, bool) if every_cell else got)
+            v = got[i, k]
+            for s in range(0, len(v), 1 << 16):
+                cut = slice(s, s + (1 << 16))
+                cols = [np.full(len(v[cut]), h), i[cut] + m, k[cut] + n, np.full(len(v[cut]), kb), np.ascontiguousarray(v[cut].real, float)]
+                cols += [np.ascontiguousarray(v[cut].imag, float)] if dtype.complex else []
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "m", "n", "j", "re", "im"][: len(cols)])
+
+        def multiplied():
+            nonlocal total
+            if all(there):
+                got = tile(filled[0], filled[1].T)
+                total = got if total is None else total + got
+            filled[:] = 0
+            there[:] = False, False
 
-        cells = np.indices((size, size)).reshape(2, -1)
         for batch in batches:
-            for row in batch.to_pylist():
-                got = tile(dense(row, "a"), dense(row, "b")).reshape(-1)
-                cols = [np.full(size * size, row["h"]), row["ar"] * size + cells[0], row["br"] * size + cells[1], np.full(size * size, row["kb"]), got.real.astype(float)]
-                cols += [got.imag.astype(float)] if dtype.complex else []
-                names = ["h", "m", "n", "j", "re", "im"][: len(cols)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names)
+            block, kb, of, r, k, *v = (batch[i].to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
+            v = v[0] + 1j * v[1] if dtype.complex else v[0]
+            new = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (kb[1:] != kb[:-1])]) if len(block) else []
+            for start, stop in zip(new, [*new[1:], len(block)], strict=True):
+                here = int(block[start]), int(kb[start])
+                if at is not None and here != at:
+                    multiplied()
+                    if total is not None and (deterministic or here[0] != at[0]):
+                        yield from give(*at)
+                        total = None
+                at, cut = here, slice(start, stop)
+                np.add.at(filled, (of[cut], r[cut], k[cut]), v[cut])
+                for s in (0, 1):
+                    there[s] = there[s] or bool((of[cut] == s).any())
+        if at is not None:
+            multiplied()
+            if total is not None:
+                yield from give(*at)
 
-    tiles = joined.mapInArrow(run, schema).where((F.col("m") < p.size(p.m)) & (F.col("n") < p.size(p.n)))
+    schema = "h long, m long, n long, j long, re double" + (", im double" if dtype.complex else "")
+    tiles = cells.sortWithinPartitions("block", "kb").mapInArrow(run, schema)
 
     def spread(col: str, labels: Sequence[int]) -> Column:
         out = F.lit(0).cast("long")
@@ -187,8 +283,8 @@ def block_gemm(p: Problem, a: Tensor, b: Tensor, size: int, tile: TileFunction =
         return out
 
     o = spread("h", p.h) + spread("m", p.m) + spread("n", p.n)
-    terms = tiles.select(o.alias("o"), "j", *[F.col(c) for c in ("re", "im")[: 1 + dtype.complex]])
-    return summed(terms, dtype, deterministic)
+    terms = tiles.select(o.alias("o"), "j", *parts)
+    return summed(terms, dtype, deterministic, blocks_of(p, size)[2])
 
 
 def complete(p: Problem, products: DataFrame | None, alpha: complex, beta: complex, old: Tensor | None, old_labels: Sequence[int], always_full: bool, sparse: bool = False) -> Tensor:

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from sparkfold import errors as E
 from sparkfold import operators as X
 from sparkfold.meta import CSpec, DType, Labels, Op, OperandSpec
 from sparkfold.problem import Problem
-from sparkfold.sources import Tensor
+from sparkfold.functions import element, scaled
+from sparkfold.sources import Tensor, axis
 
 STRATEGIES = ("elementwise", "join_agg", "block_gemm")
-#: Multiply-adds from which dense operands go to tiles when the choice is left to the plan.
-BLOCK_MACS = 512**3
+#: Multiply-adds from which rows are counted before a choice that is left to the plan; below it no choice matters.
+COUNT_MACS = 512**3
+#: Fixed estimates of the choice, in microseconds: a joined product, a cell sent to a block, a block's call, and a
+#: block's multiply-add.
+JOINED, SENT, CALLED, MULTIPLIED = 0.1, 1.0, 300.0, 0.0002
 
 
 @dataclass(frozen=True)
@@ -22,13 +26,15 @@ class PlanConfig:
     """What is asked for is honoured or refused."""
 
     strategy: str = "auto"
-    block_size: int = 64
+    block_size: int = 512
     complex_method: str = "4m"
     deterministic: bool = False
     strict_nonfinite: bool = False
     orient: str = "rule"
     partitions: int | None = None
     no_materialize: bool = False
+    #: Partitions the work is dealt into; None leaves it to Spark.
+    #: no_materialize refuses strategies that copy operands (blocks).
     #: "sparse" leaves out elements that no term reaches; the result is then a tensor whose absent elements are 0.
     density: str = "dense"
 
@@ -60,6 +66,44 @@ class PlanReport:
     partitions: int | None
     materialized: bool
     rewrites: tuple[str, ...]
+    #: Of a choice by counted rows: products that the join would make, microseconds of both, keys that are split.
+    join_rows: int | None = None
+    join_cost: float | None = None
+    block_cost: float | None = None
+    hot_keys: int = 0
+
+
+@dataclass(frozen=True)
+class Diagnostics:
+    """What a prepared contraction says of itself; materialized: which of A, B and C it copies."""
+
+    backend: str
+    algorithm: str
+    materialized: tuple[bool, bool, bool] = (False, False, False)
+
+
+@dataclass(frozen=True)
+class PlanningBudget:
+    """How many tasks are to run at once, at least 1: work is dealt into three times as many partitions."""
+
+    tasks: int = 1
+
+    def partitions(self) -> int:
+        return 3 * max(1, self.tasks)
+
+    @staticmethod
+    def of(spark) -> PlanningBudget:
+        return PlanningBudget(spark.sparkContext.defaultParallelism)
+
+
+@dataclass(frozen=True)
+class _Counted:
+    algorithm: str
+    join_rows: int
+    join_cost: float
+    block_cost: float
+    hot: object = None
+    hot_keys: int = 0
 
 
 @dataclass
@@ -82,9 +126,7 @@ def candidates(p: Problem) -> list[str]:
     dtype = p.dtype.value
     if p.all_batch:
         return [f"elementwise.{dtype}", f"join_agg.{dtype}"]
-    tiled = [f"block_gemm.{dtype}"] if p.k else []
-    join = [f"join_agg.{dtype}"]
-    return tiled + join if tiled and p.macs >= BLOCK_MACS else join + tiled
+    return [f"join_agg.{dtype}"] + ([f"block_gemm.{dtype}"] if p.k else [])
 
 
 def list_strategies() -> list[str]:
@@ -100,14 +142,20 @@ class Plan:
         self.config.validate()
         if dtype is not None and DType.of(dtype) != problem.dtype:
             raise E.DtypeMismatch(f"{dtype} for {problem.dtype.value}")
-        able = candidates(problem)
+        able = [x for x in candidates(problem) if not (self.config.no_materialize and x.startswith("block_gemm"))]
+        #: Left to the operands: counted when they are known.
+        self.open = False
+        self.counted: _Counted | None = None
         if selector is not None:
             self.algorithm = selector(problem, list(able))
             if self.algorithm not in able:
                 raise E.SelectError(f"{self.algorithm!r} is not one of {able}")
         elif self.config.strategy == "auto":
-            dense = [x for x in able if not (self.config.strict_nonfinite and x.startswith("block_gemm"))]
-            self.algorithm = dense[0]
+            self.algorithm = able[0]
+            tiles = [x for x in able if x.startswith("block_gemm")]
+            if self.config.complex_method == "3m" and tiles:
+                self.algorithm = tiles[0]
+            self.open = bool(tiles) and problem.macs >= COUNT_MACS and not self.config.strict_nonfinite and self.config.complex_method == "4m"
         else:
             want = self.config.strategy.split(".")[0]
             found = [x for x in able if x.split(".")[0] == want]
@@ -117,6 +165,27 @@ class Plan:
         if self.config.complex_method == "3m" and (not self.algorithm.startswith("block_gemm") or not problem.dtype.complex):
             raise E.StrategyRefused("3m is a method of complex tiles")
 
+    def count(self, a: Tensor, b: Tensor) -> None:
+        """Chooses between join and blocks by the rows that operands have, by join key: one aggregate over each side.
+
+        Keys whose rows would make more than ``operators.HOT`` products in one task are found on the way.
+        """
+        p, size = self.problem, self.config.block_size
+        counts = X.key_counts(p, a, b)
+        from pyspark.sql import functions as F
+
+        n = F.col("na").cast("double") * F.col("nb")
+        rows, na, nb, hot = counts.agg(F.sum(n), F.sum("na"), F.sum("nb"), F.count(F.when(n > X.HOT, 1))).first()
+        rows, (mb, nb_, kb) = rows or 0.0, X.blocks_of(p, size)
+        # Blocks that no cell reaches are not multiplied.
+        blocks = min(p.size(p.h) * mb * nb_ * kb, (na or 0) * nb_, (nb or 0) * mb)
+        edge = [min(size, max(1, p.size(x))) for x in (p.m, p.n, p.k)]
+        join_cost = rows * JOINED + (na or 0) + (nb or 0)
+        block_cost = blocks * (CALLED + MULTIPLIED * edge[0] * edge[1] * edge[2] * p.dtype.flops / 2) + SENT * ((na or 0) * nb_ + (nb or 0) * mb)
+        kind = "block_gemm" if block_cost < join_cost else "join_agg"
+        self.algorithm = f"{kind}.{p.dtype.value}"
+        self.counted = _Counted(self.algorithm, int(rows), join_cost, block_cost, counts.where(n > X.HOT) if hot and kind == "join_agg" else None, int(hot))
+
     @property
     def report(self) -> PlanReport:
         p = self.problem
@@ -133,7 +202,9 @@ class Plan:
         if p.all_batch:
             rewrites.append("no aggregate: elementwise")
         alone = p.size(p.alone_a) * p.size(p.alone_b)
-        return PlanReport(self.algorithm, p.size(p.m), p.size(p.n), p.size(p.k) * alone, p.size(p.h), p.macs, p.macs * p.dtype.flops, p.size(p.output_labels), self.config.partitions, False, tuple(rewrites))
+        c = self.counted
+        counted = (c.join_rows, c.join_cost, c.block_cost, c.hot_keys) if c else ()
+        return PlanReport(self.algorithm, p.size(p.m), p.size(p.n), p.size(p.k) * alone, p.size(p.h), p.macs, p.macs * p.dtype.flops, p.size(p.output_labels), self.config.partitions, self.algorithm.startswith("block_gemm"), tuple(rewrites), *counted)
 
     # --- execution
 
@@ -145,14 +216,14 @@ class Plan:
 
     def _products(self, a: Tensor, b: Tensor):
         p, c = self.problem, self.config
+        if self.open:
+            self.count(a, b)
         kind = self.algorithm.split(".")[0]
         if kind == "elementwise":
-            out = X.elementwise(p, a, b, c.orient)
-        elif kind == "block_gemm":
-            out = X.block_gemm(p, a, b, c.block_size, self.catalog.tiles[c.complex_method], c.deterministic)
-        else:
-            out = X.join_agg(p, a, b, c.orient, c.deterministic, c.strict_nonfinite)
-        return out.repartition(c.partitions, "o") if c.partitions else out
+            return X.elementwise(p, a, b, c.orient, c.partitions)
+        if kind == "block_gemm":
+            return X.block_gemm(p, a, b, c.block_size, self.catalog.tiles[c.complex_method], c.deterministic, a.dense and b.dense, c.partitions)
+        return X.join_agg(p, a, b, c.orient, c.deterministic, c.strict_nonfinite, c.partitions, self.counted.hot if self.counted else None)
 
     def _run(self, alpha: complex, a: Tensor | None, b: Tensor | None, beta: complex, old: Tensor | None, labels: Sequence[int], in_place: bool) -> Tensor:
         p = self.problem
@@ -215,27 +286,93 @@ class BatchItem:
     d_old: Tensor | None = None
 
 
-def contract_batched(items: Sequence[BatchItem]) -> list[Tensor]:
-    """Results in order. All items are validated before any is planned; a failure leaves nothing half done."""
+def _checked(items: Sequence[BatchItem]) -> None:
     for i, x in enumerate(items):
         p = x.plan.problem
-        for t, s, n in ((x.a, p.a, "A"), (x.b, p.b, "B")):
-            try:
+        kind = p.c.kind
+        sides = [(x.a, p.a, "A"), (x.b, p.b, "B")]
+        sides += [(x.c, p.c.operand, "C")] if kind == "separate" and x.c is not None else []
+        sides += [(x.d_old, p.d, "D")] if x.d_old is not None else []
+        try:
+            for t, s, n in sides:
                 x.plan._bind(t, s, n)
-            except E.TensorError as e:
-                raise type(e)(f"item {i}: {e}") from None
-        if x.beta != 0 and p.c.kind == "absent":
-            raise E.CMode(f"item {i}: planned without C")
-    return [x.plan.execute_accum(x.a, x.b, x.alpha, x.beta, x.c, x.d_old) if x.beta != 0 else x.plan.execute(x.a, x.b, x.alpha, x.d_old) for x in items]
+        except E.TensorError as e:
+            raise type(e)(f"item {i}: {e}") from None
+        if x.c is not None and kind != "separate":
+            raise E.CMode(f"item {i}: planned without a separate C")
+        if x.beta != 0 and (kind == "absent" or kind == "separate" and x.c is None or kind == "output" and x.d_old is None):
+            raise E.CMode(f"item {i}: beta without its operand")
+
+
+def _one(x: BatchItem) -> Tensor:
+    return x.plan.execute_accum(x.a, x.b, x.alpha, x.beta, x.c, x.d_old) if x.beta != 0 else x.plan.execute(x.a, x.b, x.alpha, x.d_old)
+
+
+def contract_batched(items: Sequence[BatchItem]) -> list[Tensor]:
+    """Results in order. All operands of all items are validated before any is planned; a failure leaves nothing half done."""
+    _checked(items)
+    return [_one(x) for x in items]
+
+
+def _stacked(tensors: Sequence[Tensor], factors: Sequence[complex]) -> Tensor:
+    """One tensor with the item as its first axis, each item times its factor."""
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    first = tensors[0]
+    frames = []
+    for i, (t, x) in enumerate(zip(tensors, factors, strict=True)):
+        v = scaled(element(F.col("v"), t.dtype), x, t.dtype).pack(t.dtype).alias("v")
+        frames.append(t.df.select(F.lit(i).cast("long").alias(axis(0)), *[F.col(axis(k)).alias(axis(k + 1)) for k in range(t.rank)], v))
+    return Tensor(reduce(lambda x, y: x.unionByName(y), frames), (len(tensors), *first.dims), first.dtype, all(t.dense for t in tensors))
+
+
+def _itemised(p: Problem, n: int) -> Problem:
+    """The problem with the item as one more batch label, first everywhere."""
+    label = max([0, *p.extent]) + 1
+
+    def wide(s: OperandSpec) -> OperandSpec:
+        return OperandSpec.of((n, *s.dims), s.op)
+
+    c = CSpec.separate(wide(p.c.operand)) if p.c.kind == "separate" else p.c
+    of_c = (label, *p.labels.c) if p.labels.c is not None else None
+    return Problem.from_labels(p.dtype, wide(p.a), wide(p.b), c, wide(p.d), Labels((label, *p.labels.a), (label, *p.labels.b), (label, *p.labels.d), of_c))
 
 
 def batched_frame(items: Sequence[BatchItem]):
-    """One DataFrame of all results with an ``item`` column: one Spark job for the batch."""
+    """One DataFrame of all results with an ``item`` column.
+
+    Items of one plan run as one contraction, with the item as one more batch label and their factors folded into their
+    operands, however many they are. Items that must not read their operands (alpha 0), and those of output diagonals,
+    run by themselves.
+    """
     from pyspark.sql import functions as F
 
+    _checked(items)
+    groups: dict[tuple, list[int]] = {}
+    for i, x in enumerate(items):
+        alone = x.alpha == 0 or x.plan.problem.output_diagonal or x.plan.problem.contraction_empty or x.plan.problem.output_empty
+        groups.setdefault((id(x.plan), x.beta != 0, i if alone else -1), []).append(i)
     out = None
-    for i, t in enumerate(contract_batched(items)):
-        rows = t.df.withColumn("item", F.lit(i))
+    for (_, accumulates, alone), numbers in groups.items():
+        first, chosen = items[numbers[0]], [items[i] for i in numbers]
+        p = first.plan.problem
+        if alone >= 0 or len(numbers) == 1:
+            t = _one(first)
+            rows = t.df.select(F.lit(numbers[0]).alias("item"), *[axis(k) for k in range(t.rank)], "v")
+        else:
+            wide = Plan(_itemised(p, len(chosen)), first.plan.config, catalog=first.plan.catalog)
+            # op_D(alpha * op_A(A) ..): alpha goes into A under op_A.
+            a = _stacked([x.a for x in chosen], [complex(x.alpha).conjugate() if p.a.op is Op.CONJUGATE else x.alpha for x in chosen])
+            b = _stacked([x.b for x in chosen], [1] * len(chosen))
+            if accumulates:
+                old = _stacked([x.c if p.c.kind == "separate" else x.d_old for x in chosen], [complex(x.beta).conjugate() if p.c.op is Op.CONJUGATE else x.beta for x in chosen])
+                t = wide.execute_accum(a, b, 1, 1, **({"c": old} if p.c.kind == "separate" else {"d_old": old}))
+            else:
+                t = wide.execute(a, b)
+            number = F.get(F.array(*[F.lit(i) for i in numbers]), F.col(axis(0)).cast("int"))
+            rows = t.df.select(number.alias("item"), *[F.col(axis(k + 1)).alias(axis(k)) for k in range(t.rank - 1)], "v")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -260,6 +397,10 @@ class Requirements:
 
 
 class PreparedContraction(ABC):
+    @property
+    @abstractmethod
+    def diagnostics(self) -> Diagnostics: ...
+
     @abstractmethod
     def run(self, a: Tensor, b: Tensor, alpha: complex = 1, beta: complex = 0, c: Tensor | None = None) -> Tensor: ...
 
@@ -270,13 +411,18 @@ class ContractionBackend(ABC):
     name = "backend"
 
     @abstractmethod
-    def prepare(self, problem: Problem, requirements: Requirements | None = None) -> PreparedContraction: ...
+    def prepare(self, problem: Problem, requirements: Requirements | None = None, budget: PlanningBudget | None = None) -> PreparedContraction: ...
 
 
 @dataclass(frozen=True)
 class _SparkPrepared(PreparedContraction):
     plan: Plan
 
+    @property
+    def diagnostics(self):
+        copies = self.plan.algorithm.startswith("block_gemm")
+        return Diagnostics("spark", self.plan.algorithm, (copies, copies, False))
+
     def run(self, a, b, alpha=1, beta=0, c=None):
         if beta == 0:
             return self.plan.execute(a, b, alpha)
@@ -289,16 +435,25 @@ class SparkBackend(ContractionBackend):
     def __init__(self, config: PlanConfig | None = None):
         self.config = config
 
-    def prepare(self, problem, requirements=None):
-        if requirements and problem.dtype not in requirements.dtypes:
-            raise E.DatatypeUnsupported(problem.dtype.value)
-        return _SparkPrepared(Plan(problem, self.config))
+    def prepare(self, problem, requirements=None, budget=None):
+        config = self.config or PlanConfig()
+        if requirements:
+            if problem.dtype not in requirements.dtypes:
+                raise E.DatatypeUnsupported(problem.dtype.value)
+            config = replace(config, no_materialize=config.no_materialize or requirements.no_materialize)
+        if budget and config.partitions is None:
+            config = replace(config, partitions=budget.partitions())
+        return _SparkPrepared(Plan(problem, config))
 
 
 @dataclass(frozen=True)
 class _NumpyPrepared(PreparedContraction):
     problem: Problem
 
+    @property
+    def diagnostics(self):
+        return Diagnostics("numpy", "einsum", (True, True, self.problem.c.kind != "absent"))
+
     def run(self, a, b, alpha=1, beta=0, c=None):
         import numpy as np
         from sparkfold.sources import from_numpy, to_numpy
@@ -327,8 +482,13 @@ class NumpyBackend(ContractionBackend):
 
     name = "numpy"
 
-    def prepare(self, problem, requirements=None):
+    def prepare(self, problem, requirements=None, budget=None):
+        if requirements:
+            if problem.dtype not in requirements.dtypes:
+                raise E.DatatypeUnsupported(problem.dtype.value)
+            if requirements.no_materialize:
+                raise E.WouldMaterialize("the driver's backend copies its operands")
         return _NumpyPrepared(problem)
 
 
-__all__ = ["BatchItem", "CSpec", "ContractionBackend", "Labels", "NumpyBackend", "Plan", "PlanConfig", "PlanReport", "PreparedContraction", "Requirements", "SparkBackend", "TileCatalog", "batched_frame", "candidates", "contract", "contract_batched", "execute_batched", "list_strategies", "plan"]
+__all__ = ["BatchItem", "CSpec", "ContractionBackend", "Diagnostics", "Labels", "NumpyBackend", "Plan", "PlanConfig", "PlanReport", "PlanningBudget", "PreparedContraction", "Requirements", "SparkBackend", "TileCatalog", "batched_frame", "candidates", "contract", "contract_batched", "execute_batched", "list_strategies", "plan"]

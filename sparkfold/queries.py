@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkfold import operators as X
 from sparkfold import plans as P
+from sparkfold.functions import element
 from sparkfold.meta import CSpec, DotGeneral, DType, Labels, LayoutSpec, Op, OperandSpec, einsum_labels
 from sparkfold.problem import Problem
 from sparkfold.sources import Tensor, axis, from_strided, from_table, small_ints, to_strided
@@ -52,12 +53,6 @@ def q_tensor(spark: SparkSession, d: str) -> Tensor:
     return from_table(line, ["l_suppkey", "l_partkey"], "l_quantity", (s, p))
 
 
-def n_tensor(spark: SparkSession, d: str) -> Tensor:
-    q = q_tensor(spark, d)
-    line = _t(spark, d, "lineitem").select("l_suppkey", "l_partkey")
-    return from_table(line, ["l_suppkey", "l_partkey"], F.lit(1.0), q.dims)
-
-
 def c_tensor(spark: SparkSession, d: str) -> Tensor:
     """Quantities with counts as imaginary part."""
     q = q_tensor(spark, d)
@@ -286,6 +281,42 @@ def block_gemm_gram(spark: SparkSession, d: str) -> DataFrame:
     return _rows(P.contract("vi,vj->ij", e, e, config=P.PlanConfig(density="sparse", strategy="block_gemm")), "i", "j")
 
 
+@query(f"WITH {_E}, g AS (SELECT a.v, b.v AS w, sum(a.x * b.x) AS value FROM ex a JOIN ex b ON a.d = b.d GROUP BY ALL) SELECT v, w, value FROM g WHERE value >= 600000")
+def vector_gram(spark: SparkSession, d: str) -> DataFrame:
+    """Products of all vectors, dense: the choice falls on blocks. The result keeps the large ones."""
+    e = e_tensor(spark, d)
+    return P.contract("vd,wd->vw", e, e, config=SPARSE).to_df(["v", "w"], "value").where(F.col("value") >= 600_000)
+
+
+@query(f"WITH {_W} SELECT a.u, a.t, b.t AS s, sum(a.v * b.v) AS value FROM w a JOIN w b ON a.u = b.u AND a.h = b.h GROUP BY ALL")
+def block_gemm_batched(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks with a batch label."""
+    w = w_tensor(spark, d)
+    return _rows(P.contract("uth,ush->uts", w, w, config=P.PlanConfig(density="sparse", strategy="block_gemm", block_size=8)), "u", "t", "s")
+
+
+@query(f"WITH {_Q} SELECT i.item, s, sum(v * p_size * (i.item + 1))::DOUBLE AS value FROM q JOIN part ON p = p_partkey CROSS JOIN (SELECT unnest([0, 1, 2])::INT AS item) i GROUP BY ALL HAVING value <> 0")
+def batched_products(spark: SparkSession, d: str) -> DataFrame:
+    """Three products of one plan in one contraction, with factors 1, 2 and 3."""
+    q, z = q_tensor(spark, d), z_tensor(spark, d)
+    p = P.Plan(Problem.einsum("f64", "sp,p->s", q.dims, z.dims), SPARSE)
+    return P.batched_frame([P.BatchItem(p, i + 1, q, z) for i in range(3)]).where("v <> 0").select("item", F.col(axis(0)).alias("s"), F.col("v").alias("value"))
+
+
+@query(f"WITH {_Q} SELECT s, p, sqrt(v * v + n * n) AS value FROM q")
+def element_norm(spark: SparkSession, d: str) -> DataFrame:
+    c = c_tensor(spark, d)
+    return c.df.select(F.col(axis(0)).alias("s"), F.col(axis(1)).alias("p"), element(F.col("v"), c.dtype).norm().alias("value"))
+
+
+@query(f"WITH {_Q} SELECT s, sum(v * (p_size + p_size))::DOUBLE AS value FROM q JOIN part ON p = p_partkey GROUP BY s HAVING value <> 0")
+def strict_isolated(spark: SparkSession, d: str) -> DataFrame:
+    """An isolated label of B that isn't summed before the join, in key order."""
+    q, z = q_tensor(spark, d), z_tensor(spark, d)
+    twice = z.replace(df=z.df.crossJoin(spark.range(2).select(F.col("id").alias(axis(1)))), dims=(*z.dims, 2))
+    return _rows(P.contract("sp,pr->s", q, twice, config=P.PlanConfig(density="sparse", strict_nonfinite=True, deterministic=True)), "s")
+
+
 @query(_EGRAM)
 def deterministic_gram(spark: SparkSession, d: str) -> DataFrame:
     e = e_tensor(spark, d)

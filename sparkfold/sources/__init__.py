@@ -56,16 +56,36 @@ def _key(c: Column) -> Column:
     return c.cast("long")
 
 
-def from_table(df: DataFrame, axes: Sequence[Column | str], value: Column | str, dims: Sequence[int], dtype: DType | str = "f64", dense: bool = False) -> Tensor:
-    """Sums the rows of each coordinate, so coordinates come out unique. Rows with a null coordinate or value go."""
+def _raise(message: str) -> Column:
+    return F.raise_error(F.lit(f"BadCoordinate: {message}"))
+
+
+def from_table(
+    df: DataFrame, axes: Sequence[Column | str], value: Column | str, dims: Sequence[int], dtype: DType | str = "f64", dense: bool = False, invalid: str = "raise"
+) -> Tensor:
+    """Sums the rows of each coordinate, so coordinates come out unique.
+
+    ``invalid``: rows with a null coordinate or value, or a coordinate outside its extent, make the query fail
+    ("raise"), or go ("drop").
+    """
     dtype = DType.of(dtype)
-    cols = [_key(F.col(a) if isinstance(a, str) else a).alias(axis(i)) for i, a in enumerate(axes)]
+    if invalid not in ("raise", "drop"):
+        raise E.OptionError(f"invalid {invalid!r}")
+    cols = [_key(F.col(a) if isinstance(a, str) else a) for a in axes]
     x = element(F.col(value) if isinstance(value, str) else value, dtype)
     names = [axis(i) for i in range(len(cols))]
     parts = [x.re.alias("_re")] + ([x.im.alias("_im")] if x.im is not None else [])
-    sums = [F.sum(c).alias(c) for c in ("_re", "_im")[: len(parts)]]
-    rows = df.select(*cols, *parts).dropna()
-    out = rows.groupBy(*names).agg(*sums)
+    values = [c for c in ("_re", "_im")[: len(parts)]]
+    rows = df.select(*[c.alias(n) for c, n in zip(cols, names, strict=True)], *parts)
+    inside = [(F.col(n).isNotNull() & (F.col(n) >= 0) & (F.col(n) < d), n) for n, d in zip(names, dims, strict=True)]
+    if invalid == "drop":
+        for good, _ in inside:
+            rows = rows.where(good)
+        rows = rows.dropna(subset=values)
+    else:
+        checked = [F.when(good, F.col(n)).otherwise(_raise(f"axis {n} null or not below {d}")).alias(n) for (good, n), d in zip(inside, dims, strict=True)]
+        rows = rows.select(*checked, *[F.coalesce(F.col(c), _raise("null value")).alias(c) for c in values])
+    out = rows.groupBy(*names).agg(*[F.sum(c).alias(c) for c in values])
     v = F.struct(F.col("_re").cast(dtype.part).alias("re"), F.col("_im").cast(dtype.part).alias("im")) if dtype.complex else F.col("_re").cast(dtype.part)
     return Tensor(out.select(*names, v.alias("v")), tuple(dims), dtype, dense)
 
@@ -92,12 +112,14 @@ def position(layout: LayoutSpec) -> Column:
 
 
 def from_strided(flat: DataFrame, layout: LayoutSpec, dtype: DType | str = "f64") -> Tensor:
-    """Reads a flat buffer (pos, v) through a layout; reversed and broadcast strides included."""
+    """Reads a flat buffer (pos, v) through a layout; reversed and broadcast strides included. A position that the layout
+    reaches and the buffer lacks, or holds as null, makes the query fail."""
     layout.span()
     dtype = DType.of(dtype)
     at = grid(flat.sparkSession, layout.dims).withColumn("pos", position(layout)).drop("o")
-    out = at.join(flat.select(F.col("pos").cast("long").alias("pos"), "v"), "pos")
-    return Tensor(out.select(*[axis(i) for i in range(layout.rank)], "v"), layout.dims, dtype, True)
+    out = at.join(flat.select(F.col("pos").cast("long").alias("pos"), "v"), "pos", "left")
+    v = F.coalesce(F.col("v"), _raise("the buffer lacks a position of the layout"))
+    return Tensor(out.select(*[axis(i) for i in range(layout.rank)], v.alias("v")), layout.dims, dtype, True)
 
 
 def to_strided(t: Tensor, layout: LayoutSpec) -> DataFrame:

@@ -4,13 +4,14 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkfold import errors as E
 from sparkfold import operators as X
-from sparkfold.meta import CSpec, LayoutSpec, OperandSpec
-from sparkfold.plans import BatchItem, NumpyBackend, Plan, PlanConfig, SparkBackend, TileCatalog, batched_frame, contract, contract_batched, execute_batched
+from sparkfold.meta import CSpec, DType, LayoutSpec, OperandSpec
+from sparkfold.plans import BatchItem, NumpyBackend, Plan, PlanConfig, PlanningBudget, Requirements, SparkBackend, TileCatalog, batched_frame, contract, contract_batched, execute_batched
 from sparkfold.problem import Problem
-from sparkfold.sources import Tensor, check_sink, from_numpy, from_strided, small_ints, to_numpy, to_strided, write_tensor
+from sparkfold.sources import Tensor, check_sink, from_numpy, from_strided, from_table, small_ints, to_numpy, to_strided, write_tensor
 
 
 def close(got, want, single=False):
@@ -137,6 +138,131 @@ def test_batches(spark):
         execute_batched(p, [one], [one], 1, 1)
 
 
+def test_batch_is_one_contraction(spark):
+    rng = np.random.default_rng(4)
+    p = Plan(Problem.einsum("c64", "ik,kj->ij", (2, 3), (3, 2), "ac"))
+    ts = [[from_numpy(spark, arrays(rng, x, "c64")) for x in ((2, 3), (3, 2), (2, 2))] for _ in range(3)]
+    items = [BatchItem(p, 1 + 2j, a, b) for a, b, _ in ts] + [BatchItem(p, 2j, a, b, 1j, d_old=c) for a, b, c in ts] + [BatchItem(p, 0, *ts[0][:2])]
+    want = [to_numpy(t) for t in contract_batched(items)]
+    got = batched_frame(items)
+    assert got.count() == 28
+    for r in got.collect():
+        assert abs(complex(r.v["re"], r.v["im"]) - want[r["item"]][r.x0, r.x1]) < 1e-9
+    with pytest.raises(E.Mismatch, match="item 1"):
+        contract_batched([items[3], BatchItem(p, 1, *ts[0][:2], 1, d_old=from_numpy(spark, np.ones((3, 3), complex)))])
+
+
+def test_choice_by_counted_rows(spark):
+    """Full operands go to blocks, sparse ones of the same extents to the join; the report has the figures."""
+    n, wide = 512, 4096
+    cells = spark.range(wide).select(F.col("id"), F.col("id") % 999, F.lit(1.0)).toDF("x0", "x1", "v")
+    sparse = Tensor(cells, (wide, wide), DType.F64, False)
+    full = small_ints(spark, (n, n), 1)
+    p = Problem.einsum("f64", "ik,jk->ij", (n, n), (n, n))
+    for t, kind in ((sparse, "join_agg"), (full, "block_gemm")):
+        p = Problem.einsum("f64", "ik,jk->ij", t.dims, t.dims)
+        x = Plan(p, PlanConfig(density="sparse"))
+        out = x.execute(t, t)
+        assert x.algorithm == f"{kind}.f64" and x.report.join_rows > 0 and x.report.materialized == (kind == "block_gemm")
+        if t is sparse:
+            y = Plan(p, PlanConfig(density="sparse", strategy="block_gemm", block_size=1000)).execute(t, t)
+            assert sorted(map(tuple, out.df.where("v <> 0").collect())) == sorted(map(tuple, y.df.where("v <> 0").collect()))
+    assert Plan(p, PlanConfig(no_materialize=True, density="sparse")).execute(full, full) and not Plan(p, PlanConfig(no_materialize=True)).open
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    monkeypatch.setattr(X, "MEET", 4)
+    monkeypatch.setattr(X, "HOT", 16)
+    rng = np.random.default_rng(3)
+    a, b = arrays(rng, (30, 3), "f64"), arrays(rng, (3, 20), "f64")
+    x, y = from_numpy(spark, a), from_numpy(spark, b)
+    p = Problem.einsum("f64", "ik,kj->ij", (30, 3), (3, 20))
+    counts = X.key_counts(p, x, y)
+    hot = counts.where(F.col("na") * F.col("nb") > 16)
+    rows = X.join_agg(p, x, y, hot=hot)
+    close(to_numpy(X.complete(p, rows, 1, 0, None, (), True)), a @ b)
+    left, right = X.split_hot(*X.operands(p, x, y), hot)
+    assert left.count() == 90 * 5 and right.count() == 60 * 8
+    assert left.groupBy("aj", "ap", "aq").count().agg(F.max("count")).first()[0] <= 10
+
+
+def test_blocks_stream(spark):
+    """Blocks over many contraction blocks, output blocks and batch labels; zero cells are left out of sparse results."""
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(-3, 4, (3, 7, 11)).astype(float), rng.integers(-3, 4, (3, 11, 9)).astype(float)
+    for n in (None, 3):
+        got = contract("hik,hkj->hij", from_numpy(spark, a), from_numpy(spark, b), config=PlanConfig(strategy="block_gemm", block_size=4, partitions=n))
+        close(to_numpy(got), a @ b)
+    x = from_numpy(spark, np.eye(9)).replace(dense=False)
+    assert contract("ik,kj->ij", x, x, config=PlanConfig(strategy="block_gemm", block_size=4, density="sparse")).df.count() == 9
+
+
+def test_ordered_sums_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(X, "ORDERED", 8)
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(2, 300)), rng.normal(size=(300, 2))
+    bits = set()
+    for n in (1, 5):
+        c, d = (from_numpy(spark, t) for t in (a, b))
+        got = to_numpy(contract("ik,kj->ij", c.replace(df=c.df.repartition(n)), d, config=PlanConfig(deterministic=True)))
+        close(got, a @ b)
+        bits.add(got.tobytes())
+    assert len(bits) == 1
+
+
+def test_requirements_and_budget(spark):
+    p = Problem.einsum("f64", "ik,kj->ij", (2, 3), (3, 4))
+    with pytest.raises(E.StrategyRefused):
+        SparkBackend(PlanConfig(strategy="block_gemm")).prepare(p, Requirements(no_materialize=True))
+    with pytest.raises(E.WouldMaterialize):
+        NumpyBackend().prepare(p, Requirements(no_materialize=True))
+    prepared = SparkBackend().prepare(p, Requirements(no_materialize=True), PlanningBudget(2))
+    assert prepared.plan.config.partitions == 6 and prepared.diagnostics.algorithm == "join_agg.f64" and prepared.diagnostics.materialized == (False,) * 3
+    one = small_ints(spark, (2, 3), 1)
+    two = small_ints(spark, (3, 4), 2)
+    close(to_numpy(prepared.run(one, two)), to_numpy(one) @ to_numpy(two))
+    assert PlanningBudget.of(spark).partitions() == 12
+
+
+def test_bad_rows_are_refused(spark):
+    rows = spark.createDataFrame([(0, 0, 1.0), (0, 3, 2.0)], "a long, b long, v double")
+    for bad in (rows, rows.limit(0).union(spark.createDataFrame([(None, 0, 1.0)], rows.schema)), rows.limit(0).union(spark.createDataFrame([(0, 0, None)], rows.schema))):
+        with pytest.raises(Exception, match="BadCoordinate"):
+            from_table(bad, ["a", "b"], "v", (1, 2)).df.collect()
+        assert from_table(bad, ["a", "b"], "v", (1, 2), invalid="drop").df.count() <= 1
+    with pytest.raises(E.OptionError):
+        from_table(rows, ["a"], "v", (1,), invalid="keep")
+    flat = spark.createDataFrame([(0, 1.0), (1, 2.0), (3, 4.0)], "pos long, v double")
+    with pytest.raises(Exception, match="BadCoordinate"):
+        from_strided(flat, LayoutSpec((2, 2), (2, 1))).df.collect()
+
+
+@pytest.mark.parametrize("mask", range(16))
+def test_all_conjugations(spark, mask):
+    rng = np.random.default_rng(mask)
+    a, b, c = arrays(rng, (2, 3), "c64"), arrays(rng, (3, 2), "c64"), arrays(rng, (2, 2), "c64")
+    names = "".join(x for i, x in enumerate("abcd") if mask >> i & 1)
+    k = lambda x, n: np.conj(x) if n in names else x
+    p = Plan(Problem.einsum("c64", "ik,kj->ij", (2, 3), (3, 2), names))
+    got = to_numpy(p.execute_accum(*(from_numpy(spark, x) for x in (a, b)), 2 - 1j, 1 + 1j, d_old=from_numpy(spark, c)))
+    close(got, k((2 - 1j) * (k(a, "a") @ k(b, "b")) + (1 + 1j) * k(c, "c"), "d"))
+
+
+def test_dlpack_object(spark):
+    class Lent:
+        def __init__(self, x):
+            self.x = x
+
+        def __dlpack__(self, **kw):
+            return self.x.__dlpack__(**kw)
+
+        def __dlpack_device__(self):
+            return self.x.__dlpack_device__()
+
+    x = np.arange(6.0).reshape(2, 3)[:, ::-1]
+    close(to_numpy(from_numpy(spark, Lent(x))), x)
+
+
 def test_two_backends_agree(spark):
     rng = np.random.default_rng(9)
     p = Problem.einsum("c64", "abb,bc->ca", (2, 3, 3), (3, 4), "a")

@@ -73,6 +73,7 @@ def test_config_is_honoured_or_refused():
         (E.OptionError, PlanConfig(strategy="other")),
         (E.OptionError, PlanConfig(orient="up")),
         (E.NotPositive, PlanConfig(block_size=0)),
+        (E.StrategyRefused, PlanConfig(strategy="block_gemm", no_materialize=True)),
     ):
         with pytest.raises(error):
             Plan(p, config)
