@@ -100,6 +100,23 @@ def test_mix_awkward(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_short_documents_are_likelier(spark):
+    """Inclusion probabilities differ inside a source: extra copies go to short documents more often, by the odds' tilt."""
+    rows = [(i, "w " * (10 if i % 2 else 160), "a") for i in range(4000)] + [(9000 + i, "w " * 400, s) for i, s in enumerate("bcdefg" * 50)]
+    got = mixing.mix(frame(spark, rows)).where("source = 'a'").groupBy("size").agg(F.avg("copies"), F.first(F.col("target") / F.col("source_size"))).collect()
+    (_, long, ratio), (_, short, _) = sorted(map(tuple, got), reverse=True)
+    certain = int(ratio)
+    assert long - certain < ratio - certain < short - certain < 1
+    odds = lambda p: p / (1 - p)
+    assert 2.5 < odds(short - certain) / odds(long - certain) < 6.5
+
+
+def test_mix_of_a_very_long_document(spark):
+    rows = [(i, "w " * 50, "ab"[i % 2]) for i in range(100)] + [(1000, "w " * 300_000, "a")]
+    got = {r.doc_id: r for r in mixing.mix(frame(spark, rows)).collect()}
+    assert got[1000]["size"] == 300_000 and 0 <= got[1000].copies <= 3 and sum(r["size"] for r in got.values()) == 305_000
+
+
 def test_mix_empty_and_wordless(spark):
     assert mixing.mix(frame(spark, [])).collect() == []
     (r,) = mixing.mix(frame(spark, [(1, "  ", "a")])).collect()
