@@ -88,10 +88,11 @@ def _arrow_schema(spark: SparkSession, schema: str):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int, training: Column | None = None) -> DataFrame:
-    """At most ``most`` labelled rows of ``docs`` with their label as ``_label``: those of least id checksum.
+    """At most ``most`` labelled rows (doc_id, _text, _label): those ids of least checksum, stored.
 
     The sample is a bounded number of ids, so it may be broadcast to the documents. Checksums above those that the
-    sample can need are left out first, so that tasks don't each send ``most`` rows to be merged.
+    sample can need are left out first, so that tasks don't each send ``most`` rows to be merged. Of rows that repeat an
+    id, the least text is taken, and the greatest label: a hot id adds one row.
     """
     ids = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
     if training is not None:
@@ -102,4 +103,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int,
     if total > 2 * most:
         ids = ids.where(rank < int(2**32 * 1.5 * most / total))
     ids = ids.orderBy(rank, "doc_id").limit(most)
-    return docs.join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", "_text").join(F.broadcast(ids), "doc_id")
+    return stored(rows.groupBy("doc_id", "_label").agg(F.min("_text").alias("_text")), "sample")

@@ -11,6 +11,7 @@ from sparkfold.llm import clause_grammar as g
 from sparkfold.llm import license_scan as ls
 from sparkfold.llm import maxent_lm as lm
 from sparkfold.llm import quality_forest as qf
+from sparkfold.llm.common import labelled_sample
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -105,6 +106,51 @@ def test_forest_rejects_junk_and_keeps_the_rest(spark):
     assert qf.judge(d.limit(0), labels).collect() == []
 
 
+def test_forest_scores_are_mean_paths():
+    """Against a plain walk down every tree, and anomalies come out above the rest."""
+    rng = np.random.default_rng(2)
+    rows = np.abs(np.r_[rng.normal(0.5, 0.05, (300, 10)), rng.normal(5, 0.1, (3, 10))])
+    good = np.arange(303) < 300
+    f = qf.Forest(rows, good, trees=20, subsample=64)
+    x = rows / f.spread
+
+    def walk(tree, v):
+        feature, cut, child, length = tree
+        i = 0
+        while child[i][0] != i:
+            i = child[i][int(v[feature[i]] > cut[i])]
+        return length[i]
+
+    want = [2 ** (-np.mean([walk(t, v) for t in f.trees]) / f.norm) for v in x]
+    got = f.score(rows)
+    assert np.allclose(got, want) and got[300:].min() > np.quantile(got[:300], 0.95)
+
+
+def test_threshold_is_calibrated_on_rows_the_trees_have_not_seen(spark):
+    """Half of the sample grows the trees: with labels of one half only, nothing but the base rule rejects."""
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 300}" for k in range(60))) for i in range(400)]
+    half = {i for i in range(400) if zlib.crc32(f"{i}:half".encode()) % 2 == 0}
+    d = docs(spark, rows)
+    for part in (half, set(range(400)) - half):
+        forest, threshold = qf.fit(d, spark.createDataFrame([(i, i % 3 and 1, 0) for i in part], LABELS))
+        assert forest is None and threshold == math.inf
+    assert qf.fit(d, spark.createDataFrame([(i, i % 3 and 1, 0) for i in range(400)], LABELS))[0] is not None
+
+
+def test_sample_takes_a_repeated_id_once(spark):
+    d = spark.createDataFrame([(1, t) for t in "dcba"] + [(2, "x")], "doc_id long, _text string")
+    got = sorted(map(tuple, labelled_sample(d, spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, 0, 0), (None, 1, 0)], LABELS), "quality", 10).collect()))
+    assert got == [(1, 1, "a"), (2, 0, "x")]
+
+
+def test_judging_awkward_rows(spark):
+    """Repeated rows are judged alike, a long text is counted whole."""
+    long = "alpha beta gamma delta\n" * 50_000
+    rows = [(1, "a b c " * 30), (1, "a b c " * 30), (2, long)]
+    got = qf.judge(docs(spark, rows).withColumn("n_words", F.lit(-1)), spark.createDataFrame([], LABELS)).collect()
+    assert [r.n_words for r in got if r.doc_id == 1] == [90, 90] and next(r for r in got if r.doc_id == 2).n_dup_lines == 49_999
+
+
 # --- language model
 
 
