@@ -23,23 +23,71 @@ def docs(spark, rows):
 # --- toxicity
 
 
+LEXICON = g.Lexicon({"idiot": 5.0, "fool": 2.0}, {})
+
+
+def all_readings(parts, symbols):
+    """Every path through the transducers one after another, none composed: (weight, outputs)."""
+    readings = [(0.0, tuple(x for x, _ in symbols))]
+    for part in parts:
+        new = []
+        for weight, inputs in readings:
+            paths = [(0, weight, ())]
+            for x in inputs:
+                paths = [(t, w + v, (*said, y)) for s, w, said in paths for t, y, v in part.step(s, x)]
+            new += [(w, said) for s, w, said in paths if s not in part.refused]
+        readings = new
+    return [(w + sum(own for y, (_, own) in zip(said, symbols, strict=True) if y in "IDQA"), "".join(said)) for w, said in readings]
+
+
+def test_best_reading_against_all_paths():
+    words = ["idiot", "fool", "you", "not", "said", "kill", "tree", ","]
+    rng = np.random.default_rng(5)
+    composed = g.grammar()
+    clauses = [rng.choice(words, n) for n in (1, 2, 3, 4, 5, 6, 7) for _ in range(60)]
+    differ = 0
+    for c in clauses:
+        symbols = [LEXICON.symbol(w) for w in c]
+        want = max(all_readings(composed.parts, symbols))
+        got = composed.best(symbols)
+        assert abs(got[0] - want[0]) < 1e-9, c
+        assert any(abs(w - got[0]) < 1e-9 and said == got[1] for w, said in all_readings(composed.parts, symbols)), c
+        differ += any(s == "I" for s, _ in symbols) != (got[0] > 0)
+    assert differ > 20
+
+
 def test_grammar_matches_clauses():
-    lexicon, composed = g.Lexicon({"idiot": 3.0}, {}), g.grammar()
-    m = lambda t: dict(zip(g.PATTERNS, g.match(t, lexicon, composed), strict=True))
-    assert m("what an idiot")["plain"] == 3
-    assert m("you are an idiot")["aimed"] == 3
-    assert m("he is not an idiot")["denied"] == 3
-    assert m("she said the idiot came")["reported"] == 3
-    assert m("she said it. the idiot came")["plain"] == 3
-    assert m("i will kill you")["threat"] == 1 and sum(m("not kill anyone, you").values()) == 0
-    assert sum(m(None).values()) == sum(m("").values()) == 0
+    composed = g.grammar()
+
+    def m(t, w=None):
+        scores, counts = g.match(t, w or LEXICON, composed)
+        return [round(x, 6) for x in scores], {n: c for n, c in zip(g.PATTERNS, counts, strict=True) if c}
+
+    assert m("what an idiot") == ([5.0], {"plain": 1})
+    assert m("you are an idiot") == ([6.0], {"aimed": 1})
+    # A word alone, a denied one and a reported one score nothing; at a distance a negation is read past at a price.
+    assert m("idiot") == m(" idiot. ") == m("he is not an idiot") == m("she said the idiot came") == m(None) == m("") == ([], {})
+    assert m("tall trees, idiot") == m("no, the idiot came") == m("she said it. the idiot came") == ([5.0], {"plain": 1})
+    assert m("not in the idiot") == ([2.0], {"plain": 1})
+    assert m("i will kill you") == ([6.0], {"threat": 1}) and m("kill anyone, you") == m("never kill you") == ([], {})
+    assert m("trees grow. idiot!") == ([5.0], {"plain": 1}) and m("fool, idiot") == ([7.0], {"plain": 2})
+    # Weights reach the score.
+    strong = g.Lexicon({"idiot": 20.0}, {})
+    assert m("she said the idiot came", strong)[0] == [14.0] and m("not idiot trees", strong)[0] == [11.0]
+
+
+def test_patterns_change_verdicts(spark):
+    weights = np.array([-3.0, 2.0, 2.0, 0.0])
+    d = docs(spark, [(1, "what an idiot"), (2, "idiot"), (3, "he is not an idiot"), (4, "they said an idiot came"), (5, "i will kill you"), (6, "nobody kill trees"), (7, "what an idiot " * 20_000)])
+    got = {r.doc_id: r.predicted for r in g.score(d.withColumn("plain", F.lit(1)), LEXICON, weights).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 0, 5: 1, 6: 0, 7: 1}
 
 
 def test_toxicity_learns_words_and_stems(spark):
     bad = ["zorgle", "quexabc", "quexdef", "quexghi", "quexjkl"]
     rows = [(i, f"plain words number {i % 9} here and " + (bad[i % 5] + " there" if i % 4 == 0 else "more there")) for i in range(600)]
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(600)], LABELS)
-    d = docs(spark, [*rows, (1000, None), (1001, ""), (None, "zorgle"), (1002, "quexnew " * 3)])
+    d = docs(spark, [*rows, (1000, None), (1001, ""), (None, "a zorgle"), (1002, "so many quexnew " * 3), (1002, "so many quexnew " * 3)])
     lexicon, weights = g.learn(d, labels)
     assert any(x.startswith("quex") or x == "que" for x in lexicon.stems)
     got = {r.doc_id: r for r in g.score(d, lexicon, weights).collect()}
