@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line de-duplication, near de-duplication, mixing, encoding.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again before the next one. All
-but the last return the columns of ``documents``. Null ids, null texts and empty tables pass as the operators define.
+but the last return the columns of ``documents``. Null ids, null texts, repeated rows and empty tables pass as the
+operators define.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfold.llm import line_dedup, mixing, near_dedup, prefix_viterbi, quality_forest
-from sparkfold.llm.common import stored, table
+from sparkfold.llm.common import stored, table, word_count
 
 #: Least similarity of near copies, as a fraction.
 SIMILAR = (80, 100)
@@ -27,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines held by an earlier document go; a document stays, even if nothing of it is left."""
-    out = line_dedup.dedup_lines(docs)
+    """Lines held by an earlier document go, and with them documents of which no word is left."""
+    out = line_dedup.dedup_lines(docs).where(word_count(F.col("kept_text")) > 0)
     return _documents(out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("kept_text").cast("long")))
 
 
