@@ -1,24 +1,32 @@
 """SentencePiece encoding and decoding with a Viterbi pass that words share by their prefixes.
 
 A text with one space put before it is cut into marked words (leading spaces and what follows them) and line ends; no
-piece of the model crosses such a cut, so the best segmentation of the text is that of its words. Distinct words are
-sorted, which is the depth-first order of their trie: the forward scores of the prefix shared with the word before are
-kept, and only positions beyond it are computed. Pieces that end at a position are found by walking a trie of reversed
-pieces. The best segmentation has the greatest sum of the model's piece scores, the longer last piece on a tie.
+piece of the model but runs of spaces crosses such a cut, so the best segmentation of the text is that of its words.
+Distinct words are sorted, which is the depth-first order of their trie: the forward scores of the prefix shared with the
+word before are kept, and only positions beyond it are computed. Pieces that end at a position are found by walking a
+trie of reversed pieces.
+
+A forward score is the sum of the piece scores of the best segmentation of a prefix. In a model of the unigram kind every
+piece may follow every other. In a model of the BPE kind a piece may follow another only if merging makes these two of
+their joined text, a join that is looked up, or worked out and remembered; other joins score minus infinity. One
+segmentation of a prefix is free of such joins: the one that the model's merges make. So the pieces are those of the
+model's own encoder for either kind; only white space differs, which a model may be told to fold and which is kept here.
 
 A character without a piece falls back to its UTF-8 bytes as one unit, at ``UNKNOWN`` below the least ordinary score.
 U+2581 in a text is such a character (the model means a space by it), so decoding gives back every text exactly.
 
-The model's scores are used as they stand. A model of the BPE kind orders its merges by them; the segmentation of
-greatest score is not in general the one its merges would make, and is defined here as the result.
-
-Defined results: null and empty texts have no pieces and decode to the empty text; rows that repeat are encoded alike;
-an empty table gives an empty table.
+Defined results: null and empty texts have no pieces and decode to the empty text; very long texts and words are encoded
+whole; pieces of equal score are taken longest last piece first (unigram) or leftmost merge first (BPE); rows that repeat
+are encoded alike; columns beside id and text are not read; an empty table gives an empty table. The model's path is a
+parameter; a file that is missing, or is no model, fails at once, on the driver.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,19 +39,29 @@ MARK = "▁"
 UNKNOWN = 10.0
 #: Scores at and below this are markers of pieces that training never chose, not ordinary scores.
 NEVER = -1e8
-#: Words a task remembers.
+#: Words, and joins of pieces, that a worker remembers.
 REMEMBERED = 400_000
+JOINS = 2_000_000
 _CUT = re.compile(r" *[^ \n]+| +|\n")
 _WHOLE = re.compile(r".+", re.S)
 
 
+class Model(NamedTuple):
+    """(piece, score, kind) of every id, and whether the model is of the BPE kind."""
+
+    pieces: list[tuple[str, float, int]]
+    merges: bool
+
+
 class Pieces:
     """The vocabulary: pieces with spaces for marks, their scores, and the ids of the byte pieces."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]]):
+    def __init__(self, model: Model):
+        pieces = model.pieces
         self.text = [b""] * len(pieces)
         self.byte_ids = [-1] * 256
         self.tails: dict = {}
+        self.merges, self.score, self.plain, self.joins = model.merges, {}, [""] * len(pieces), {}
         ordinary = [s for _, s, kind in pieces if kind in (1, 4) and s > NEVER]
         self.unknown = (min(ordinary) if ordinary else 0.0) - UNKNOWN
         self.unk_id = next((i for i, (_, _, kind) in enumerate(pieces) if kind == 2), 0)
@@ -55,7 +73,7 @@ class Pieces:
             elif kind in (1, 4):
                 plain = piece.replace(MARK, " ")
                 crossing |= "\n" in plain or " " in plain.lstrip(" ")
-                self.text[i] = plain.encode()
+                self.text[i], self.plain[i], self.score[plain] = plain.encode(), plain, score
                 node = self.tails
                 for c in reversed(plain):
                     node = node.setdefault(c, {})
@@ -63,20 +81,48 @@ class Pieces:
         self.cut = _WHOLE if crossing else _CUT
 
     @staticmethod
-    def load(path: str) -> list[tuple[str, float, int]]:
+    def load(path: str) -> Model:
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
-        return [(p.piece, p.score, p.type) for p in model.pieces]
+        if not model.pieces:
+            raise ValueError(f"{path} is no SentencePiece model")
+        return Model([(p.piece, p.score, p.type) for p in model.pieces], model.trainer_spec.model_type == 2)
+
+    def merged(self, text: str) -> list[str]:
+        """What the model's merges make of a text: the best pair first, the leftmost of equals."""
+        parts, score = list(text), self.score
+        while len(parts) > 1:
+            top, at = -math.inf, -1
+            for i in range(len(parts) - 1):
+                s = score.get(parts[i] + parts[i + 1])
+                if s is not None and s > top:
+                    top, at = s, i
+            if at < 0:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def joins_well(self, before: int, piece: int) -> bool:
+        """Whether the piece may follow the one before, -1 for none or a character without a piece."""
+        key = before * len(self.text) + piece
+        got = self.joins.get(key)
+        if got is None:
+            x, y = self.plain[before] if before >= 0 else "", self.plain[piece]
+            got = self.merged(x + y) == ([x, y] if x else [y])
+            if len(self.joins) > JOINS:
+                self.joins.clear()
+            self.joins[key] = got
+        return got
 
     def words(self, text: str | None) -> list[str]:
         return self.cut.findall(" " + text) if text else []
 
     def encode_sorted(self, words: list[str]) -> list[bytes]:
         """The ids of sorted distinct words, as packed 32-bit integers."""
-        tails, unknown = self.tails, self.unknown
+        tails, unknown, merges, joins_well = self.tails, self.unknown, self.merges, self.joins_well
         best, last, ids = [0.0], [0], [-1]
         out, before = [], ""
         for word in words:
@@ -85,7 +131,7 @@ class Pieces:
                 shared += 1
             del best[shared + 1 :], last[shared + 1 :], ids[shared + 1 :]
             for end in range(shared, len(word)):
-                top, start, piece = -1e300, end, -1
+                top, start, piece = -math.inf, end, -1
                 node, at = tails, end
                 while at >= 0:
                     node = node.get(word[at])
@@ -94,10 +140,10 @@ class Pieces:
                     hit = node.get("")
                     if hit is not None:
                         s = best[at] + hit[1]
-                        if s >= top:
+                        if (s >= top or merges) and (not merges or joins_well(ids[at], hit[0])):
                             top, start, piece = s, at, hit[0]
                     at -= 1
-                if piece < 0 or word[end] not in tails or "" not in tails[word[end]]:
+                if piece < 0 or not merges and (word[end] not in tails or "" not in tails[word[end]]):
                     s = best[end] + unknown
                     if s > top:
                         top, start, piece = s, end, -1
@@ -136,20 +182,30 @@ class Encoder:
         return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32) for words in cut]
 
 
+_last: list[tuple[str, Encoder]] = []
+
+
+def encoder_of(key: str, model: Model) -> Encoder:
+    """The encoder that an earlier task of the same query left in this worker, with what it remembers, or a new one."""
+    if not _last or _last[0][0] != key:
+        _last[:] = [(key, Encoder(Pieces(model)))]
+    return _last[0][1]
+
+
 def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_pieces, n_byte_pieces, ids, exact): ids of every whole text; exact: they decode to it."""
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(Pieces.load(model))
+    shipped, key = spark.sparkContext.broadcast(Pieces.load(model)), uuid.uuid4().hex
     schema = "doc_id long, n_words long, n_pieces long, n_byte_pieces long, ids array<int>, exact boolean"
     arrow = _arrow_schema(spark, schema)
 
     def run(batches):
         import pyarrow as pa
 
-        pieces = Pieces(shipped.value)
+        encoder = encoder_of(key, shipped.value)
+        pieces = encoder.pieces
         is_byte = np.zeros(len(pieces.text), bool)
         is_byte[[i for i in pieces.byte_ids if i >= 0]] = True
-        encoder = Encoder(pieces)
         for whole in batches:
             for batch in slices(whole, 8 << 20):
                 texts = batch[text_col].to_pylist()

@@ -128,7 +128,7 @@ TOY = [("<unk>", 0.0, 2), *[(f"<0x{i:02X}>", 0.0, 6) for i in range(256)], ("▁
 
 
 def test_viterbi_is_the_best_segmentation():
-    p = pv.Pieces(TOY)
+    p = pv.Pieces(pv.Model(TOY, False))
     scores = {t.replace("▁", " "): s for t, s, k in TOY if k == 1}
 
     @functools.cache
@@ -146,6 +146,36 @@ def test_viterbi_is_the_best_segmentation():
         assert b"".join(p.text[i] for i in ids).decode() == w
 
 
+def test_viterbi_of_a_merging_model_is_what_its_merges_make():
+    """Also where pieces tie, where a piece is reached by no merge, and where characters have no piece."""
+    toy = [*TOY, ("bab", -3.0, 1), ("▁▁▁", -1e9, 1), ("bb", -5.0, 1), ("abba", -5.0, 1), ("c", -2.0, 1), ("caca", -1.0, 1)]
+    p = pv.Pieces(pv.Model(toy, True))
+    rnd = random.Random(4)
+    words = sorted({" " * rnd.randrange(6) + "".join(rnd.choice("aabbcz") for _ in range(rnd.randrange(12))) for _ in range(2000)} - {""})
+    for w, got in zip(words, p.encode_sorted(words), strict=True):
+        want = [x if x in p.score else f"<{x}>" for x in p.merged(w)]
+        ids = np.frombuffer(got, np.int32)
+        assert [p.plain[i] or f"<{chr(i - 1)}>" for i in ids] == want, w
+
+
+@pytest.mark.skipif(not os.path.exists(pv.MODEL), reason="no tokenizer files")
+def test_pieces_are_the_models_own(spark, sf):
+    """Texts without runs of blanks, which the model's encoder folds, get its pieces."""
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=pv.MODEL)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("text is not null and not text rlike '^ | $|  '")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: list(r.ids) for r in pv.encode(docs).collect()}
+    assert len(got) > 100 and all(got[i] == own.encode(t) for i, t in texts.items())
+
+
+def test_a_missing_model_fails_at_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(FileNotFoundError):
+        pv.encode(df, str(tmp_path / "none.model"))
+
+
 @pytest.mark.skipif(not os.path.exists(pv.MODEL), reason="no tokenizer files")
 def test_round_trip(spark):
     texts = ["a ▁ b", "  two  spaces \n\n x", "日本語 é 🙂", "", None, " ", "\n", "\r\n\tx\x00", "x" * 30_000, "same", "same"]
@@ -237,6 +267,14 @@ def test_pipeline_drops_near_copies_from_080(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3, 4, 5]
 
 
+def test_pipeline_drops_documents_that_line_dedup_empties(spark):
+    rows = [(1, "a line of many words\nb", "en", "s", 1), (2, "A line of many words", "en", "s", 1), (3, " a line of many words\n\nshort", "en", "s", 1), (4, None, "en", "s", 1), (None, "one more line here", "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert got == {1: ("a line of many words\nb", 22), 3: ("\nshort", 6), None: ("one more line here", 18)}
+    assert corpus_pipeline.drop_repeated_lines(spark, docs.limit(0), "").collect() == []
+
+
 @pytest.mark.skipif(not os.path.exists(pv.MODEL), reason="no tokenizer files")
 def test_pipeline_against_plain_python(spark, tmp_path):
     """run() against the stages in plain Python; mixing by its SQL; without labels only the base rule rejects."""
