@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfold.llm import line_dedup, mixing, near_dedup, prefix_viterbi, quality_forest
-from sparkfold.llm.common import stored, table, word_count
+from sparkfold.llm.common import discard, mark, stored_at, table, word_count
 
 #: Least similarity of near copies, as a fraction.
 SIMILAR = (80, 100)
@@ -63,9 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage wrote on the way, and its input, is deleted once its own result is written."""
+    docs, start = table(spark, sf_dir, "documents"), mark()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = stored(docs, f"stage{i}")
+            docs, path = stored_at(docs, f"stage{i}")
+            discard(spark, start, [path])
     return docs
