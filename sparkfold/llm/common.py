@@ -1,13 +1,15 @@
 """Helpers that the training-data operators share.
 
-Scratch tables go to the shared folder named by ``spark.checkpoint.dir``; a folder of our own is chosen only when
-that setting is empty (tests on one machine).
+Scratch tables go to the shared folder named by ``spark.checkpoint.dir``; a folder of this machine is taken only where
+that setting is empty and the session runs on this machine alone, as in tests. Operators delete the tables that they no
+longer need; those that a result still reads stay until ``discard`` is called for them.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,20 +23,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scratch tables written by this process, in order; None where one has been deleted.
+_written: list[str | None] = []
+
+
 def scratch_dir(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared scratch folder of the cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder for scratch tables")
         root = tempfile.gettempdir() + "/sparkfold-scratch"
-    return f"{root.rstrip('/')}/sparkfold/{what}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/sparkfold/{what}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
-def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
+def stored_at(df: DataFrame, what: str, **options: str) -> tuple[DataFrame, str]:
     """Writes a table to shared storage and reads it again: cuts lineage, survives executors, has a known size."""
     spark = df.sparkSession
     path = scratch_dir(spark, what)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
+    return stored_at(df, what, **options)[0]
+
+
+def mark() -> int:
+    """A point in time, for ``discard``."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int, keep: Sequence[str] = ()) -> None:
+    """Deletes the scratch tables written since the mark but those at ``keep``. Nothing may still read them."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for i in range(since, len(_written)):
+        path = _written[i]
+        if path is not None and path not in keep:
+            at = hadoop(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _written[i] = None
+
+
+#: Keys with more than this part of all rows are joined apart: there are fewer than its inverse.
+HOT_SHARE = 1 / 500
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: Sequence[str], rows: str, total: int) -> DataFrame:
+    """Inner join with a side of distinct keys whose column ``rows`` says how many rows of the left side a key has.
+
+    Keys with more than ``HOT_SHARE`` of all ``total`` rows, fewer than 500, are broadcast, so that no task gets all
+    rows of one; the rest is joined as usual.
+    """
+    hot = F.col(rows) > total * HOT_SHARE
+    heavy = F.broadcast(right.where(hot))
+    light = left.join(F.broadcast(right.where(hot).select(*on)), list(on), "left_anti").join(right.where(~hot), list(on))
+    return left.join(heavy, list(on)).unionByName(light)
 
 
 def ascii_lower(c: Column) -> Column:

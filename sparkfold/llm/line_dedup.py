@@ -7,11 +7,12 @@ a merge of sorted buckets without an exchange on the side of the runs. When a le
 merged into one run of the next level, so a batch meets a number of runs logarithmic in the number of batches.
 
 Because batches ascend, the owner in a run is the smallest document holding the key, and a line goes when its
-key's owner is another document.
+key's owner is another document. Runs may be kept: ``dedup_lines`` goes on from a ``LineRuns`` that earlier calls filled,
+whose documents then count as earlier, and ``LineRuns.manifest`` and ``LineRuns.load`` carry it to another session.
 
 Defined results: a null text counts as one empty line and comes back as the empty text; a null id is a document
-after all others; rows that repeat an id count as one document, and each keeps its lines; an empty table gives an
-empty table. Other columns pass through, whatever their names (inner names start with ``_ld_``).
+after all others; rows that repeat an id count as one document, and each keeps its lines; a very long
+text or line is handled whole; an empty table gives an empty table. Other columns pass through, whatever their names (inner names start with ``_ld_``).
 """
 
 from __future__ import annotations
@@ -21,16 +22,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfold.llm.common import SPACES, ascii_lower, scratch_dir, stored, table
+from sparkfold.llm.common import HOT_SHARE, SPACES, ascii_lower, discard, mark, scratch_dir, stored, stored_at, table
 
 #: Keys shorter than this never count as repeated.
 MIN_CHARS = 10
 #: Batches a table is cut into, by quantiles of its ids, and runs of one level before they are merged.
 BATCHES = 4
 FANOUT = 2
-#: Keys with more than this part of a batch's lines are joined apart from the rest: there are fewer than its inverse, so
-#: their table is bounded and may be broadcast.
-HOT_SHARE = 1 / 500
 LAST_ID = 9223372036854775807
 
 
@@ -45,17 +43,34 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-        self.tables: list[str] = []
+        #: Name -> path of every run's table, those merged into others too.
+        self.tables: dict[str, str] = {}
 
     def _write(self, df: DataFrame) -> str:
-        name = f"sparkfold_run_{uuid.uuid4().hex}"
-        (
-            df.select("h1", "h2", "owner").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
-            .option("path", scratch_dir(self.spark, "line-run")).saveAsTable(name)
-        )
-        self.tables.append(name)
+        name, path = f"sparkfold_run_{uuid.uuid4().hex}", scratch_dir(self.spark, "line-run")
+        df.select("h1", "h2", "owner").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        self.tables[name] = path
         return name
 
+    def manifest(self) -> dict:
+        """What ``load`` needs: the paths of the runs by level, buckets and fanout."""
+        return {"fanout": self.fanout, "buckets": self.buckets, "levels": [[self.tables[n] for n in level] for level in self.levels]}
+
+    @staticmethod
+    def load(spark: SparkSession, manifest: dict) -> LineRuns:
+        out = LineRuns(spark, manifest["fanout"], manifest["buckets"])
+        for level in manifest["levels"]:
+            names = []
+            for path in level:
+                name = f"sparkfold_run_{uuid.uuid4().hex}"
+                spark.sql(
+                    f"CREATE TABLE {name} (h1 BIGINT, h2 BIGINT, owner BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {out.buckets} BUCKETS LOCATION '{path}'"
+                )
+                out.tables[name] = path
+                names.append(name)
+            out.levels.append(names)
+        return out
+
     def runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
@@ -79,7 +94,7 @@ class LineRuns:
             self._push(self._write(merged), level + 1)
 
     def forget(self) -> None:
-        """Drops the catalog entries; the files stay for plans that still read them."""
+        """Drops the catalog entries; the files stay until they are discarded, or for ``load``."""
         for name in self.tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
@@ -99,12 +114,14 @@ def dedup_lines(
     min_chars: int = MIN_CHARS,
     batches: int = BATCHES,
     fanout: int = FANOUT,
+    runs: LineRuns | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text`` beside the columns they had.
 
-    A column of ``docs`` that has one of these three names is replaced.
+    A column of ``docs`` that has one of these three names is replaced. ``runs``: those of earlier calls, to which this
+    call adds its own; without it the call's runs are deleted at its end.
     """
-    spark = docs.sparkSession
+    spark, start = docs.sparkSession, mark()
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
     marked = docs.withColumns({
         "_ld_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)),
@@ -124,7 +141,7 @@ def dedup_lines(
     lines = stored(lines, "lines")
     held = {r.batch: r["count"] for r in lines.groupBy("batch").count().collect()}
 
-    store = LineRuns(spark, fanout)
+    store = runs if runs is not None else LineRuns(spark, fanout)
     dropped = None
     for b in range(batches):
         mine = lines.where(F.col("batch") == b)
@@ -136,6 +153,10 @@ def dedup_lines(
             dropped = gone if dropped is None else dropped.unionByName(gone)
     positions = dropped.groupBy("_ld_doc", "_ld_text").agg(F.array_sort(F.collect_set("pos")).alias("_ld_gone"))
 
+    positions, path = stored_at(positions, "positions")
+    if runs is None:
+        store.forget()
+    discard(spark, start, [path, *(store.tables.values() if runs is not None else ())])
     joined = marked.join(positions, ["_ld_doc", "_ld_text"], "left")
     # Sorted positions become one flag a line, so that filtering a text is linear in its lines.
     flags = F.flatten(

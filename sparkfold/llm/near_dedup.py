@@ -10,8 +10,10 @@
    a of A's and b of B's shingles held by any other member at all, a link needs min(a, b) >= t / (1 + t) * (|A| + |B|).
    With x and y their differences from the hub (shingles gained and lost) and p and q those of x and y that another
    member may share, it needs 2 * min(p, q) >= |x| + |y| - (1 - t) / (1 + t) * (|A| + |B|); and Jaccard distances to
-   the hub may differ by 1 - t at most. Only pairs that pass are looked at. All three rules are exact, so no link is
-   lost and a group's n * n pairs are not made.
+   the hub may differ by 1 - t at most. Pairs meet by prefix lists: a link needs at least t * n shingles of a set of n
+   in common, so two sets share one of their n - t * n + 1 rarest, rare being counted among all members. Lists whose
+   members are all of one component by now are left out. Only pairs that pass all rules are looked at; the rules are
+   exact, so no link is lost and a group's n * n pairs are not made.
 4. The union sketch of a pair estimates its similarity and filters; the shingles of the texts themselves confirm it.
 5. Confirmed links become components by alternating large and small stars.
 
@@ -28,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfold.llm.common import map_rows, stored, table
+from sparkfold.llm.common import discard, join_hot, map_rows, mark, stored, stored_at, table
 
 WORDS = 5
 #: Least similarity, as a fraction.
@@ -161,8 +163,9 @@ def _similarity(pairs: DataFrame, texts: DataFrame, where_similar: tuple[int, in
     return map_rows(joined, per_batch, "a long, b long, common long, joint long, na long, nb long")
 
 
-def _shared_shingles(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, held): how many of a text's shingles some other of these texts holds too."""
+def _prefixes(ids: DataFrame, texts: DataFrame, reps: DataFrame, similar: float) -> DataFrame:
+    """(id, n, held, value): of each text that can have a link, how many of its shingles some other of these texts holds
+    too, and the rarest of them, one of which it shares with every text it is linked with."""
     cache = _Hashes()
 
     def per_batch(batch):
@@ -173,22 +176,39 @@ def _shared_shingles(ids: DataFrame, texts: DataFrame) -> DataFrame:
             values.append(h.view(np.int64))
         return {"id": np.concatenate(own), "value": np.concatenate(values)} if own else None
 
-    all_ = map_rows(texts.join(ids, "id", "left_semi").select("id", "text"), per_batch, "id long, value long")
+    all_ = map_rows(texts.join(ids, "id", "left_semi").select("id", "text"), per_batch, "id long, value long").distinct()
+    all_ = stored(all_, "shingles", compression="zstd")
     counts = all_.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    return all_.join(counts, "value").groupBy("id").agg(F.count("*").alias("held"))
+    found = all_.join(counts, "value").groupBy("id").agg(F.collect_list(F.struct("df", "value")).alias("found"))
+    found = found.withColumn("held", F.size("found").cast("long")).join(reps.select("id", "n"), "id").where(F.col("held") >= similar * F.col("n") - 1e-6)
+    needed = F.ceil(F.col("n") * F.lit(similar) - 1e-6)
+    listed = F.greatest(F.col("held") - needed + 1, F.lit(0)).cast("int")
+    return found.select("id", "n", "held", F.explode(F.transform(F.slice(F.array_sort("found"), F.lit(1), listed), lambda x: x["value"])).alias("value"))
+
+
+def _stars(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(u, m, rows) of all u, and how many edges there are."""
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")), "least")
+    return least, least.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of all nodes of the links (a, b) but those that are their own component's least."""
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    """(id, component) of all nodes of the links (a, b) but those that are their own component's least.
+
+    A large component's centre has a row for each of its nodes; such centres are joined apart (``join_hot``).
+    """
+    spark, start = links.sparkSession, mark()
+    edges, path = stored_at(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        least, total = _stars(both)
+        large = join_hot(both.where("v > u"), least.select("u", F.least("u", "m").alias("m"), "rows"), ["u"], "rows", total)
+        large = stored(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least, total = _stars(large)
+        small = join_hot(large, least, ["u"], "rows", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges, path = stored_at(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        discard(spark, start, [path])
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -240,22 +260,24 @@ def _hub_links(members: DataFrame, reps: DataFrame, texts: DataFrame, similar: t
         joined = joined.unionByName(ends).groupBy("id").agg(F.min("new").alias("new"))
         state = stored(state.join(joined, "id", "left").select(*kept, F.coalesce("part", "new").alias("part")), "state")
 
-    # What no hub has joined: pairs of different parts that can still be similar, found by size within a hub's members.
-    held = _shared_shingles(members.select("id").distinct(), own)
-    sizes = reps.select("id", "n").join(held, "id").where(F.col("held") >= t * F.col("n"))
-    share, wide, base = t / (1 + t), math.ceil(-math.log(t) / math.log(1.02)) + 1, math.log(1.02)
-    rows = state.join(sizes, "id").withColumn("step", F.floor(F.log(F.col("n").cast("double")) / base).cast("int"))
+    # What no hub has joined: pairs of different parts that can still be similar, found by their prefix lists.
+    prefixes = stored(_prefixes(members.select("id").distinct(), own, reps, t), "prefixes")
+    rows = state.join(prefixes.select("id", "n", "held").distinct(), "id")
     rows = rows.withColumn("apart", F.col("lost") + F.col("n") - F.col("shared")).withColumn("may", F.col("lost") + F.col("held") - F.col("shared"))
-    rows = stored(rows.select("hub", "id", "n", "held", "far", "apart", "may", "part", "step"), "rest")
-    most = F.least(F.col("n") / t, F.col("held") / share - F.col("n"))
-    steps = F.sequence(F.col("step") - wide, F.greatest(F.col("step") - wide, F.floor(F.log(F.greatest(most, F.lit(1.0))) / base).cast("int")))
+    rows = rows.select("hub", "id", "n", "held", "far", "apart", "may", "part").join(prefixes.select("id", "value"), "id")
+    rows = stored(rows, "rest")
+    # Lists of one part have no pairs to offer.
+    lone = F.coalesce(F.col("part"), -F.col("id") - 1)
+    mixed = rows.groupBy("hub", "value").agg(F.min(lone).alias("x"), F.max(lone).alias("y")).where("x <> y").select("hub", "value")
+    rows = stored(rows.join(mixed, ["hub", "value"], "left_semi"), "mixed")
+    share = t / (1 + t)
 
     def side(x: str) -> list:
-        return ["hub", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "held", "far", "apart", "may", "part")]]
+        return ["hub", "value", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "held", "far", "apart", "may", "part")]]
 
     # One side in no hub's part of the component, or in another hub's than the first.
-    one = rows.where("part is null or part <> hub").select(*side("a"), F.explode(steps).alias("step"))
-    other = rows.select(*side("b"), "step")
+    one = rows.where("part is null or part <> hub").select(*side("a"))
+    other = rows.select(*side("b"))
     both = F.col("a_n") + F.col("b_n")
     can = (
         (F.col("a_id") != F.col("b_id"))
@@ -265,14 +287,15 @@ def _hub_links(members: DataFrame, reps: DataFrame, texts: DataFrame, similar: t
         & (F.abs(F.col("a_far") - F.col("b_far")) <= 1 - t + 1e-6)
         & (2 * F.least("a_may", "b_may") >= F.col("a_apart") + F.col("b_apart") - (1 - t) / (1 + t) * both - 1e-6)
     )
-    tested = one.join(other, ["hub", "step"]).where(can).select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")).distinct()
+    tested = one.join(other, ["hub", "value"]).where(can).select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")).distinct()
     links.append(_similarity(_estimated(tested, reps, K, t), own, similar).select("a", "b"))
     return links
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, int] = SIMILAR, k: int = K) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
-    found = stored(sketches(docs, id_col, text_col, k), "sketches", compression="zstd")
+    start = mark()
+    found, path = stored_at(sketches(docs, id_col, text_col, k), "sketches", compression="zstd")
     filled = found.where("n > 0 and doc_id is not null")
     classes = stored(
         filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes"
@@ -280,8 +303,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     links = _links(classes, texts, k, similar)
     # An id with several texts stands in several classes: they are one document.
-    same = filled.select("doc_id", "h1", "h2").join(classes.where("rows > 1").select("h1", "h2", "id"), ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    comp = components(links.unionByName(same))
+    copied = classes.where("rows > 1").select("h1", "h2", "id", "rows")
+    same = join_hot(filled.select("doc_id", "h1", "h2"), copied, ["h1", "h2"], "rows", filled.count()).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    comp, last = stored_at(components(links.unionByName(same)), "components")
+    discard(docs.sparkSession, start, [path, last])
     return found.join(comp, found.doc_id == comp.id, "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

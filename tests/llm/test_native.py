@@ -1,13 +1,14 @@
 """Mixing and line de-duplication: against SQL, brute force, and on awkward tables."""
 
 import hashlib
+import os
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sparkfold.llm import line_dedup, mixing
+from sparkfold.llm import common, line_dedup, mixing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -69,6 +70,36 @@ def test_runs_are_merged(spark):
     store.forget()
 
 
+def test_runs_go_on_in_later_calls(spark):
+    """Two halves, the second from the loaded manifest, drop the same lines as one call; nothing is left behind."""
+    rows = [(i, f"line number {i % 7} of this text\nand one of its own: {i}\nshort", "a") for i in range(40)]
+    cols = lambda df: sorted((r.doc_id, r.n_dropped, r.kept_text) for r in df.collect())
+    tables = len(spark.catalog.listTables())
+    want = cols(line_dedup.dedup_lines(frame(spark, rows), batches=2))
+    assert len(spark.catalog.listTables()) == tables
+    store = line_dedup.LineRuns(spark, buckets=3)
+    first = cols(line_dedup.dedup_lines(frame(spark, rows[:25]), batches=2, runs=store))
+    again = line_dedup.LineRuns.load(spark, store.manifest())
+    store.forget()
+    assert first + cols(line_dedup.dedup_lines(frame(spark, rows[25:]), batches=2, runs=again)) == want
+    again.forget()
+
+
+def test_scratch_tables_are_deleted(spark):
+    start = common.mark()
+    df, path = common.stored_at(spark.range(3).toDF("id"), "one")
+    other, gone = common.stored_at(spark.range(3).toDF("id"), "two")
+    common.discard(spark, start, [path])
+    assert df.count() == 3 and os.path.exists(path.removeprefix("file://")) and not os.path.exists(gone.removeprefix("file://"))
+
+
+def test_join_hot_is_a_join(spark):
+    left = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit(1)).otherwise(F.col("id") % 50).alias("k"), "id")
+    right = left.where("k <> 7").groupBy("k").agg(F.count("*").alias("rows"), F.max("id").alias("top"))
+    got = common.join_hot(left, right, ["k"], "rows", 3000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+
+
 def test_anti_join_of_runs_moves_no_run(spark):
     store = line_dedup.LineRuns(spark, buckets=4)
     rows = spark.range(100).select(F.col("id").alias("h1"), F.col("id").alias("h2"), F.col("id").alias("owner"))
