@@ -335,3 +335,73 @@ def test_license_headers_and_texts_over_lines(spark):
     got = {r.doc_id: r for r in ls.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
     assert {i: r.license for i, r in got.items()} == {1: "GPL-3.0", 2: "GPL-2.0", 3: "ISC", 4: "ISC", 5: "BSD-2-Clause", 6: "GPL-2.0"}
     assert got[3].licence_file and got[6].licence_file and not got[4].licence_file
+
+
+def brute_best(text, corpus, templates):
+    """Every segment against every template with dense TF-IDF vectors over all words: the greatest cosine not spoken against."""
+    files = [ls.segment_words(t or "") for t in corpus]
+    frequency = Counter(w for f in files for w in set(f))
+
+    def vector(words):
+        return {w: n * (math.log((1 + len(files)) / (1 + frequency[w])) + 1) for w, n in Counter(words).items()}
+
+    def cosine(x, y):
+        return sum(v * y.get(w, 0) for w, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+    blocks = [b.strip("\n") for b in __import__("re").split(r"\n\s*\n", text)]
+    segments = [(text, True)] + [(s, False) for b in blocks for s in [b, *b.split("\n"), *__import__("re").split(r"(?<=[.!?])\s+", b)]]
+    segments += [(s, False) for line in text.split("\n") for s in __import__("re").split(r"(?<=[.!?])\s+", line)]
+    found = []
+    for s, whole in segments:
+        words = ls.segment_words(s)
+        for name, texts in templates.items():
+            for t in texts:
+                tw = ls.segment_words(t)
+                if words and not ls.speaks_against(ls.decisive(tw), ls.decisive(words), whole):
+                    found.append((whole, cosine(vector(words), vector(tw)), name))
+    top = [x for x in found if x[1] >= ls.SIMILAR]
+    return max(top, default=(False, 0.0, None))
+
+
+def test_licenses_against_brute_force(spark):
+    """No segment is left out by the bound: every file gets the license of its best segment."""
+    rng = np.random.default_rng(6)
+    filler = "this text the of and software files under terms use copy any in to is by for with".split()
+    lines = [t for texts in ls._all_templates().values() for t in texts if len(t) < 300]
+    corpus = []
+    for i in range(120):
+        words = [str(rng.choice(filler)) for _ in range(int(rng.integers(5, 60)))]
+        body = [" ".join(words[k : k + 12]) for k in range(0, len(words), 12)]
+        for _ in range(int(rng.integers(0, 3))):
+            t = str(rng.choice(lines)).split()
+            t = [w for w in t if rng.random() > 0.08] + [str(rng.choice(filler)) for _ in range(int(rng.integers(0, 3)))]
+            at = int(rng.integers(0, len(body) + 1))
+            body[at:at] = ["", " ".join(t), ""] if i % 2 else [" ".join(t[: len(t) // 2]), " ".join(t[len(t) // 2 :])]
+        corpus.append("\n".join(body))
+    got = {r.doc_id: r for r in ls.scan_licenses(spark.createDataFrame([(i, f"d{i}/x.txt", t) for i, t in enumerate(corpus)], "doc_id long, path string, text string")).collect()}
+    templates, some = ls._all_templates(), 0
+    for i, t in enumerate(corpus):
+        whole, cosine, name = brute_best(t, corpus, templates)
+        assert (got[i].own_license is None) == (name is None) and abs(got[i].cosine - cosine) < 1e-9, (i, t, name, cosine, got[i])
+        some += name is not None
+    assert 30 < some < 110
+
+
+def test_versions_and_variants_decide(spark):
+    cases = {
+        "Licensed under the GNU GPL version 2": "GPL-2.0", "GNU GPL version 2": "GPL-2.0", "GNU GPL version 3": "GPL-3.0", "BSD License": None, "Licensed under the GNU GPL": None,
+        "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "SPDX-License-Identifier: Zlib": None,
+        "Licensed under CC BY 4.0": "CC-BY-4.0", "Licensed under CC BY-NC 4.0": "CC-BY-NC-4.0", "Licensed under the BSD 2-Clause License": "BSD-2-Clause", "Licensed under the BSD 3-Clause License": "BSD-3-Clause",
+        "Licensed under the GNU Lesser General Public License, version 3": "LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1",
+    }
+    noise = [(1000 + i, f"n/{i}.txt", f"other words of a file number {i} the and by under public general work") for i in range(300)]
+    files = [(i, f"d{i}/x.txt", t) for i, t in enumerate(cases)] + noise
+    df = spark.createDataFrame(files, "doc_id long, path string, text string").withColumns({c: F.lit("x") for c in ("row", "dir", "word", "rows", "license")})
+    got = {r.doc_id: r.license for r in ls.scan_licenses(df).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases and not any(got[i] for i, _, _ in noise)
+
+
+def test_licenses_of_hot_directories_long_texts_and_repeats(spark):
+    files = [(0, "LICENSE", "Released under the MIT License"), *[(i, f"big/{i}.txt", "words of a text") for i in range(1, 400)], (900, None, "words"), (900, None, "words"), (901, "big/long.txt", "some words more\n" * 50_000 + "Licensed under CC BY 4.0")]
+    got = {r.doc_id: (r.license, r.from_dir) for r in ls.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert len(got) == 402 and all(got[i] == ("MIT", "") for i in range(1, 400)) and got[900] == (None, None) and got[901][0] == "CC-BY-4.0"
