@@ -5,23 +5,31 @@ The wrapper of a host is a union-free regular expression over such streams, kept
 whose members may be optional or repeated, and text slots. It is inferred by aligning one page after another: what
 matches is merged, an element or group that repeats becomes a repeated group, what one side lacks becomes optional, and
 texts that differ become variable slots. Alignment is associative enough to run in a tree: pages of a partition are
-folded into one wrapper a host, those of all partitions are merged in two levels, so a host with a third of all pages
+folded into one wrapper a host, those of all partitions are merged ``MERGED`` at a time, so a host with a third of all pages
 costs no single task more than others.
 
-Extraction walks a page along its host's wrapper. Text goes if it lies in an element that names itself as navigation,
-header, footer, sidebar, notice, advert, form or comments, in a slot whose text is the same on most pages of the host
-while their other texts differ, or in a list that is links for the most part. If a page marks its text by ``article`` or
-``main`` elements, only what lies in them counts; of it constant slots go too, and such lists of links as most of the
+Extraction walks a page along its host's wrapper. Text goes if it lies in an element whose tag or role says navigation,
+header, footer, sidebar, advert or form, in a slot that has the same text on most pages of the host while other texts
+differ, or in a list that is links for the most part. Class names and ids that say so are weaker evidence: an element so
+named stays if it holds the article or main element, or, on a page without them, half of the page's own text; words for
+states (has-sidebar, comments-open) name nothing. Only comments go by name alone. If a page marks its text by ``article``
+or ``main`` elements, only what lies in them counts; of it constant slots go too, and such lists of links as most of the
 host's pages have, so that an article keeps a list of its own. Parts that the wrapper lacks are judged by the page alone.
 
-Defined results: null or empty html gives the empty text; markup that breaks off is read as far as it goes; rows that
-repeat are extracted alike; a null url is a host of its own; an empty table gives an empty table. A wrapper stops taking
-in new elements at ``MOST_NODES``. Such a host is decided by exact counts instead, made in Spark over all its pages:
-each slot and list has as its place the elements that lead to it, and a place is constant, or links, by the same rules.
+A slot keeps its ``TOPS`` most frequent texts and how often each came at least (a mergeable summary): a text on three
+quarters of the pages is always found constant, one on less than half never; between them it depends on the merges.
+
+Defined results: null or empty html gives the empty text; markup that breaks off is read as far as it goes; very long
+pages are read whole, and elements nested deeper than ``MOST_DEPTH`` become siblings in their order and keep what their
+parents say of them; rows that repeat are extracted alike; a null url is a host of its own; other columns, whatever their
+names, are not read; an empty table gives an empty table. A wrapper stops taking in new elements at ``MOST_NODES``. Such a
+host is decided by exact counts instead, made in Spark over all its pages: each slot and list has as its place the
+elements that lead to it, and a place is constant, or links, by the same rules.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html as html_lib
 import json
@@ -32,7 +40,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfold.llm.common import map_rows, stored, table
+from sparkfold.llm.common import discard, map_rows, mark, stored, stored_at, table
 
 MOST_NODES = 3000
 MOST_DEPTH = 150
@@ -40,6 +48,11 @@ MOST_DEPTH = 150
 CONST_PAGES = 8
 CONST_SHARE = 0.5
 LINK_SHARE = 0.7
+#: Texts a slot remembers with their numbers.
+TOPS = 3
+#: Wrappers of a host that one task merges, and bytes of all wrappers up to which they are sent to every task.
+MERGED = 32
+SENT_BYTES = 32 << 20
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>",
     re.S,
@@ -52,12 +65,16 @@ RAW = frozenset("script style textarea title".split())
 EMBEDDED = frozenset("noscript iframe svg math template xmp select object canvas audio video".split())
 DROP_TAGS = frozenset("nav header footer aside form head menu dialog button fieldset".split()) | RAW | EMBEDDED
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+_NAME_END = r"(?:$|[-_\s\d])"
 DROP_WORDS = re.compile(
     r"(?:^|[-_\s])(?:ads?|adv|adverts?|advertisements?|advertising|adsense|banner|sponsor(?:ed|s)?|promo(?:tion|s)?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|"
-    r"sidebars?|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|shar(?:e|ing)|social|related|recommend(?:ed|ations?)?|comments?|commentlist|disqus|repl(?:y|ies)|respond|footer|foot|"
-    r"masthead|topbar|toolbar|login|signup|search|copyright|skip|hidden|sr-only|toc|site-?header|page-?header)(?:$|[-_\s\d])",
+    r"sidebars?|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|shar(?:e|ing)|social|related|recommend(?:ed|ations?)?|respond|footer|foot|"
+    r"masthead|topbar|toolbar|login|signup|search|copyright|skip|hidden|sr-only|toc|site-?header|page-?header)" + _NAME_END,
     re.I,
 )
+COMMENT_WORDS = re.compile(r"(?:^|[-_\s])(?:comments?|commentlist|disqus|repl(?:y|ies))" + _NAME_END, re.I)
+#: Class words that say a state, not what an element is.
+_STATE = re.compile(r"(?:has|no|not|with|without|show|hide|is|enable|disable)[-_].*|.*[-_](?:open|closed|enabled|disabled|on|off|count|status)", re.I)
 DROP_NAMES = frozenset("header top topbar top-bar".split())
 MAIN_TAGS = frozenset(("article", "main"))
 CLOSES = {t: frozenset(ends.split()) for t, ends in (("li", "li"), ("dt", "dt dd"), ("dd", "dt dd"), ("tr", "tr td th"), ("td", "td th"), ("th", "td th"), ("option", "option"))}
@@ -65,10 +82,12 @@ HOLDS = frozenset("ul ol dl table".split())
 
 
 class Element:
-    __slots__ = ("key", "tag", "drop", "main", "kids")
+    """``named``: what class and id say; 1 that it is no main text, 2 that it is comments."""
+
+    __slots__ = ("key", "tag", "drop", "main", "named", "kids")
 
-    def __init__(self, tag: str, key: str, drop: bool, main: bool):
-        self.tag, self.key, self.drop, self.main, self.kids = tag, key, drop, main, []
+    def __init__(self, tag: str, key: str, drop: bool, main: bool, named: int = 0):
+        self.tag, self.key, self.drop, self.main, self.named, self.kids = tag, key, drop, main, named, []
 
 
 class Text:
@@ -91,38 +110,96 @@ def _element(tag: str, raw: str) -> Element:
     names = " ".join(sorted(at.get("class", "").split()))
     role, ident = at.get("role", "").lower(), at.get("id", "")
     main = tag in MAIN_TAGS or role in ("main", "article") or at.get("itemprop", "").lower() == "articlebody"
-    drop = (
-        tag in DROP_TAGS or role in DROP_ROLES or "hidden" in at or at.get("aria-hidden") == "true"
-        or "display:none" in at.get("style", "").replace(" ", "").lower()
-        or bool(tag not in ("html", "body") and (DROP_WORDS.search(names) or DROP_WORDS.search(ident) or not DROP_NAMES.isdisjoint([*names.lower().split(), ident.lower()])))
-    )
-    return Element(tag, re.sub(r"\d+", "0", f"{tag}.{names}#{ident}"[:120]), drop, main)
+    drop = tag in DROP_TAGS or role in DROP_ROLES or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", "").lower()
+    named = 0
+    if tag not in ("html", "body"):
+        words = [w for w in (*names.split(), ident) if not _STATE.fullmatch(w)]
+        if any(map(COMMENT_WORDS.search, words)):
+            named = 2
+        elif any(map(DROP_WORDS.search, words)) or not DROP_NAMES.isdisjoint(w.lower() for w in words):
+            named = 1
+    return Element(tag, re.sub(r"\d+", "0", f"{tag}.{names}#{ident}"[:120]), drop, main, named)
+
+
+def decide(root: Element) -> Element:
+    """Settles which named elements go."""
+    own: dict[int, int] = {}
+    mains: dict[int, bool] = {}
+
+    def measure(e: Element) -> None:
+        n, main = 0, e.main
+        for k in e.kids:
+            if isinstance(k, Text):
+                n += max(0, len(k.text) - k.links)
+            else:
+                measure(k)
+                if not k.drop:
+                    n += own[id(k)]
+                    main |= mains[id(k)]
+        own[id(e)], mains[id(e)] = n, main
+
+    def settle(e: Element) -> None:
+        for k in e.kids:
+            if isinstance(k, Element):
+                if k.named == 2:
+                    k.drop = True
+                elif k.named:
+                    holds = any(isinstance(x, Element) and not x.drop and mains[id(x)] for x in k.kids)
+                    most = 2 * own[id(k)] >= own[id(root)] > 0
+                    k.drop |= not (holds or most and (k.main or not mains[id(root)]))
+                settle(k)
+
+    measure(root)
+    settle(root)
+    return root
 
 
 def parse(html: str | None) -> Element:
-    """The page's nesting; end tags may lack, and elements too deep join their parent."""
+    """The page's nesting; end tags may lack, and elements too deep join one that is not."""
     root = Element("root", "root", False, False)
-    stack, deep, at, src = [root], 0, 0, html or ""
+    stack, at, src = [root], 0, html or ""
+    opened: Counter = Counter()
     link, muted = False, ""
-    # Open embedded elements, which are in no parent's list, with the state before them.
+    # Open embedded elements, which are in no parent's list, with their place and the state before them.
     held: list[tuple[Element, int, bool, str]] = []
 
+    def push(e: Element) -> None:
+        stack.append(e)
+        opened[e.tag] += 1
+
+    def pop() -> Element:
+        e = stack.pop()
+        opened[e.tag] -= 1
+        return e
+
+    def floor() -> Element:
+        """Where what opens now is listed."""
+        return stack[min(len(stack) - 1, max(MOST_DEPTH, held[-1][1] if held else 0))]
+
     def close(i: int) -> None:
         """Closes the elements from place i; an embedded one without end tag gives what it took to its parent."""
         parts: list[list] = []
         while len(stack) > i:
-            e = stack.pop()
+            e = pop()
             if held and held[-1][0] is e:
                 held.pop()
                 parts.append(e.kids)
-                if len(stack) == i or not held or held[-1][0] is not stack[-1]:
-                    while parts:
-                        stack[-1].kids.extend(parts.pop())
+            if parts and (len(stack) == i or len(stack) <= MOST_DEPTH + 1 and not (held and held[-1][0] is stack[-1])):
+                under = floor()
+                while parts:
+                    under.kids.extend(parts.pop())
 
     def add(text: str) -> None:
         if not text or muted:
             return
-        kids = stack[-1].kids
+        top, under = stack[-1], floor()
+        if under is not top and (not under.kids or under.kids[-1] is not top):
+            # A deep element goes on after another that is listed beside it.
+            if text.isspace():
+                return
+            stack[-1] = top = Element(top.tag, top.key, top.drop, top.main, top.named)
+            under.kids.append(top)
+        kids = top.kids
         if not kids or not isinstance(kids[-1], Text):
             if text.isspace():
                 return
@@ -155,18 +232,14 @@ def parse(html: str | None) -> Element:
                     muted = ""
                 continue
             if tag in EMBEDDED:
-                place = next((i for i in range(len(held) - 1, -1, -1) if held[i][0].tag == tag), None)
+                place = next((i for i in range(len(held) - 1, -1, -1) if held[i][0].tag == tag), None) if opened[tag] else None
                 if place is not None:
-                    e, deep, link, muted = held[place]
+                    e, _, link, muted = held[place]
                     del held[place:]
-                    while stack.pop() is not e:
+                    while pop() is not e:
                         pass
                 continue
-            if deep and tag not in VOID:
-                deep -= 1
-                add("\n")
-                continue
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i].tag == tag:
                     close(i)
                     muted, link = "", False
@@ -174,15 +247,16 @@ def parse(html: str | None) -> Element:
             continue
         if tag in INLINE:
             link = link or tag == "a"
-            if attrs.strip(" /") and not muted and tag != "wbr" and _element(tag, attrs).drop:
-                muted = tag
+            if attrs.strip(" /") and not muted and tag != "wbr":
+                e = _element(tag, attrs)
+                muted = tag if e.drop or e.named else ""
             continue
         if tag == "br":
             add("\n")
             continue
         if tag in VOID:
             if tag == "hr" and stack[-1].kids:
-                stack[-1].kids.append(Element("hr", "hr", False, False))
+                floor().kids.append(Element("hr", "hr", False, False))
             continue
         if attrs.endswith("/") and (tag in EMBEDDED or any(e.tag in ("svg", "math") for e, *_ in held)):
             continue
@@ -194,47 +268,47 @@ def parse(html: str | None) -> Element:
             continue
         if tag in EMBEDDED:
             e = Element(tag, tag, True, False)
-            held.append((e, deep, link, muted))
-            stack.append(e)
-            deep = 0
+            held.append((e, len(stack), link, muted))
+            push(e)
             continue
         muted, link = "", False
         while len(stack) > 1 and stack[-1].tag == "p":
-            stack.pop()
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in HOLDS or stack[i].tag in EMBEDDED or tag not in CLOSES:
+            pop()
+        for i in range(len(stack) - 1, 0, -1) if tag in CLOSES else ():
+            if stack[i].tag in HOLDS or stack[i].tag in EMBEDDED:
                 break
             if stack[i].tag in CLOSES[tag]:
                 close(i)
                 break
-        if len(stack) > MOST_DEPTH:
-            deep += 1
-            add("\n")
-            continue
-        new = _element(tag, attrs)
-        stack[-1].kids.append(new)
-        stack.append(new)
+        new, under = _element(tag, attrs), floor()
+        if under is not stack[-1]:
+            new.drop, new.main, new.named = new.drop or stack[-1].drop, new.main or stack[-1].main, max(new.named, stack[-1].named)
+        under.kids.append(new)
+        push(new)
     close(1)
-    return root
+    return decide(root)
 
 
 class Node:
-    """A member of a wrapper's sequence: element, group (key "()") or text slot (key "#")."""
+    """A member of a wrapper's sequence: element, group (key "()") or text slot (key "#").
 
-    __slots__ = ("key", "many", "opt", "n", "kids", "same", "chars", "links", "flag", "full")
+    ``tops``: a slot's most frequent texts by checksum, with numbers that are never too great.
+    """
 
-    def __init__(self, key, many=False, opt=False, n=1, kids=(), same=0, chars=0, links=0):
+    __slots__ = ("key", "many", "opt", "n", "kids", "tops", "chars", "links", "flag", "full")
+
+    def __init__(self, key, many=False, opt=False, n=1, kids=(), tops=None, chars=0, links=0):
         self.key, self.many, self.opt, self.n, self.kids = key, many, opt, n, list(kids)
-        self.same, self.chars, self.links, self.flag = same, chars, links, False
+        self.tops, self.chars, self.links, self.flag = tops or {}, chars, links, False
         #: Elements were left out of it.
         self.full = False
 
     def dump(self):
-        return [self.key, int(self.many), int(self.opt), self.n, self.same, self.chars, self.links, [k.dump() for k in self.kids], int(self.full)]
+        return [self.key, int(self.many), int(self.opt), self.n, sorted(self.tops.items()), self.chars, self.links, [k.dump() for k in self.kids], int(self.full)]
 
     @staticmethod
     def load(x) -> Node:
-        out = Node(x[0], bool(x[1]), bool(x[2]), x[3], [Node.load(k) for k in x[7]], x[4], x[5], x[6])
+        out = Node(x[0], bool(x[1]), bool(x[2]), x[3], [Node.load(k) for k in x[7]], {k: n for k, n in x[4]}, x[5], x[6])
         out.full = bool(x[8])
         return out
 
@@ -246,6 +320,17 @@ def _shape(node: Node):
     return (node.key, tuple(k.key for k in node.kids) if node.key == "()" else ())
 
 
+def _tops(a: dict[int, int], b: dict[int, int]) -> dict[int, int]:
+    """Sum of two summaries, cut to ``TOPS`` texts by taking the next one's number off all."""
+    out = dict(a)
+    for k, n in b.items():
+        out[k] = out.get(k, 0) + n
+    if len(out) > TOPS:
+        less = sorted(out.values(), reverse=True)[TOPS]
+        out = {k: n - less for k, n in out.items() if n > less}
+    return out
+
+
 def absorb(a: Node, b: Node, room: list[int], inside: bool = False) -> None:
     """Merges b into a; ``inside``: both are of one page, so a repetition and not another page."""
     a.many |= b.many
@@ -254,40 +339,39 @@ def absorb(a: Node, b: Node, room: list[int], inside: bool = False) -> None:
     if not inside:
         a.n += b.n
     if a.key == "#":
-        a.same = a.same if a.same == b.same else 0
+        a.tops = _tops(a.tops, b.tops)
     a.chars += b.chars
     a.links += b.links
     a.kids = align(a.kids, b.kids, room, inside)
 
 
+def _common(a: list, b: list) -> list[tuple[int, int]]:
+    """A longest common subsequence, by matching places: the longest ascending chain of places in b, taken in a's order."""
+    places: dict = {}
+    for j, k in enumerate(b):
+        places.setdefault(k, []).append(j)
+    ends: list[int] = []
+    chains: list[tuple] = []
+    for i, k in enumerate(a):
+        for j in reversed(places.get(k, ())):
+            at = bisect.bisect_left(ends, j)
+            chain = (i, j, chains[at - 1] if at else None)
+            if at == len(ends):
+                ends.append(j)
+                chains.append(chain)
+            else:
+                ends[at], chains[at] = j, chain
+    out, chain = [], chains[-1] if chains else None
+    while chain is not None:
+        i, j, chain = chain
+        out.append((i, j))
+    return out[::-1]
+
+
 def align(a: list[Node], b: list[Node], room: list[int], inside: bool = False) -> list[Node]:
     """One sequence that both match: a longest common subsequence is merged, the rest becomes optional."""
     ka, kb = [_shape(x) for x in a], [_shape(x) for x in b]
-    pairs = []
-    if ka == kb:
-        pairs = [(i, i) for i in range(len(a))]
-    elif len(a) * len(b) <= 40_000:
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a) - 1, -1, -1):
-            row, below = best[i], best[i + 1]
-            for j in range(len(b) - 1, -1, -1):
-                row[j] = below[j + 1] + 1 if ka[i] == kb[j] else max(below[j], row[j + 1])
-        i = j = 0
-        while i < len(a) and j < len(b):
-            if ka[i] == kb[j]:
-                pairs.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-    else:
-        at = 0
-        for j, k in enumerate(kb):
-            if k in ka[at:]:
-                at = ka.index(k, at)
-                pairs.append((at, j))
-                at += 1
+    pairs = [(i, i) for i in range(len(a))] if ka == kb else _common(ka, kb)
     out, i, j = [], 0, 0
     for x, y in [*pairs, (len(a), len(b))]:
         for node in a[i:x]:
@@ -341,7 +425,7 @@ def skeleton(e: Element) -> Node:
         if isinstance(k, Text):
             t = k.text
             if t:
-                kids.append(Node("#", same=zlib.crc32(t.encode("utf-8", "surrogatepass")) or 1, chars=len(t), links=min(k.links, len(t))))
+                kids.append(Node("#", tops={zlib.crc32(t.encode("utf-8", "surrogatepass")): 1}, chars=len(t), links=min(k.links, len(t))))
         else:
             kids.append(skeleton(k))
     kids = fold(kids, room)
@@ -365,8 +449,12 @@ def combine(a: Node | None, b: Node) -> Node:
     return a
 
 
+def _constant(node: Node) -> bool:
+    return max(node.tops.values(), default=0) >= CONST_SHARE * node.n
+
+
 def _varies(node: Node) -> bool:
-    return (node.key == "#" and node.same == 0 and not node.many) or any(_varies(k) for k in node.kids)
+    return (node.key == "#" and not _constant(node) and not node.many) or any(_varies(k) for k in node.kids)
 
 
 def judge(root: Node) -> Node:
@@ -376,7 +464,7 @@ def judge(root: Node) -> Node:
     def walk(node: Node, repeated: bool) -> None:
         repeated |= node.many
         if node.key == "#":
-            node.flag = varied and not repeated and node.same != 0 and node.n >= CONST_PAGES and node.n >= CONST_SHARE * pages
+            node.flag = varied and not repeated and _constant(node) and node.n >= CONST_PAGES and node.n >= CONST_SHARE * pages
         elif node.key.split(".", 1)[0] in ("ul", "ol", "table", "dl") and node.chars and node.links >= LINK_SHARE * node.chars:
             node.flag = True
         for k in node.kids:
@@ -442,8 +530,9 @@ def constant_places(pages: DataFrame) -> DataFrame:
 
     schema = "host string, html_key string, place long, slot boolean, repeated boolean, same long, chars long, links long"
     all_ = stored(map_rows(pages.select("host", "html_key", "html"), per_batch, schema), "places")
-    counts = all_.groupBy("host", "place").agg(
-        F.count("*").alias("n"), F.max("slot").alias("slot"), F.max("repeated").alias("repeated"), (F.min("same") == F.max("same")).alias("alike"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
+    by_text = all_.groupBy("host", "place", "same").agg(F.count("*").alias("n"), F.max("slot").alias("slot"), F.max("repeated").alias("repeated"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    counts = by_text.groupBy("host", "place").agg(
+        F.sum("n").alias("n"), F.max("slot").alias("slot"), F.max("repeated").alias("repeated"), (F.max("n") >= CONST_SHARE * F.sum("n")).alias("alike"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
     )
     counts = stored(counts, "places")
     hosts = counts.groupBy("host").agg(
@@ -503,7 +592,7 @@ def _host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, parts: int = 32) -> DataFrame:
+def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper, full): one expression a host, from all its pages; full: it has elements left out."""
 
     def per_partition(batches):
@@ -533,39 +622,48 @@ def wrappers(pages: DataFrame, parts: int = 32) -> DataFrame:
             total = combine(total, Node.load(json.loads(w)))
         return pa.Table.from_pydict({"host": [table_["host"][0].as_py()], "wrapper": [json.dumps(total.dump())]})
 
-    first = pages.mapInArrow(per_partition, "host string, wrapper string")
-    level = first.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(parts))).groupBy("host", "part").applyInArrow(merged, "host string, wrapper string")
-    # The root's own mark ends the text.
-    return level.groupBy("host").applyInArrow(merged, "host string, wrapper string").withColumn("full", F.col("wrapper").endswith(", 1]"))
+    level = stored(pages.mapInArrow(per_partition, "host string, wrapper string"), "wrappers")
+    most = level.groupBy("host").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    while True:
+        parts = max(1, -(-most // MERGED))
+        level = level.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(parts))).groupBy("host", "part").applyInArrow(merged, "host string, wrapper string")
+        if parts == 1:
+            # The root's own mark ends the text.
+            return level.withColumn("full", F.col("wrapper").endswith(", 1]"))
+        level, most = stored(level, "wrappers"), parts
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page (page_id, url, html)."""
+    spark, start = pages.sparkSession, mark()
     hosted = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
-    known = stored(wrappers(hosted.select("host", "html")), "wrappers")
-    joined = hosted.join(known, "host", "left")
+    known, path = stored_at(wrappers(hosted.select("host", "html")), "wrappers")
+    size = known.agg(F.coalesce(F.sum(F.octet_length("wrapper")), F.lit(0))).first()[0]
+    kept = [path]
     if known.where("full").isEmpty():
-        joined = joined.withColumn("places", F.lit(None).cast("array<struct<place: long, often: boolean>>"))
+        rows = hosted.withColumns({"full": F.lit(False), "places": F.lit(None).cast("array<struct<place: long, often: boolean>>")})
     else:
-        keyed = joined.withColumn("html_key", F.when(F.col("full"), F.sha2(F.coalesce("html", F.lit("")), 256)))
-        joined = keyed.join(constant_places(keyed.where("full")), ["host", "html_key"], "left")
+        keyed = hosted.join(known.select("host", "full"), "host").withColumn("html_key", F.when(F.col("full"), F.sha2(F.coalesce("html", F.lit("")), 256)))
+        places_, at = stored_at(constant_places(keyed.where("full")), "gone")
+        rows, kept = keyed.join(places_, ["host", "html_key"], "left"), [path, at]
+    discard(spark, start, kept)
+    # Wrappers go to every task if they are small, and with the pages of their host if not.
+    sent = spark.sparkContext.broadcast({r.host: r.wrapper for r in known.select("host", "wrapper").collect()}) if size <= SENT_BYTES else None
+    rows = rows.withColumn("wrapper", F.lit(None).cast("string")) if sent is not None else rows.join(known.select("host", "wrapper"), "host", "left")
     cache: dict[str, Node] = {}
 
     def per_batch(batch):
         texts = []
-        for source, w, full, known_places in zip(*(batch[c].to_pylist() for c in ("html", "wrapper", "full", "places")), strict=True):
-            node = None
-            if w is not None:
-                node = cache.get(w)
-                if node is None:
-                    if len(cache) > 500:
-                        cache.clear()
-                    node = cache[w] = judge(Node.load(json.loads(w)))
+        for source, host, w, full, known_places in zip(*(batch[c].to_pylist() for c in ("html", "host", "wrapper", "full", "places")), strict=True):
+            node = cache.get(host)
+            if node is None:
+                if len(cache) > 500:
+                    cache.clear()
+                node = cache[host] = judge(Node.load(json.loads(sent.value[host] if sent is not None else w)))
             texts.append(extract(parse(source), node, {x["place"]: x["often"] for x in known_places or ()} if full else None))
         return {"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
-    # Spark broadcasts the wrappers if their files are small enough for it, and shuffles both sides otherwise.
-    return map_rows(joined.select("page_id", "url", "html", "wrapper", "full", "places"), per_batch, "page_id long, url string, text string, n_chars long")
+    return map_rows(rows.select("page_id", "url", "html", "host", "wrapper", "full", "places"), per_batch, "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:

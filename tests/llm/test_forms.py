@@ -105,6 +105,70 @@ def test_wrappers_decide_inside_articles():
         assert hw.extract(hw.parse(marked(i)), w) == f"Title {i} Body {i}" + (" own source" if i == 7 else "")
 
 
+def test_names_are_weak_evidence():
+    for x, want in (
+        ('<div class="content has-sidebar"><h1>T</h1><p>Body text</div>', "T Body text"),
+        ('<article class="no-sidebar"><p>Body</article>', "Body"),
+        ('<body><div class="post related-2"><p>Body of some length</div><div class="related"><p>Other</div>', "Body of some length"),
+        ('<body><div id="search-engine-article"><p>Body of some length</div><div class=ad>Buy</div>', "Body of some length"),
+        ('<body><div class="page sidebar"><article><p>Body</article></div><div class="sidebar">A very long text beside the article, longer than it</div>', "Body"),
+        ('<article class="post comments-open"><p>Body</p><div class="comments"><p>A much longer comment than the body</div></article>', "Body"),
+        ("<body><p>Body</p><div class=comments><p>A much longer comment than the body is</div>", "Body"),
+        ("<body><p>Body of some length</p><div class=widget>x</div>", "Body of some length"),
+    ):
+        assert hw.extract(hw.parse(x), None) == want, x
+
+
+def test_deep_elements_keep_order_and_what_their_parents_say():
+    deep = "<div>" * 300
+    for x, want in (
+        (deep + "a<div>b</div>c<div class=ad>no<p>no</div>d", "a b c d"),
+        (deep + "<nav><div>no<div>no</div>no</div></nav>e", "e"),
+        (deep + "<article><div>in<div>in2</div></div></article><p>out", "in in2"),
+        (deep + "<ul><li>1<li>2</ul>" + "</div>" * 300 + "z", "1 2 z"),
+    ):
+        assert hw.extract(hw.parse(x), None) == want, x[1500:]
+    assert hw.extract(hw.parse("<div>" * 50_000 + "</b></span>" * 50_000 + "</section>" * 50_000 + "x"), None) == "x"
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    rnd = random.Random(1)
+    for _ in range(300):
+        a, b = ([rnd.choice("abcd") for _ in range(rnd.randrange(9))] for _ in range(2))
+
+        @functools.cache
+        def longest(i, j, a=tuple(a), b=tuple(b)):
+            if i == len(a) or j == len(b):
+                return 0
+            return max(longest(i + 1, j), longest(i, j + 1), 1 + longest(i + 1, j + 1) if a[i] == b[j] else 0)
+
+        got = hw._common(a, b)
+        assert len(got) == longest(0, 0) and all(a[i] == b[j] for i, j in got)
+        assert all(x < u and y < v for (x, y), (u, v) in zip(got, got[1:], strict=False))
+    assert len(hw._common(list(range(3000)), [0, *range(5, 3000)])) == 2996
+
+
+def test_unmarked_pages_under_partitionings(spark):
+    """Without article or main the wrapper decides: notices on 19 of 20 pages go, whatever the partitioning."""
+
+    def unmarked(i):
+        notice = "Same notice everywhere" if i % 20 else f"Another one {i}"
+        return f"<body><div class=a><ul><li><a href=/>one</a><li><a href=/>two</a></ul></div><div class=b>{notice}</div><div class=c><h2>Title {i}</h2><p>Body {i}</p></div><div class=d>All rights {'' if i % 2 else ''}kept</div></body>"
+
+    df = spark.createDataFrame([(i, "http://u.org/x", unmarked(i)) for i in range(100)], "page_id long, url string, html string")
+    df = df.withColumns({"wrapper": F.lit(1), "full": F.lit(2), "text": F.lit("t")})
+    results = [sorted((r.page_id, r.text) for r in hw.extract_pages(df.repartition(n)).collect()) for n in (1, 3, 70)]
+    assert results[0] == results[1] == results[2] and len(results[0]) == 100
+    assert [t for i, t in results[0] if i % 20] == [f"Title {i} Body {i}" for i in range(100) if i % 20]
+
+
+def test_large_wrappers_travel_with_their_pages(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"http://h{i % 3}.org/", page(i)) for i in range(60)], "page_id long, url string, html string")
+    sent = sorted(map(tuple, hw.extract_pages(df).collect()))
+    monkeypatch.setattr(hw, "SENT_BYTES", 0)
+    assert sorted(map(tuple, hw.extract_pages(df).collect())) == sent
+
+
 def test_repeated_groups_fold():
     root = hw.skeleton(hw.parse("<dl>" + "<dt>a</dt><dd>b</dd>" * 5 + "</dl>"))
     (dl,) = root.kids
