@@ -4,6 +4,7 @@ import functools
 import hashlib
 import os
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -293,6 +294,82 @@ def test_audio_headers():
     assert mp.header(0) is None and mp.header(0xFFFBF064) is None
 
 
+def slow_crc(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if crc >> 15 ^ b else 0)
+    return crc
+
+
+def layer_two(rnd, kbits, rate_at, mode, ext, version=3):
+    """A protected Layer II frame with random allocations, its checksum from the standard's text, bit by bit."""
+    word = 0x7FF << 21 | version << 19 | 2 << 17 | mp.KBITS[version == 3, 2].index(kbits) << 12 | rate_at << 10 | mode << 6 | ext << 4
+    h = mp.header(word)
+    channels = 1 if mode == 3 else 2
+    each = kbits // channels
+    if version != 3:
+        widths = [4] * 4 + [3] * 7 + [2] * 19
+    elif each <= 48:
+        widths = [4] * 2 + [3] * (10 if h.rate == 32000 else 6)
+    else:
+        widths = [4] * 11 + [3] * 12 + [2] * (4 if h.rate == 48000 or each <= 80 else 7)
+    bits, selections = [], 0
+    for sb, width in enumerate(widths):
+        joint = mode == 1 and sb >= 4 * (ext + 1)
+        for _ in range(1 if joint else channels):
+            x = rnd.choice((0, rnd.randrange(1 << width)))
+            bits += [x >> i & 1 for i in range(width - 1, -1, -1)]
+            selections += 2 * (x != 0) * (2 if joint else 1)
+    bits += [rnd.randrange(2) for _ in range(selections)]
+    crc = slow_crc([word >> i & 1 for i in range(15, -1, -1)] + bits)
+    bits += [rnd.randrange(2) for _ in range(-len(bits) % 8)]
+    body = bytes(sum(b << 7 - i for i, b in enumerate(bits[k : k + 8])) for k in range(0, len(bits), 8))
+    frame = word.to_bytes(4, "big") + crc.to_bytes(2, "big") + body
+    return frame + bytes(h.length - len(frame))
+
+
+def test_audio_checksums_of_layer_two():
+    rnd = random.Random(3)
+    kinds = [(32, 0, 3, 0, 3), (48, 2, 3, 0, 3), (64, 1, 3, 0, 3), (192, 0, 0, 0, 3), (192, 0, 1, 1, 3), (384, 2, 1, 3, 3), (96, 2, 2, 0, 3), (64, 0, 1, 2, 2), (80, 1, 3, 0, 2)]
+    for kind in kinds:
+        frames = [layer_two(rnd, *kind) for _ in range(4)]
+        got = mp.parse(b"".join(frames))
+        assert (got.layer, len(got.offsets), got.crc_checked, got.crc_bad) == (2, 4, 4, 0), kind
+        broken = bytearray(frames[1])
+        broken[7] ^= 16
+        assert mp.parse(frames[0] + bytes(broken) + frames[2]).crc_bad == 1
+
+
+def test_audio_free_format():
+    word = 0x7FF << 21 | 3 << 19 | 1 << 17 | 1 << 16 | 3 << 6
+    frames = [(word | pad << 9).to_bytes(4, "big") + bytes([i]) * (500 + pad) for i, pad in enumerate((0, 1, 0, 0, 1))]
+    got = mp.parse(b"junk" + b"".join(frames))
+    assert got.skipped == 4 and len(got.offsets) == 5 and [b - a for a, b in zip(got.offsets, got.offsets[1:], strict=False)] == [504, 505, 504, 504]
+    assert got.samples == 5 * 1152 and got.bitrates == {0}
+    assert mp.parse(frames[0]).offsets == []
+
+
+def test_audio_tags_and_tables():
+    frame = mp._FRAMES[3][1] + bytes(mp._FRAMES[3][2] - len(mp._FRAMES[3][1]))
+    field = lambda body: b"TT2" + len(body).to_bytes(3, "big") + body
+    two = field(b"\0Old title") + b"TXX" + (8).to_bytes(3, "big") + b"\0key\0val"
+    sync = lambda n: bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127))
+    old = mp.parse(b"ID3\x02\0\0" + sync(len(two)) + two + frame * 2)
+    assert old.tags == {"TT2": "Old title", "key": "val"} and len(old.offsets) == 2
+    body = b"\x01\xff\xfeh\0i\0"
+    three = (6).to_bytes(4, "big") + bytes(6) + b"TIT2" + len(body).to_bytes(4, "big") + b"\0\0" + body
+    three = three.replace(b"\xff", b"\xff\x00")
+    assert mp.parse(b"ID3\x03\0\xc0" + sync(len(three)) + three + frame * 2).tags == {"TIT2": "hi"}
+    last = b"TAG" + b"Title".ljust(30, b"\0") + b"Artist".ljust(30) + bytes(30) + b"1999" + b"note".ljust(28, b"\0") + b"\0\x07\x11"
+    got = mp.parse(frame * 2 + last)
+    assert got.tags == {"title": "Title", "artist": "Artist", "year": "1999", "comment": "note", "track": "7"} and got.skipped == 0
+    table = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 0, 5000, 9, 3, 2, 2, 3) + struct.pack(">HHH", 10, 20, 30)
+    plain = (0x7FF << 21 | 3 << 19 | 1 << 17 | 1 << 16 | 9 << 12 | 3 << 6).to_bytes(4, "big")
+    size = mp.header(int.from_bytes(plain, "big")).length
+    got = mp.parse(plain + bytes(32) + table + bytes(size - 36 - len(table)) + (plain + bytes(size - 4)) * 2)
+    assert (got.vbr, got.vbr_bytes, got.vbr_frames, got.points, len(got.offsets)) == ("VBRI", 5000, 9, [20, 60, 120], 2)
+
+
 def test_audio_table(spark):
     df = spark.createDataFrame([(1, "text"), (2, "text"), (3, None), (None, "x" * 64)], "doc_id long, text string").withColumn("media", F.lit(1))
     got = {r.doc_id: r for r in mp.inspect(mp.store(df)).collect()}
