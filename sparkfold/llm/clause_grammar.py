@@ -187,7 +187,7 @@ class Lexicon:
             if weight <= 0:
                 weight = max((self.stems.get(word[:n], 0.0) for n in range(STEM[0], min(STEM[1], len(word)) + 1)), default=0.0)
             got = (INSULT, weight) if weight > 0 else (self.roles.get(word, OTHER), 0.0)
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 300_000:
                 self.known.clear()
             self.known[word] = got
         return got

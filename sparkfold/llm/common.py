@@ -113,11 +113,24 @@ def map_rows(df: DataFrame, per_batch, schema: str) -> DataFrame:
                         [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(out.values(), arrow, strict=True)],
                         schema=arrow,
                     )
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
-def slices(batch, most_bytes: int = 16 << 20):
+def give_back() -> None:
+    """Returns what a task's batches took to the machine, since workers live on; does nothing where the C library can't."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def slices(batch, most_bytes: int = 4 << 20):
     """Cuts a batch into slices of about ``most_bytes``, a row at least, so that long texts don't add up in memory."""
     n = max(1, -(-batch.nbytes // most_bytes))
     step = max(1, -(-batch.num_rows // n))
@@ -125,7 +138,15 @@ def slices(batch, most_bytes: int = 16 << 20):
         yield batch.slice(i, step)
 
 
+#: Rows of an Arrow batch at most: Spark's 10,000 are too many of long texts, in the JVM's direct memory too.
+BATCH_ROWS = 1000
+
+
 def _arrow_schema(spark: SparkSession, schema: str):
+    """The schema for pyarrow. The session's Arrow batches are cut to ``BATCH_ROWS`` unless they are smaller."""
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(limit)) <= BATCH_ROWS:
+        spark.conf.set(limit, BATCH_ROWS)
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -55,7 +55,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
