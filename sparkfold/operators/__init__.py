@@ -85,10 +85,33 @@ HOT = MEET * MEET
 
 
 def key_counts(p: Problem, a: Tensor, b: Tensor, reduce_alone: bool = True) -> DataFrame:
-    """(j, na, nb): rows of both sides by join key, of keys that both have."""
-    left, right = operands(p, a, b, reduce_alone)
-    na = left.groupBy(F.col("aj").alias("j")).agg(F.count("*").alias("na"))
-    return na.join(right.groupBy(F.col("bj").alias("j")).agg(F.count("*").alias("nb")), "j")
+    """(j, na, nb): rows of both sides by join key, of keys that both have. Rows of a coordinate that aren't summed yet
+    count one by one, which saves a shuffle, unless isolated labels are summed before the join."""
+    shared = [*p.h, *p.k]
+
+    def keys(t, labels, op, prefix, alone, side):
+        if alone and reduce_alone:
+            return operands(p, a, b)[side].select(F.col(prefix + "j").alias("j"))
+        rows, at = labelled(t.unsummed(), labels, op)
+        return rows.select(linear(shared, p.extent, at).alias("j"))
+
+    na, nb = (
+        keys(*x).groupBy("j").agg(F.count("*").alias(n))
+        for n, x in (("na", (a, p.labels.a, p.a.op, "a", p.alone_a, 0)), ("nb", (b, p.labels.b, p.b.op, "b", p.alone_b, 1)))
+    )
+    return na.join(nb, "j")
+
+
+def block_counts(p: Problem, a: Tensor, b: Tensor, edges: tuple[int, int]) -> DataFrame:
+    """(ba, bb, na, nb): blocks and cells of both sides by batch and part of the contraction that both have."""
+
+    def side(t, labels, op, role, x):
+        rows, at = labelled(t.unsummed(), labels, op)
+        rows = rows.select(linear(p.h, p.extent, at).alias("h"), linear(role, p.extent, at).alias("r"), linear(p.k, p.extent, at).alias("k"))
+        cells = rows.groupBy("h", F.expr(f"k div {edges[1]}L").alias("kb"), F.expr(f"r div {edges[0]}L").alias("rb")).agg(F.count("*").alias("n"))
+        return cells.groupBy("h", "kb").agg(F.count("*").alias("b" + x), F.sum("n").alias("n" + x))
+
+    return side(a, p.labels.a, p.a.op, p.m, "a").join(side(b, p.labels.b, p.b.op, p.n, "b"), ["h", "kb"])
 
 
 def split_hot(a: DataFrame, b: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,7 +138,8 @@ def paired(p: Problem, a: DataFrame, b: DataFrame, orient: str, partitions: int
     on = ["j"]
     if hot is not None:
         (a, b), on = split_hot(a, b, hot), ["j", "p", "q"]
-    small_b, small_a = (orient == side and _bytes(t.dims, p.dtype) <= BROADCAST_BYTES for side, t in (("ab", p.b), ("ba", p.a)))
+    # A repeated label counts once: only the diagonal is sent.
+    small_b, small_a = (orient == side and _bytes([p.extent[x] for x in dict.fromkeys(labels)], p.dtype) <= BROADCAST_BYTES for side, labels in (("ab", p.labels.b), ("ba", p.labels.a)))
     if partitions:
         a = a if small_a else a.repartition(partitions, *["a" + x for x in on])
         b = b if small_b else b.repartition(partitions, *["b" + x for x in on])
@@ -186,105 +210,349 @@ def multiply_3m(a, b):
     return (x - y) + 1j * ((a.real + a.imag) @ (b.real + b.imag) - x - y)
 
 
-def blocks_of(p: Problem, size: int) -> tuple[int, int, int]:
+#: Edge of blocks along the contraction, and of output blocks that are held while terms come, at most.
+EDGE, HELD = 512, 2048
+#: Elements of a side's block, and its edge, where the whole contraction is one block and output is given as it is made.
+SIDE, WIDE = 1 << 22, 1 << 14
+#: Cells of a packed piece of a block, and cells that a task gathers before it packs them.
+PIECE, GATHERED = 1024, 1 << 20
+#: Entries of the list of the other side's blocks up to which it is broadcast.
+LISTED = 1 << 20
+
+
+def edges_of(p: Problem, size: int | None, tasks: int) -> tuple[int, int]:
+    """Edges of a block along the output and along the contraction. Left to the plan (``size`` None), output blocks are
+    as large as memory allows, since a cell is sent once for each of the other side's, but ``tasks`` of them at least."""
+    if size is not None:
+        return size, size
+    k = min(EDGE, max(1, p.size(p.k)))
+    edge = EDGE
+    most = min(WIDE, SIDE // k) if p.size(p.k) <= k else HELD
+    while 2 * edge <= most and p.size(p.h) * -(-p.size(p.m) // (2 * edge)) * -(-p.size(p.n) // (2 * edge)) >= tasks:
+        edge *= 2
+    return edge, k
+
+
+def blocks_of(p: Problem, edges: tuple[int, int]) -> tuple[int, int, int]:
     """Blocks of the output's rows, its columns and the contraction."""
-    return tuple(max(1, -(-p.size(x) // size)) for x in (p.m, p.n, p.k))
+    return tuple(max(1, -(-p.size(x) // size)) for x, size in ((p.m, edges[0]), (p.n, edges[0]), (p.k, edges[1])))
+
+
+def packed(r, k, v) -> bytes:
+    """Cells of a block: differences of the sorted coordinates and the values by bytes of equal weight, compressed."""
+    import zlib
+
+    import numpy as np
+
+    order = np.lexsort((k, r))
+    places = np.diff(np.stack([r[order], k[order]]).astype(np.uint32), axis=1, prepend=np.zeros((2, 1), np.uint32))
+    raw = [x.view(np.uint8).reshape(-1, n).T.tobytes() for x, n in ((places[0].copy(), 4), (places[1].copy(), 4), (v[order], 8 * v.itemsize // 8))]
+    return zlib.compress(b"".join(raw), 1)
+
+
+def unpacked(piece: bytes, kind: str):
+    import zlib
+
+    import numpy as np
+
+    raw, size = np.frombuffer(zlib.decompress(piece), np.uint8), np.dtype(kind).itemsize
+    n = len(raw) // (8 + size)
+    r, k = (np.cumsum(raw[4 * n * i : 4 * n * (i + 1)].reshape(4, n).T.copy().view(np.uint32).ravel(), dtype=np.uint32).astype(np.int64) for i in (0, 1))
+    return r, k, raw[8 * n :].reshape(size, n).T.copy().view(kind).ravel()
+
+
+def _pieces(cells: DataFrame, edges: tuple[int, int], dtype: DType) -> DataFrame:
+    """(h, b, kb, piece) from (h, r, k, re, im): the cells of each block, packed where they are."""
+    kind = "complex128" if dtype.complex else "float64"
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, n = [], 0
+
+        def give():
+            h, r, k, *v = (np.concatenate([x[i] for x in held]) for i in range(len(held[0])))
+            v = np.ascontiguousarray(v[0] + 1j * v[1] if dtype.complex else v[0], kind)
+            b, kb = r // edges[0], k // edges[1]
+            order = np.lexsort((kb, b, h))
+            h, b, kb, r, k, v = (x[order] for x in (h, b, kb, r % edges[0], k % edges[1], v))
+            new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (b[1:] != b[:-1]) | (kb[1:] != kb[:-1])])
+            cuts = [(i, min(i + PIECE, stop)) for start, stop in zip(new, [*new[1:], len(h)], strict=True) for i in range(start, stop, PIECE)]
+            for c in range(0, len(cuts), 256):
+                now = cuts[c : c + 256]
+                at = np.array([i for i, _ in now])
+                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(b[at]), pa.array(kb[at]), pa.array([packed(r[i:j], k[i:j], v[i:j]) for i, j in now], pa.binary())], ["h", "b", "kb", "piece"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch[i].to_numpy(zero_copy_only=False) for i in range(batch.num_columns)])
+                n += batch.num_rows
+            if n >= GATHERED:
+                yield from give()
+                held, n = [], 0
+        if n:
+            yield from give()
+
+    return cells.mapInArrow(run, "h long, b long, kb long, piece binary")
+
+
+def _expanded(a: tuple, b: tuple, step: int = 1 << 18):
+    """(row, column, product) of the cells of both sides that share a position of the contraction, some at a time."""
+    import numpy as np
+
+    order = np.argsort(b[1], kind="stable")
+    rb, kb, vb = (x[order] for x in b)
+    first, last = np.searchsorted(kb, a[1], "left"), np.searchsorted(kb, a[1], "right")
+    ends = np.cumsum(last - first)
+    i = 0
+    while i < len(ends):
+        before = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + step, "right")))
+        n = (last - first)[i:j]
+        of = np.repeat(np.arange(i, j), n)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[i:j], n)
+        yield a[0][of], rb[at], a[2][of] * vb[at]
+        i = j
+
+
+#: Dense multiply-adds that take as long as one product of two single cells.
+SPARSE = 200
 
 
 def block_gemm(
-    p: Problem, a: Tensor, b: Tensor, size: int, tile: TileFunction = multiply, deterministic: bool = False, every_cell: bool = False, partitions: int | None = None
-) -> DataFrame:
-    """(o, re, im) by blocks of at most size x size elements.
-
-    Each cell goes to the output blocks it takes part in (its row of blocks or its column of blocks), with its
-    contraction block. A task reads its cells in the order of output block and contraction block, fills a block of both
-    sides at a time, multiplies them and adds the product to the output block it is at, which it gives out when the next
-    one begins: it holds three blocks and their product, whatever the extents. Sums over tasks run in Spark. Cells of
-    value 0 are left out unless ``every_cell``.
+    p: Problem,
+    a: Tensor,
+    b: Tensor,
+    size: int | None = None,
+    tile: TileFunction = multiply,
+    deterministic: bool = False,
+    every_cell: bool = False,
+    partitions: int | None = None,
+    least: float | None = None,
+    grid_too: bool = False,
+    added: DataFrame | None = None,
+) -> DataFrame | None:
+    """(o, re, im) by blocks of the output, each made in one task.
+
+    Cells are packed by block where they are read, and a packed piece goes to the output blocks (of its row of blocks or
+    its column of blocks) for which the other side has cells of the same part of the contraction. A task reads its pieces
+    in the order of output block and contraction block, multiplies a contraction block's two sides (dense over the rows
+    and positions that have cells; cell by cell where these are few) and adds the product to the output block it is at,
+    which it gives out when the next one begins. Where the contraction is one block, output rows are given out as they
+    are made. So nothing of the size of the output is sent between tasks. Only where there are too few output blocks for
+    the tasks, or sums must be in order, do several tasks share an output block, and Spark adds their parts.
+    Elements of value 0 are left out unless ``every_cell``; ``grid_too`` gives the blocks too that no cell reaches.
+    ``least``: elements below it are left out. ``added``: (o, re, im) of unique o that blocks begin with; None comes back
+    where an output block isn't made in one task, since sums of several would add it more than once.
     """
     dtype = p.dtype
     parts = ("re", "im")[: 1 + dtype.complex]
     strides = dict(zip(p.output_labels, LayoutSpec.row_major([p.extent[x] for x in p.output_labels]).strides, strict=True))
-    m_blocks, n_blocks, _ = blocks_of(p, size)
-    rows_m, rows_n = p.size(p.m), p.size(p.n)
-
-    def side(t, labels, op, role, alone, first):
-        rows, at = labelled(t, labels, op)
+    tasks = partitions or 4 * a.df.sparkSession.sparkContext.defaultParallelism
+    edges = edges_of(p, size, tasks)
+    edge, k_edge = edges
+    m_blocks, n_blocks, k_blocks = blocks_of(p, edges)
+    rows_m, rows_n, rows_k = p.size(p.m), p.size(p.n), p.size(p.k)
+    outputs = p.size(p.h) * m_blocks * n_blocks
+    # Contraction blocks that a task takes of an output block.
+    shares = 1 if outputs >= tasks and not deterministic else min(k_blocks, -(-tasks // outputs))
+    run_of = -(-k_blocks // shares) if not deterministic else 1
+    shares = -(-k_blocks // run_of)
+    alone_in_task = shares == 1 and not deterministic
+    if added is not None and not alone_in_task:
+        return None
+
+    def cells(t, labels, op, role, alone):
+        # Cells of a coordinate are added up in the block; in order, they must be summed before.
+        rows, at = labelled(t if deterministic else t.unsummed(), labels, op)
         rows = rows.select(linear(p.h, p.extent, at).alias("h"), linear(role, p.extent, at).alias("r"), linear(p.k, p.extent, at).alias("k"), *parts)
-        if alone:
-            rows = rows.groupBy("h", "r", "k").agg(*[F.sum(c).alias(c) for c in parts])
-        own = F.expr(f"r div {size}L")
-        mine, others = (own, n_blocks) if first else (own, m_blocks)
-        rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))) if others > 1 else F.lit(0).cast("long"))
-        m, n = ("mine", "other") if first else ("other", "mine")
-        return rows.select(
-            ((F.col("h") * m_blocks + F.col(m)) * n_blocks + F.col(n)).alias("block"), F.expr(f"k div {size}L").alias("kb"),
-            F.lit(0 if first else 1).cast("byte").alias("side"), (F.col("r") % size).cast("int").alias("r"), (F.col("k") % size).cast("int").alias("k"), *parts,
-        )
-
-    cells = side(a, p.labels.a, p.a.op, p.m, p.alone_a, True).unionByName(side(b, p.labels.b, p.b.op, p.n, p.alone_b, False))
-    cells = cells.repartition(partitions, "block", "kb") if partitions else cells.repartition("block", "kb")
+        return rows.groupBy("h", "r", "k").agg(*[F.sum(c).alias(c) for c in parts]) if alone else rows
+
+    def sent(own, others, first, n_others):
+        rows = _pieces(own, edges, dtype)
+        if n_others == 1:
+            rows = rows.withColumn("other", F.lit(0).cast("long"))
+        else:
+            lists = others.select(F.col("h").alias("lh"), F.expr(f"k div {k_edge}L").alias("lk"), F.expr(f"r div {edge}L").alias("other")).groupBy("lh", "lk").agg(F.collect_set("other").alias("others"))
+            lists = F.broadcast(lists) if p.size(p.h) * k_blocks * n_others <= LISTED else lists
+            rows = rows.join(lists, (F.col("h") == F.col("lh")) & (F.col("kb") == F.col("lk"))).withColumn("other", F.explode("others"))
+        m, n = ("b", "other") if first else ("other", "b")
+        return rows.select(((F.col("h") * m_blocks + F.col(m)) * n_blocks + F.col(n)).alias("block"), "kb", F.lit(0 if first else 1).alias("side"), "piece")
+
+    of_a, of_b = cells(a, p.labels.a, p.a.op, p.m, p.alone_a), cells(b, p.labels.b, p.b.op, p.n, p.alone_b)
+    pieces = sent(of_a, of_b, True, n_blocks).unionByName(sent(of_b, of_a, False, m_blocks))
+    if added is not None:
+        at = {x: coordinate("o", strides[x], p.extent[x]) for x in p.output_labels}
+        own = {n: linear(role, p.extent, at) for n, role in (("h", p.h), ("m", p.m), ("n", p.n))}
+        # As cells of the blocks of D: r along its rows, k along its columns.
+        held = _pieces(added.select((own["h"]).alias("h"), own["m"].alias("r"), own["n"].alias("k"), *parts), (edge, edge), dtype)
+        held = held.select(((F.col("h") * m_blocks + F.col("b")) * n_blocks + F.col("kb")).alias("block"), F.lit(-1).cast("long").alias("kb"), F.lit(3).alias("side"), "piece")
+        pieces = pieces.unionByName(held)
+    if grid_too:
+        every = a.df.sparkSession.range(outputs).select(F.col("id").alias("block"), F.lit(0).cast("long").alias("kb"), F.lit(2).alias("side"), F.lit(b"").alias("piece"))
+        pieces = pieces.unionByName(every)
+    place = F.col("block") * shares + (F.expr(f"kb div {run_of}L") if shares > 1 else F.lit(0).cast("long"))
+    dealt = min(outputs * shares, max(tasks, int(a.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))) if not partitions else partitions
+    pieces = pieces.repartitionById(dealt, F.pmod(place, F.lit(dealt)).cast("int")) if outputs * shares > 1 else pieces.coalesce(1)
     kind = "complex128" if dtype.complex else "float64"
+    extent, labels = p.extent, (p.h, p.m, p.n)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        filled, there, total, at = np.zeros((2, size, size), kind), [False, False], None, None
+        def spread(at, own):
+            """Places in the output of positions along one role's labels."""
+            out, at = np.zeros(np.shape(at), np.int64), np.asarray(at, np.int64)
+            for x, s in zip(own, LayoutSpec.row_major([extent[y] for y in own]).strides, strict=True):
+                out = out + at // max(s, 1) % max(extent[x], 1) * strides[x]
+            return out
 
-        def give(block: int, kb: int):
+        def give(block: int, kb: int, made, first: int = 0):
+            """Rows of an output block from ``first`` on."""
             h, rest = divmod(block, m_blocks * n_blocks)
-            m, n = (x * size for x in divmod(rest, n_blocks))
-            got = total[: rows_m - m, : rows_n - n]
-            i, k = np.nonzero(np.ones(got.shape, bool) if every_cell else got)
-            v = got[i, k]
-            for s in range(0, len(v), 1 << 16):
-                cut = slice(s, s + (1 << 16))
-                cols = [np.full(len(v[cut]), h), i[cut] + m, k[cut] + n, np.full(len(v[cut]), kb), np.ascontiguousarray(v[cut].real, float)]
-                cols += [np.ascontiguousarray(v[cut].imag, float)] if dtype.complex else []
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "m", "n", "j", "re", "im"][: len(cols)])
+            m, n = (x * edge for x in divmod(rest, n_blocks))
+            made = made[: max(0, rows_m - m - first), : rows_n - n]
+            down = spread(np.arange(made.shape[0]) + m + first, labels[1]) + int(spread(h, labels[0]))
+            across = spread(np.arange(made.shape[1]) + n, labels[2])
+            step = max(1, (1 << 16) // max(1, made.shape[1]))
+            for i in range(0, made.shape[0], step):
+                v = np.ascontiguousarray(made[i : i + step]).ravel()
+                o = (down[i : i + step, None] + across).ravel()
+                if least is not None and alone_in_task:
+                    keep = v >= least
+                elif not every_cell:
+                    keep = v != 0
+                else:
+                    keep = None
+                if keep is not None and not keep.all():
+                    keep = np.flatnonzero(keep)
+                    o, v = o[keep], v[keep]
+                if len(v):
+                    cols = [o, v.real, v.imag] if dtype.complex else [o, v]
+                    cols += [] if alone_in_task else [np.full(len(v), kb)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["o", *parts, *([] if alone_in_task else ["j"])])
+
+        total, sides, at, seeded, start = None, ([], []), None, False, []
+
+        def matched():
+            """Both sides' cells at positions that both have, their rows, columns and positions, and whether few meet."""
+            (ra, ka, va), (rb, kb, vb) = (tuple(np.concatenate(x) for x in zip(*s, strict=True)) for s in sides)
+            na, nb = np.bincount(ka, minlength=k_edge), np.bincount(kb, minlength=k_edge)
+            both = (na > 0) & (nb > 0)
+            keep = both[ka], both[kb]
+            one, two = ((ra[keep[0]], ka[keep[0]], va[keep[0]]), (rb[keep[1]], kb[keep[1]], vb[keep[1]]))
+            us = np.unique(one[0]), np.unique(two[0]), np.flatnonzero(both)
+            few = tile is multiply and float(na @ nb) * SPARSE < float(len(us[0])) * len(us[1]) * len(us[2])
+            return one, two, us, few
+
+        def filled(cells, rows, positions):
+            out = np.zeros((len(rows), len(positions)), kind)
+            np.add.at(out, (np.searchsorted(rows, cells[0]), np.searchsorted(positions, cells[1])), cells[2])
+            return out
 
         def multiplied():
             nonlocal total
-            if all(there):
-                got = tile(filled[0], filled[1].T)
-                total = got if total is None else total + got
-            filled[:] = 0
-            there[:] = False, False
+            if sides[0] and sides[1]:
+                one, two, us, few = matched()
+                if len(us[2]):
+                    total = np.zeros((edge, edge), kind) if total is None else total
+                    if few:
+                        for r, c, x in _expanded(one, two):
+                            np.add.at(total.reshape(-1), r * edge + c, x)
+                    else:
+                        got = tile(filled(one, us[0], us[2]), filled(two, us[1], us[2]).T)
+                        if len(us[0]) == len(us[1]) == edge:
+                            total += got
+                        else:
+                            total[np.ix_(us[0], us[1])] += got
+            for s in sides:
+                s.clear()
+
+        def streamed():
+            """The whole of an output block whose contraction is one block, some rows at a time."""
+            none = not (sides[0] and sides[1])
+            begun = tuple(np.concatenate(x) for x in zip(*start, strict=True)) if start else None
+            start.clear()
+            if none and not seeded and begun is None:
+                return
+            if begun is not None:
+                order = np.argsort(begun[0], kind="stable")
+                begun = tuple(x[order] for x in begun)
+            one, two, us, few = (None, None, (np.zeros(0, np.int64),) * 3, False) if none else matched()
+            right = None if none or few else filled(two, us[1], us[2]).T
+            order = None if none else np.argsort(one[0], kind="stable")
+            one = None if none else tuple(x[order] for x in one)
+            step = max(1, min(edge, (1 << 21) // edge))
+            for first in range(0, edge, step):
+                low, high = (0, 0) if none else np.searchsorted(one[0], [first, first + step])
+                old = (0, 0) if begun is None else np.searchsorted(begun[0], [first, first + step])
+                if low == high and old[0] == old[1] and not (every_cell and (seeded or not none)):
+                    continue
+                made, here = np.zeros((step, edge), kind), () if none else tuple(x[low:high] for x in one)
+                if low < high and few:
+                    for r, c, x in _expanded(here, two):
+                        np.add.at(made.reshape(-1), (r - first) * edge + c, x)
+                elif low < high:
+                    rows = np.unique(here[0])
+                    made[np.ix_(rows - first, us[1])] = tile(filled(here, rows, us[2]), right)
+                if old[0] < old[1]:
+                    r, k, v = (x[old[0] : old[1]] for x in begun)
+                    np.add.at(made, (r - first, k), v)
+                yield from give(at[0], 0, made, first)
+
+        def closed(last: bool):
+            """What is to be given out at the end of a block."""
+            nonlocal total, seeded
+            if alone_in_task and k_blocks == 1:
+                if last:
+                    yield from streamed()
+                    seeded = False
+                    for s in sides:
+                        s.clear()
+                return
+            multiplied()
+            if deterministic or last:
+                if total is None and seeded:
+                    total = np.zeros((edge, edge), kind)
+                if total is not None:
+                    yield from give(*at, total)
+                total, seeded = None, False
 
         for batch in batches:
-            block, kb, of, r, k, *v = (batch[i].to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
-            v = v[0] + 1j * v[1] if dtype.complex else v[0]
-            new = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (kb[1:] != kb[:-1])]) if len(block) else []
-            for start, stop in zip(new, [*new[1:], len(block)], strict=True):
-                here = int(block[start]), int(kb[start])
-                if at is not None and here != at:
-                    multiplied()
-                    if total is not None and (deterministic or here[0] != at[0]):
-                        yield from give(*at)
-                        total = None
-                at, cut = here, slice(start, stop)
-                np.add.at(filled, (of[cut], r[cut], k[cut]), v[cut])
-                for s in (0, 1):
-                    there[s] = there[s] or bool((of[cut] == s).any())
+            for block, kb, side, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at is not None and (block, kb) != at:
+                    yield from closed(block != at[0])
+                at = block, kb
+                if side == 2:
+                    seeded = True
+                elif side == 3 and k_blocks == 1:
+                    start.append(unpacked(piece, kind))
+                elif side == 3:
+                    r, k, v = unpacked(piece, kind)
+                    total = np.zeros((edge, edge), kind) if total is None else total
+                    np.add.at(total, (r, k), v)
+                else:
+                    sides[side].append(unpacked(piece, kind))
         if at is not None:
-            multiplied()
-            if total is not None:
-                yield from give(*at)
-
-    schema = "h long, m long, n long, j long, re double" + (", im double" if dtype.complex else "")
-    tiles = cells.sortWithinPartitions("block", "kb").mapInArrow(run, schema)
-
-    def spread(col: str, labels: Sequence[int]) -> Column:
-        out = F.lit(0).cast("long")
-        own = LayoutSpec.row_major([p.extent[x] for x in labels]).strides
-        for x, s in zip(labels, own, strict=True):
-            out = out + coordinate(col, s, p.extent[x]) * F.lit(strides[x]).cast("long")
-        return out
-
-    o = spread("h", p.h) + spread("m", p.m) + spread("n", p.n)
-    terms = tiles.select(o.alias("o"), "j", *parts)
-    return summed(terms, dtype, deterministic, blocks_of(p, size)[2])
+            yield from closed(True)
+
+    schema = "o long, re double" + (", im double" if dtype.complex else "") + ("" if alone_in_task else ", j long")
+    terms = pieces.sortWithinPartitions("block", "kb", "side").mapInArrow(run, schema)
+    return terms if alone_in_task else summed(terms, dtype, deterministic, k_blocks)
+
+
+def old_cells(p: Problem, old: Tensor, labels: Sequence[int], beta: complex) -> DataFrame:
+    """(o, re, im) of beta * op_C(old)."""
+    held, at = labelled(old, labels, p.c.op)
+    y = scaled(num(p.dtype), beta, p.dtype)
+    return held.select(linear(p.output_labels, p.extent, at).alias("o"), y.re.alias("re"), *([y.im.alias("im")] if y.im is not None else []))
+
+
+def times(p: Problem, rows: DataFrame, alpha: complex) -> DataFrame:
+    x = scaled(num(p.dtype), alpha, p.dtype)
+    return rows.select("o", x.re.alias("re"), *([x.im.alias("im")] if x.im is not None else []))
 
 
 def complete(p: Problem, products: DataFrame | None, alpha: complex, beta: complex, old: Tensor | None, old_labels: Sequence[int], always_full: bool, sparse: bool = False) -> Tensor:

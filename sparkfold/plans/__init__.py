@@ -16,9 +16,9 @@ from sparkfold.sources import Tensor, axis
 STRATEGIES = ("elementwise", "join_agg", "block_gemm")
 #: Multiply-adds from which rows are counted before a choice that is left to the plan; below it no choice matters.
 COUNT_MACS = 512**3
-#: Fixed estimates of the choice, in microseconds: a joined product, a cell sent to a block, a block's call, and a
-#: block's multiply-add.
-JOINED, SENT, CALLED, MULTIPLIED = 0.1, 1.0, 300.0, 0.0002
+#: Fixed estimates of the choice, in microseconds: a joined product, which is sent to be summed, a cell packed, a packed
+#: cell sent to a block, a block's call, a block's multiply-add, and a product of two single cells of a block.
+JOINED, PACKED, SENT, CALLED, MULTIPLIED, SINGLE = 0.3, 2.0, 0.1, 300.0, 0.0002, 0.04
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,8 @@ class PlanConfig:
     """What is asked for is honoured or refused."""
 
     strategy: str = "auto"
-    block_size: int = 512
+    #: None: as large as memory and the number of tasks allow.
+    block_size: int | None = None
     complex_method: str = "4m"
     deterministic: bool = False
     strict_nonfinite: bool = False
@@ -37,6 +38,8 @@ class PlanConfig:
     #: no_materialize refuses strategies that copy operands (blocks).
     #: "sparse" leaves out elements that no term reaches; the result is then a tensor whose absent elements are 0.
     density: str = "dense"
+    #: Sparse results of a real type keep only elements that are at least this.
+    least: float | None = None
 
     def validate(self) -> None:
         if self.strategy != "auto" and self.strategy.split(".")[0] not in STRATEGIES:
@@ -47,6 +50,8 @@ class PlanConfig:
             raise E.OptionError(f"density {self.density!r}")
         if self.orient not in ("ab", "ba", "rule"):
             raise E.OptionError(f"orient {self.orient!r}")
+        if self.least is not None and self.density != "sparse":
+            raise E.OptionError("least is for sparse results")
         for name in ("block_size", "partitions"):
             x = getattr(self, name)
             if x is not None and x < 1:
@@ -168,20 +173,26 @@ class Plan:
     def count(self, a: Tensor, b: Tensor) -> None:
         """Chooses between join and blocks by the rows that operands have, by join key: one aggregate over each side.
 
+        If that leaves it open, one more over each side counts cells by block.
         Keys whose rows would make more than ``operators.HOT`` products in one task are found on the way.
         """
-        p, size = self.problem, self.config.block_size
+        p, c = self.problem, self.config
         counts = X.key_counts(p, a, b)
         from pyspark.sql import functions as F
 
         n = F.col("na").cast("double") * F.col("nb")
         rows, na, nb, hot = counts.agg(F.sum(n), F.sum("na"), F.sum("nb"), F.count(F.when(n > X.HOT, 1))).first()
-        rows, (mb, nb_, kb) = rows or 0.0, X.blocks_of(p, size)
-        # Blocks that no cell reaches are not multiplied.
-        blocks = min(p.size(p.h) * mb * nb_ * kb, (na or 0) * nb_, (nb or 0) * mb)
-        edge = [min(size, max(1, p.size(x))) for x in (p.m, p.n, p.k)]
+        edges = X.edges_of(p, c.block_size, c.partitions or 4 * a.df.sparkSession.sparkContext.defaultParallelism)
+        rows = rows or 0.0
+        m, n_, k = (min(e, max(1, p.size(x))) for x, e in ((p.m, edges[0]), (p.n, edges[0]), (p.k, edges[1])))
         join_cost = rows * JOINED + (na or 0) + (nb or 0)
-        block_cost = blocks * (CALLED + MULTIPLIED * edge[0] * edge[1] * edge[2] * p.dtype.flops / 2) + SENT * ((na or 0) * nb_ + (nb or 0) * mb)
+        block_cost = (PACKED + SENT) * ((na or 0) + (nb or 0))
+        if block_cost < join_cost:
+            # Blocks that no cell reaches are not multiplied, and those where few cells meet take them one by one.
+            blocks, sent = X.block_counts(p, a, b, edges).agg(F.sum(F.col("ba") * F.col("bb")), F.sum(F.col("na") * F.col("bb") + F.col("nb") * F.col("ba"))).first()
+            met = (blocks or 0) * MULTIPLIED * m * n_ * k * p.dtype.flops / 2
+            met = min(met, rows * SINGLE) if self.catalog.tiles["4m"] is X.multiply else met
+            block_cost += (blocks or 0) * CALLED + met + SENT * (sent or 0)
         kind = "block_gemm" if block_cost < join_cost else "join_agg"
         self.algorithm = f"{kind}.{p.dtype.value}"
         self.counted = _Counted(self.algorithm, int(rows), join_cost, block_cost, counts.where(n > X.HOT) if hot and kind == "join_agg" else None, int(hot))
@@ -214,28 +225,53 @@ class Plan:
         if t.dtype != self.problem.dtype:
             raise E.DtypeMismatch(f"{name} is {t.dtype.value}, planned {self.problem.dtype.value}")
 
-    def _products(self, a: Tensor, b: Tensor):
+    def _products(self, a: Tensor, b: Tensor, least: float | None, grid_too: bool):
+        """(o, re, im), and whether every element of the output has a row."""
         p, c = self.problem, self.config
         if self.open:
             self.count(a, b)
-        kind = self.algorithm.split(".")[0]
+        kind, full = self.algorithm.split(".")[0], a.dense and b.dense
         if kind == "elementwise":
-            return X.elementwise(p, a, b, c.orient, c.partitions)
+            return X.elementwise(p, a, b, c.orient, c.partitions), full
         if kind == "block_gemm":
-            return X.block_gemm(p, a, b, c.block_size, self.catalog.tiles[c.complex_method], c.deterministic, a.dense and b.dense, c.partitions)
-        return X.join_agg(p, a, b, c.orient, c.deterministic, c.strict_nonfinite, c.partitions, self.counted.hot if self.counted else None)
+            grid_too = grid_too and not full
+            return X.block_gemm(p, a, b, c.block_size, self.catalog.tiles[c.complex_method], c.deterministic, full or grid_too, c.partitions, least, grid_too), full or grid_too
+        return X.join_agg(p, a, b, c.orient, c.deterministic, c.strict_nonfinite, c.partitions, self.counted.hot if self.counted else None), full
+
+    def _added(self, alpha: complex, a: Tensor, b: Tensor, beta: complex, old: Tensor, labels: Sequence[int]):
+        """alpha * op(A) op(B) + beta * op(C) of blocks that begin with beta / alpha * op(C), if this is exact and made in
+        one task a block; otherwise None, and results are joined."""
+        p, c = self.problem, self.config
+        if self.open:
+            self.count(a, b)
+            self.open = False
+        if not self.algorithm.startswith("block_gemm") or c.deterministic or p.output_diagonal or alpha not in (1, -1, 2, -2, 0.5, -0.5):
+            return None
+        added = X.old_cells(p, old, labels, beta / alpha)
+        rows = X.block_gemm(p, a, b, c.block_size, self.catalog.tiles[c.complex_method], False, False, c.partitions, added=added)
+        return rows if rows is None else X.times(p, rows, alpha)
 
     def _run(self, alpha: complex, a: Tensor | None, b: Tensor | None, beta: complex, old: Tensor | None, labels: Sequence[int], in_place: bool) -> Tensor:
-        p = self.problem
+        p, least = self.problem, self.config.least
+        if least is not None and p.dtype.complex:
+            raise E.OptionError("least is for real types")
         if p.output_empty:
             out = X.complete(p, None, 0, 0, None, (), False)
             return out
         read = alpha != 0 and not p.contraction_empty
         if not read and in_place and beta == 1 and old is not None and p.c.op is Op.IDENTITY and p.d.op is Op.IDENTITY:
             return old
-        use_old = old if beta != 0 else None
-        full = bool(read and a.dense and b.dense)
-        return X.complete(p, self._products(a, b) if read else None, alpha, beta, use_old, labels, full, self.config.density == "sparse")
+        use_old, sparse = old if beta != 0 else None, self.config.density == "sparse"
+        if read and use_old is not None and sparse:
+            rows = self._added(alpha, a, b, beta, use_old, labels)
+            if rows is not None:
+                out = X.complete(p, rows, 1, 0, None, (), False, True)
+                return out if least is None else out.replace(df=out.df.where(f"v >= {least}"), dense=False)
+        products, full = self._products(a, b, least if alpha == 1 and use_old is None else None, not sparse and use_old is None) if read else (None, False)
+        out = X.complete(p, products, alpha, beta, use_old, labels, full, sparse)
+        from pyspark.sql import functions as F
+
+        return out if least is None else out.replace(df=out.df.where(F.col("v") >= least), dense=False)
 
     def execute(self, a: Tensor, b: Tensor, alpha: complex = 1, d_old: Tensor | None = None) -> Tensor:
         """Overwrites: alpha * op(A) op(B). ``d_old``: what elements off a repeated label's diagonal keep."""

@@ -285,7 +285,7 @@ def block_gemm_gram(spark: SparkSession, d: str) -> DataFrame:
 def vector_gram(spark: SparkSession, d: str) -> DataFrame:
     """Products of all vectors, dense: the choice falls on blocks. The result keeps the large ones."""
     e = e_tensor(spark, d)
-    return P.contract("vd,wd->vw", e, e, config=SPARSE).to_df(["v", "w"], "value").where(F.col("value") >= 600_000)
+    return P.contract("vd,wd->vw", e, e, config=P.PlanConfig(density="sparse", least=600_000)).to_df(["v", "w"], "value")
 
 
 @query(f"WITH {_W} SELECT a.u, a.t, b.t AS s, sum(a.v * b.v) AS value FROM w a JOIN w b ON a.u = b.u AND a.h = b.h GROUP BY ALL")

@@ -21,19 +21,26 @@ def axis(i: int) -> str:
 
 @dataclass(frozen=True)
 class Tensor:
-    """``dense``: every coordinate has exactly one row. Otherwise an absent coordinate counts as 0."""
+    """``dense``: every coordinate has exactly one row. Otherwise an absent coordinate counts as 0.
+
+    ``raw``: rows of which ``df`` is the sums by coordinate, for what sums them anyway; gone when ``df`` is replaced."""
 
     df: DataFrame
     dims: tuple[int, ...]
     dtype: DType
     dense: bool = False
+    raw: DataFrame | None = None
 
     @property
     def rank(self) -> int:
         return len(self.dims)
 
     def replace(self, **changes) -> Tensor:
-        return replace(self, **changes)
+        return replace(self, **({"raw": None} if "df" in changes else {}) | changes)
+
+    def unsummed(self) -> Tensor:
+        """The tensor by its raw rows, if it has such: the same sums, but coordinates may repeat."""
+        return self if self.raw is None else self.replace(df=self.raw)
 
     def to_df(self, names: Sequence[str] | None = None, value: str = "v") -> DataFrame:
         names = names or [axis(i) for i in range(self.rank)]
@@ -87,7 +94,9 @@ def from_table(
         rows = rows.select(*checked, *[F.coalesce(F.col(c), _raise("null value")).alias(c) for c in values])
     out = rows.groupBy(*names).agg(*[F.sum(c).alias(c) for c in values])
     v = F.struct(F.col("_re").cast(dtype.part).alias("re"), F.col("_im").cast(dtype.part).alias("im")) if dtype.complex else F.col("_re").cast(dtype.part)
-    return Tensor(out.select(*names, v.alias("v")), tuple(dims), dtype, dense)
+    # Single precision is rounded after summing.
+    raw = None if dtype.single else rows.select(*names, v.alias("v"))
+    return Tensor(out.select(*names, v.alias("v")), tuple(dims), dtype, dense, raw)
 
 
 def coordinate(key: str, stride: int, extent: int) -> Column:
