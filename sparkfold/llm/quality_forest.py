@@ -1,13 +1,14 @@
 """Quality rules judged by an isolation forest.
 
 Every text becomes a few rule statistics, in units of their spread among good rows. Trees of random splits over them, the
-statistic drawn in proportion to its range and the cut within it, give short paths to documents that are easy to isolate; the anomaly score is 2 ** (-mean path / expected path). At most ``SAMPLE``
-labelled rows are read. One half of them, by id checksum, grows the trees: its good rows and a few of its bad ones, as an
-isolation forest wants anomalies few. The threshold is calibrated on the other half, which the trees haven't seen: the
-one that separates best among those that keep at least ``KEEP_GOOD`` of its good rows. All documents are scored.
+statistic drawn in proportion to its range and the cut within it, give short paths to documents that are easy to isolate; the anomaly score is 2 ** (-mean path / expected path). All labelled
+rows are read. One half of them, by id checksum, grows the trees: the spread is that of all its good rows, and every tree
+draws about ``SUBSAMPLE`` rows from the whole half, good ones and a few bad ones, as an isolation forest wants anomalies
+few. The threshold is calibrated on all rows of the other half, which the trees haven't seen: by exact counts of their
+scores, the one that separates best among those that keep at least ``KEEP_GOOD`` of its good rows. All documents are scored.
 
 Defined results: a null or empty text has no words, so all counts are 0 and the base rule rejects it; a very long text is
-counted whole; rows that repeat an id are judged one by one (the sample takes one of them); documents of equal statistics
+counted whole; rows that repeat an id are judged one by one (fitting takes the one of least statistics); documents of equal statistics
 get equal scores, and one at the threshold stays; without labelled rows of both kinds in each half only the base rule
 rejects; columns of the names that are added are replaced; an empty table gives an empty table.
 """
@@ -21,10 +22,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfold.llm.common import labelled_sample, map_rows, table
+from sparkfold.llm.common import discard, map_rows, mark, stored, table
 
-#: Most labelled rows that trees and threshold are made from.
-SAMPLE = 6000
+#: Scores are counted to one part in this for the threshold.
+BINS = 1 << 16
 TREES = 160
 SUBSAMPLE = 512
 KEEP_GOOD = 0.998
@@ -110,12 +111,22 @@ class Forest:
         rng = np.random.default_rng(seed)
         bad = np.flatnonzero(~good)
         bad = rng.permutation(bad)[: max(1, int(BAD_SHARE * good.sum()))]
-        self.spread = rows[good].std(0) + LEAST_SPREAD
-        rows = rows[np.sort(np.concatenate([np.flatnonzero(good), bad]))] / self.spread
+        rows, spread = rows[np.sort(np.concatenate([np.flatnonzero(good), bad]))], rows[good].std(0) + LEAST_SPREAD
         m = min(subsample, len(rows))
-        self.depth = max(1, math.ceil(math.log2(max(m, 2))))
-        self.norm = _expected(m) or 1.0
-        self.trees = [self._grow(rows[rng.choice(len(rows), m, replace=False)], rng) for _ in range(trees)]
+        self._plant(spread, [rows[rng.choice(len(rows), m, replace=False)] for _ in range(trees)], rng)
+
+    @classmethod
+    def of(cls, spread: np.ndarray, drawn: list[np.ndarray], seed: int = 7) -> Forest:
+        """``drawn``: each tree's rows, in an order that doesn't depend on partitioning."""
+        out = cls.__new__(cls)
+        out._plant(spread, drawn, np.random.default_rng(seed))
+        return out
+
+    def _plant(self, spread: np.ndarray, drawn: list[np.ndarray], rng: np.random.Generator) -> None:
+        self.spread = spread
+        self.depth = max(1, math.ceil(math.log2(max(2, *map(len, drawn)))))
+        self.norm = _expected(sum(map(len, drawn)) / len(drawn)) or 1.0
+        self.trees = [self._grow(rows / spread, rng) for rows in drawn]
 
     def _grow(self, rows: np.ndarray, rng: np.random.Generator):
         feature, cut, child, length = [], [], [], []
@@ -154,30 +165,64 @@ def base_failed(base: list[int]) -> bool:
     return base[0] < MIN_WORDS or 100 * base[4] > MAX_REPEAT_PERCENT * base[0]
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[Forest | None, float]:
-    """Forest and threshold from a bounded sample of labelled rows that pass the base rule."""
-    chosen = labelled_sample(docs.select("doc_id", F.col(text_col).alias("_text")), labels, "quality", sample)
+def _measured(docs: DataFrame, labels: DataFrame, text_col: str) -> DataFrame:
+    """(doc_id, label, stats, grows) of all labelled ids that pass the base rule, stored. Texts aren't shuffled."""
 
     def measure(batch):
         got = [statistics(t) for t in batch["_text"].to_pylist()]
         keep = [i for i, (b, _) in enumerate(got) if not base_failed(b)]
-        ids, label = batch["doc_id"].to_pylist(), batch["_label"].to_pylist()
-        return {"doc_id": [ids[i] for i in keep], "label": [label[i] for i in keep], "stats": [got[i][1] for i in keep]}
-
-    rows = sorted(map_rows(chosen, measure, "doc_id long, label int, stats array<double>").collect())
-    x, good = np.array([r.stats for r in rows]).reshape(len(rows), len(STATISTICS)), np.array([r.label == 1 for r in rows], bool)
-    grows = np.array([zlib.crc32(f"{r.doc_id}:half".encode()) % 2 == 0 for r in rows], bool)
-    if any(not (part & kind).any() for part in (grows, ~grows) for kind in (good, ~good)):
+        ids = batch["doc_id"].to_pylist()
+        return {"doc_id": [ids[i] for i in keep], "stats": [got[i][1] for i in keep]}
+
+    ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
+    rows = map_rows(docs.where("doc_id is not null").select("doc_id", F.col(text_col).alias("_text")), measure, "doc_id long, stats array<double>")
+    rows = rows.join(ids, "doc_id").groupBy("doc_id", "label").agg(F.min("stats").alias("stats"))
+    half = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":half")).cast("binary")) % 2
+    return stored(rows.withColumn("label", F.col("label") == 1).withColumn("grows", half == 0), "measured")
+
+
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> tuple[Forest | None, float]:
+    """Forest and threshold from all labelled rows that pass the base rule."""
+    since = mark()
+    rows = _measured(docs, labels, text_col)
+    n = {(r.grows, r.label): r.n for r in rows.groupBy("grows", "label").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 4:
+        discard(docs.sparkSession, since)
         return None, math.inf
-    forest = Forest(x[grows], good[grows])
-    scores, good = forest.score(x[~grows]), good[~grows]
-    ceiling = np.quantile(scores[good], KEEP_GOOD)
-    cuts = np.unique(scores)
-    cuts = cuts[cuts >= ceiling]
-    cuts = (cuts[:-1] + cuts[1:]) / 2 if len(cuts) > 1 else cuts
-    kept_good = np.searchsorted(np.sort(scores[good]), cuts, side="right") / good.sum()
-    kept_bad = np.searchsorted(np.sort(scores[~good]), cuts, side="right") / (~good).sum()
-    return forest, float(cuts[np.argmax(kept_good - kept_bad)])
+    of_good = rows.where("grows and label").agg(*[F.stddev_pop(F.col("stats")[i]) for i in range(len(STATISTICS))]).first()
+    spread = np.array([float(f"{x:.9e}") for x in of_good]) + LEAST_SPREAD
+    # Every growing row is drawn for each tree by itself, bad ones so rarely that they stay few.
+    bad = min(1.0, max(1.0, BAD_SHARE * n[True, True]) / n[True, False])
+    share = min(1.0, SUBSAMPLE / (n[True, True] + bad * n[True, False]))
+
+    def draw(batch):
+        ids, good, stats = (batch[c].to_pylist() for c in ("doc_id", "label", "stats"))
+        out = {"tree": [], "doc_id": [], "stats": []}
+        for i, g, x in zip(ids, good, stats, strict=True):
+            for t in np.flatnonzero(np.random.default_rng(i % 2**64).random(TREES) < share * (1.0 if g else bad)).tolist():
+                out["tree"].append(t)
+                out["doc_id"].append(i)
+                out["stats"].append(x)
+        return out
+
+    drawn: dict[int, list] = {}
+    for r in map_rows(rows.where("grows").select("doc_id", "label", "stats"), draw, "tree int, doc_id long, stats array<double>").collect():
+        drawn.setdefault(r.tree, []).append((r.doc_id, r.stats))
+    forest = Forest.of(spread, [np.array([x for _, x in sorted(drawn[t])]) for t in sorted(drawn)])
+
+    def rank(batch):
+        scores = forest.score(np.array(batch["stats"].to_pylist()).reshape(-1, len(STATISTICS)))
+        return {"bin": np.ceil(scores * BINS).astype(np.int64), "good": batch["label"]}
+
+    # Exact counts of the other half by score, to one part in BINS.
+    counted = map_rows(rows.where("not grows").select("label", "stats"), rank, "bin long, good boolean").groupBy("bin").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).orderBy("bin").collect()
+    discard(docs.sparkSession, since)
+    good, bad_ = (np.cumsum([r[c] for r in counted]) for c in ("good", "bad"))
+    cuts = np.array([r.bin for r in counted]) / BINS
+    cuts[:-1] = (cuts[:-1] + np.maximum(cuts[:-1], cuts[1:] - 1 / BINS)) / 2
+    enough = np.flatnonzero(good >= KEEP_GOOD * good[-1])
+    best = enough[np.argmax((good / good[-1] - bad_ / bad_[-1])[enough])]
+    return forest, float(cuts[best])
 
 
 def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
