@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from array import array
 from typing import NamedTuple
 
 import numpy as np
@@ -60,6 +61,7 @@ class Pieces:
         pieces = model.pieces
         self.text = [b""] * len(pieces)
         self.byte_ids = [-1] * 256
+        # Character -> [the piece that begins there, or None; nodes of the characters before].
         self.tails: dict = {}
         self.merges, self.score, self.plain, self.joins = model.merges, {}, [""] * len(pieces), {}
         ordinary = [s for _, s, kind in pieces if kind in (1, 4) and s > NEVER]
@@ -75,9 +77,10 @@ class Pieces:
                 crossing |= "\n" in plain or " " in plain.lstrip(" ")
                 self.text[i], self.plain[i], self.score[plain] = plain.encode(), plain, score
                 node = self.tails
-                for c in reversed(plain):
-                    node = node.setdefault(c, {})
-                node[""] = (i, score)
+                for c in plain[:0:-1]:
+                    node = node.setdefault(c, [None, {}])[1]
+                if plain:
+                    node.setdefault(plain[0], [None, {}])[0] = (i, score)
         self.cut = _WHOLE if crossing else _CUT
 
     @staticmethod
@@ -91,18 +94,25 @@ class Pieces:
             raise ValueError(f"{path} is no SentencePiece model")
         return Model([(p.piece, p.score, p.type) for p in model.pieces], model.trainer_spec.model_type == 2)
 
-    def merged(self, text: str) -> list[str]:
-        """What the model's merges make of a text: the best pair first, the leftmost of equals."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            top, at = -math.inf, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and s > top:
-                    top, at = s, i
-            if at < 0:
+    def merged(self, text: str, border: int = 0) -> list[str]:
+        """What the model's merges make of a text: the best pair first, the leftmost of equals; nothing if one crosses the border."""
+        parts, score, none = list(text), self.score.get, -math.inf
+        pairs = [score(x + y, none) for x, y in zip(parts, parts[1:])]
+        while pairs:
+            top = max(pairs)
+            if top == none:
                 break
+            at = pairs.index(top)
+            if at < border:
+                border -= 1
+                if at == border:
+                    return []
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = score(parts[at] + parts[at + 1], none)
         return parts
 
     def joins_well(self, before: int, piece: int) -> bool:
@@ -111,7 +121,7 @@ class Pieces:
         got = self.joins.get(key)
         if got is None:
             x, y = self.plain[before] if before >= 0 else "", self.plain[piece]
-            got = self.merged(x + y) == ([x, y] if x else [y])
+            got = self.merged(x + y, len(x)) == ([x, y] if x else [y])
             if len(self.joins) > JOINS:
                 self.joins.clear()
             self.joins[key] = got
@@ -123,6 +133,7 @@ class Pieces:
     def encode_sorted(self, words: list[str]) -> list[bytes]:
         """The ids of sorted distinct words, as packed 32-bit integers."""
         tails, unknown, merges, joins_well = self.tails, self.unknown, self.merges, self.joins_well
+        known, size = self.joins.get, len(self.text)
         best, last, ids = [0.0], [0], [-1]
         out, before = [], ""
         for word in words:
@@ -131,19 +142,29 @@ class Pieces:
                 shared += 1
             del best[shared + 1 :], last[shared + 1 :], ids[shared + 1 :]
             for end in range(shared, len(word)):
-                top, start, piece = -math.inf, end, -1
+                top, start, piece, hits = -math.inf, end, -1, []
                 node, at = tails, end
                 while at >= 0:
-                    node = node.get(word[at])
-                    if node is None:
+                    step = node.get(word[at])
+                    if step is None:
                         break
-                    hit = node.get("")
+                    hit, node = step
                     if hit is not None:
+                        hits.append((at, hit))
+                    at -= 1
+                if merges:
+                    # The longest that joins.
+                    for at, hit in reversed(hits):
+                        joins = known(ids[at] * size + hit[0])
+                        if joins or joins is None and joins_well(ids[at], hit[0]):
+                            top, start, piece = best[at] + hit[1], at, hit[0]
+                            break
+                else:
+                    for at, hit in hits:
                         s = best[at] + hit[1]
-                        if (s >= top or merges) and (not merges or joins_well(ids[at], hit[0])):
+                        if s >= top:
                             top, start, piece = s, at, hit[0]
-                    at -= 1
-                if piece < 0 or not merges and (word[end] not in tails or "" not in tails[word[end]]):
+                if piece < 0 or not merges and hits[0][0] < end:
                     s = best[end] + unknown
                     if s > top:
                         top, start, piece = s, end, -1
@@ -159,7 +180,7 @@ class Pieces:
                         got.append(self.byte_ids[b] if self.byte_ids[b] >= 0 else self.unk_id)
                 at = last[at]
             got.reverse()
-            out.append(np.array(got, np.int32).tobytes())
+            out.append(array("i", got).tobytes())
             before = word
         return out
 
@@ -172,14 +193,15 @@ class Encoder:
     def __init__(self, pieces: Pieces):
         self.pieces, self.known = pieces, {}
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+    def __call__(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[int]]:
+        """The ids and the number of words of every text."""
         cut = [self.pieces.words(t) for t in texts]
         new = sorted({w for words in cut for w in words}.difference(self.known))
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = sorted({w for words in cut for w in words})
         self.known.update(zip(new, self.pieces.encode_sorted(new), strict=True))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32) for words in cut]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32) for words in cut], list(map(len, cut))
 
 
 _last: list[tuple[str, Encoder]] = []
@@ -209,13 +231,13 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
         for whole in batches:
             for batch in slices(whole, 8 << 20):
                 texts = batch[text_col].to_pylist()
-                got = encoder(texts)
+                got, n_words = encoder(texts)
                 flat = np.concatenate(got) if got else np.empty(0, np.int32)
                 ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch[id_col].cast(pa.int64()),
-                        pa.array([len(pieces.words(t)) for t in texts], pa.int64()),
+                        pa.array(n_words, pa.int64()),
                         pa.array(np.diff(ends).astype(np.int64)),
                         pa.array([int(is_byte[g].sum()) for g in got], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(arrow.field("ids").type),

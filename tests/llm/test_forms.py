@@ -467,3 +467,17 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     pieces = pv.Pieces(pv.Pieces.load(pv.MODEL))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, pieces.decode(r.ids)) for r in got) == want and all(r.exact for r in got)
+
+
+def test_texts_are_cut_once_and_borders_stop_merges(monkeypatch):
+    p = pv.Pieces(pv.Model([*TOY, ("bab", -3.0, 1), ("bb", -5.0, 1), ("abba", -5.0, 1)], True))
+    cut, real = [], p.words
+    monkeypatch.setattr(p, "words", lambda t: cut.append(t) or real(t))
+    texts = ["ab abba\nb", None, "", "zab  bab ab"]
+    ids, words = pv.Encoder(p)(texts)
+    assert cut == texts and words == [len(real(t)) for t in texts]
+    assert [p.decode(x.tolist()) for x in ids] == [t or "" for t in texts]
+    rnd = random.Random(6)
+    for _ in range(2000):
+        x, y = ("".join(rnd.choice("abz") for _ in range(rnd.randrange(1, 6))) for _ in range(2))
+        assert (p.merged(x + y, len(x)) == [x, y]) == (p.merged(x + y) == [x, y])
