@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sparkfold.functions import Num, element, scaled
 from sparkfold.meta import DType, LayoutSpec, Op, product
 from sparkfold.problem import Problem
-from sparkfold.sources import Tensor, axis, coordinate, grid
+from sparkfold.sources import Made, Tensor, axis, coordinate, grid
 
 #: A side is broadcast on request or by rule only if its extents bound it to this many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -114,6 +114,17 @@ def block_counts(p: Problem, a: Tensor, b: Tensor, edges: tuple[int, int]) -> Da
     return side(a, p.labels.a, p.a.op, p.m, "a").join(side(b, p.labels.b, p.b.op, p.n, "b"), ["h", "kb"])
 
 
+def mirrored(p: Problem, a: Tensor, b: Tensor) -> bool:
+    """Whether B is A with another label for each of A's own: D's element (m, n) is then that of (n, m)."""
+    if a is not b or p.a.op != p.b.op or p.alone_a or p.alone_b:
+        return False
+    other: dict[int, int] = {}
+    for x, y in zip(p.labels.a, p.labels.b, strict=True):
+        if not (x == y and x in (*p.h, *p.k) or x in p.m and y in p.n and other.setdefault(x, y) == y):
+            return False
+    return [other[x] for x in p.m] == list(p.n)
+
+
 def split_hot(a: DataFrame, b: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Gives rows of hot keys a part of their own side and copies for the parts of the other: no two rows meet twice,
     and no task gets more than about ``MEET`` rows of a side of one key."""
@@ -343,7 +354,8 @@ def block_gemm(
     are made. So nothing of the size of the output is sent between tasks. Only where there are too few output blocks for
     the tasks, or sums must be in order, do several tasks share an output block, and Spark adds their parts.
     Elements of value 0 are left out unless ``every_cell``; ``grid_too`` gives the blocks too that no cell reaches.
-    ``least``: elements below it are left out. ``added``: (o, re, im) of unique o that blocks begin with; None comes back
+    Where B is A with other labels and the contraction has several blocks, an output block and its mirror image are made
+    at once, of pieces of one side. ``least``: elements below it are left out. ``added``: (o, re, im) of unique o that blocks begin with; None comes back
     where an output block isn't made in one task, since sums of several would add it more than once.
     """
     dtype = p.dtype
@@ -363,6 +375,9 @@ def block_gemm(
     if added is not None and not alone_in_task:
         return None
 
+    # One side's cells are sent, to half of the output's blocks.
+    mirror = alone_in_task and added is None and k_blocks > 1 and tile in (multiply, multiply_3m) and mirrored(p, a, b)
+
     def cells(t, labels, op, role, alone):
         # Cells of a coordinate are added up in the block; in order, they must be summed before.
         rows, at = labelled(t if deterministic else t.unsummed(), labels, op)
@@ -374,14 +389,19 @@ def block_gemm(
         if n_others == 1:
             rows = rows.withColumn("other", F.lit(0).cast("long"))
         else:
-            lists = others.select(F.col("h").alias("lh"), F.expr(f"k div {k_edge}L").alias("lk"), F.expr(f"r div {edge}L").alias("other")).groupBy("lh", "lk").agg(F.collect_set("other").alias("others"))
+            lists = others.select(F.col("h").alias("lh"), F.expr(f"k div {k_edge}L").alias("lk"), F.expr(f"r div {edge}L").alias("other")).distinct().groupBy("lh", "lk").agg(F.collect_set("other").alias("others"))
             lists = F.broadcast(lists) if p.size(p.h) * k_blocks * n_others <= LISTED else lists
             rows = rows.join(lists, (F.col("h") == F.col("lh")) & (F.col("kb") == F.col("lk"))).withColumn("other", F.explode("others"))
-        m, n = ("b", "other") if first else ("other", "b")
-        return rows.select(((F.col("h") * m_blocks + F.col(m)) * n_blocks + F.col(n)).alias("block"), "kb", F.lit(0 if first else 1).alias("side"), "piece")
+        m, n = (F.col("b"), F.col("other")) if first else (F.col("other"), F.col("b"))
+        side = F.lit(0 if first else 1)
+        if mirror:
+            side = F.when(m == n, 4).otherwise(F.when(m < n, 0).otherwise(1))
+            m, n = F.least(m, n), F.greatest(m, n)
+        return rows.select(((F.col("h") * m_blocks + m) * n_blocks + n).alias("block"), "kb", side.alias("side"), "piece")
 
     of_a, of_b = cells(a, p.labels.a, p.a.op, p.m, p.alone_a), cells(b, p.labels.b, p.b.op, p.n, p.alone_b)
-    pieces = sent(of_a, of_b, True, n_blocks).unionByName(sent(of_b, of_a, False, m_blocks))
+    pieces = sent(of_a, of_b, True, n_blocks)
+    pieces = pieces if mirror else pieces.unionByName(sent(of_b, of_a, False, m_blocks))
     if added is not None:
         at = {x: coordinate("o", strides[x], p.extent[x]) for x in p.output_labels}
         own = {n: linear(role, p.extent, at) for n, role in (("h", p.h), ("m", p.m), ("n", p.n))}
@@ -391,8 +411,13 @@ def block_gemm(
         pieces = pieces.unionByName(held)
     if grid_too:
         every = a.df.sparkSession.range(outputs).select(F.col("id").alias("block"), F.lit(0).cast("long").alias("kb"), F.lit(2).alias("side"), F.lit(b"").alias("piece"))
+        every = every.where(f"block div {n_blocks}L % {m_blocks} <= block % {n_blocks}") if mirror else every
         pieces = pieces.unionByName(every)
-    place = F.col("block") * shares + (F.expr(f"kb div {run_of}L") if shares > 1 else F.lit(0).cast("long"))
+    number = F.col("block")
+    if mirror:
+        # The blocks on and above the diagonal, counted by columns.
+        number = F.expr(f"block div {n_blocks * n_blocks}L * {n_blocks * (n_blocks + 1) // 2} + (block % {n_blocks}) * (block % {n_blocks} + 1) div 2 + block div {n_blocks}L % {n_blocks}")
+    place = number * shares + (F.expr(f"kb div {run_of}L") if shares > 1 else F.lit(0).cast("long"))
     dealt = min(outputs * shares, max(tasks, int(a.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))) if not partitions else partitions
     pieces = pieces.repartitionById(dealt, F.pmod(place, F.lit(dealt)).cast("int")) if outputs * shares > 1 else pieces.coalesce(1)
     kind = "complex128" if dtype.complex else "float64"
@@ -409,6 +434,14 @@ def block_gemm(
                 out = out + at // max(s, 1) % max(extent[x], 1) * strides[x]
             return out
 
+        def both(block: int, kb: int, made):
+            """An output block and, off the diagonal, its mirror image."""
+            yield from give(block, kb, made)
+            h, rest = divmod(block, m_blocks * n_blocks)
+            m, n = divmod(rest, n_blocks)
+            if mirror and m != n:
+                yield from give((h * m_blocks + n) * n_blocks + m, kb, made.T)
+
         def give(block: int, kb: int, made, first: int = 0):
             """Rows of an output block from ``first`` on."""
             h, rest = divmod(block, m_blocks * n_blocks)
@@ -517,7 +550,7 @@ def block_gemm(
                 if total is None and seeded:
                     total = np.zeros((edge, edge), kind)
                 if total is not None:
-                    yield from give(*at, total)
+                    yield from both(*at, total)
                 total, seeded = None, False
 
         for batch in batches:
@@ -534,7 +567,8 @@ def block_gemm(
                     total = np.zeros((edge, edge), kind) if total is None else total
                     np.add.at(total, (r, k), v)
                 else:
-                    sides[side].append(unpacked(piece, kind))
+                    for s in sides if side == 4 else (sides[side],):
+                        s.append(unpacked(piece, kind))
         if at is not None:
             yield from closed(True)
 
@@ -555,6 +589,15 @@ def times(p: Problem, rows: DataFrame, alpha: complex) -> DataFrame:
     return rows.select("o", x.re.alias("re"), *([x.im.alias("im")] if x.im is not None else []))
 
 
+def with_own_product(p: Problem, rows: DataFrame, alpha: complex, beta: complex, made: Made) -> DataFrame:
+    """(o, re, im) of alpha * x + beta * op_C(C) where C is made of the same x, the products in ``rows``."""
+    old = scaled(num(p.dtype), made.alpha, p.dtype)
+    for op in (made.problem.d.op, p.c.op):
+        old = old.conj() if op is Op.CONJUGATE else old
+    x = scaled(num(p.dtype), alpha, p.dtype) + scaled(old, beta, p.dtype)
+    return rows.select("o", x.re.alias("re"), *([x.im.alias("im")] if x.im is not None else []))
+
+
 def complete(p: Problem, products: DataFrame | None, alpha: complex, beta: complex, old: Tensor | None, old_labels: Sequence[int], always_full: bool, sparse: bool = False) -> Tensor:
     """op_D(alpha * products + beta * op_C(old)) over D's whole grid.
 

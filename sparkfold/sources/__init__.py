@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,29 +15,48 @@ from sparkfold import errors as E
 from sparkfold.functions import element
 from sparkfold.meta import DType, LayoutSpec, product
 
+if TYPE_CHECKING:
+    from sparkfold.plans import PlanConfig
+    from sparkfold.problem import Problem
+
 
 def axis(i: int) -> str:
     return f"x{i}"
 
 
+@dataclass(frozen=True)
+class Made:
+    """op_D(alpha * op_A(A) op_B(B)) of a problem, not rounded on the way."""
+
+    problem: Problem
+    a: Tensor
+    b: Tensor
+    alpha: complex
+    #: How it was planned, and the counts of a choice by counted rows.
+    config: PlanConfig
+    counted: object = None
+
+
 @dataclass(frozen=True)
 class Tensor:
     """``dense``: every coordinate has exactly one row. Otherwise an absent coordinate counts as 0.
 
-    ``raw``: rows of which ``df`` is the sums by coordinate, for what sums them anyway; gone when ``df`` is replaced."""
+    ``raw``: rows of which ``df`` is the sums by coordinate, for what sums them anyway. ``made``: the product that ``df``
+    is, for what needs the same product. Both are gone when ``df`` is replaced."""
 
     df: DataFrame
     dims: tuple[int, ...]
     dtype: DType
     dense: bool = False
     raw: DataFrame | None = None
+    made: Made | None = None
 
     @property
     def rank(self) -> int:
         return len(self.dims)
 
     def replace(self, **changes) -> Tensor:
-        return replace(self, **({"raw": None} if "df" in changes else {}) | changes)
+        return replace(self, **({"raw": None, "made": None} if "df" in changes else {}) | changes)
 
     def unsummed(self) -> Tensor:
         """The tensor by its raw rows, if it has such: the same sums, but coordinates may repeat."""

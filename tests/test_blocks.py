@@ -85,3 +85,55 @@ def test_edges_are_bounded(spark):
     deep = Problem.einsum("f64", "sp,tp->st", (60_000, 10**6), (60_000, 10**6))
     assert X.edges_of(wide, None, 24) == (16384, 120) and X.edges_of(deep, None, 24) == (2048, 512)
     assert X.edges_of(deep, 100, 24) == (100, 100)
+
+
+@pytest.mark.parametrize(("conj", "strategy", "density"), [("cd", "block_gemm", "sparse"), ("acd", "join_agg", "dense")])
+def test_a_product_that_c_is_made_of_is_made_once(spark, conj, strategy, density):
+    a, b = random_ints((30, 40), 0.2, 8, True), random_ints((40, 20), 0.2, 9, True)
+    x, y, config = sparse(spark, a), sparse(spark, b), PlanConfig(strategy=strategy, density=density, block_size=16, partitions=2)
+    old = contract("ik,kj->ij", x, y, alpha=3j, conj="ad" if "a" in conj else "", config=config)
+    p = Problem.einsum("c64", "ik,kj->ij", a.shape, b.shape, conj=conj)
+    got = Plan(p, config).execute_accum(x, y, 2, 0.5j, d_old=old)
+    ab = (np.conj(a) if "a" in conj else a) @ b
+    c = np.conj(3j * ab) if "a" in conj else 3j * ab
+    want = 2 * ab + 0.5j * (np.conj(c) if "c" in conj else c)
+    assert np.array_equal(to_numpy(got), np.conj(want) if "d" in conj else want)
+    plan = got.df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == (3 if strategy == "block_gemm" else 0) and plan.count("Join Inner") == (2 if strategy == "block_gemm" else 1)
+    # Other operands, or the same otherwise conjugated, are another product.
+    other = contract("ik,kj->ij", x, y, conj="b", config=config)
+    want = 2 * ab + 0.5j * np.conj(a @ np.conj(b))
+    assert np.array_equal(to_numpy(Plan(p, config).execute_accum(x, y, 2, 0.5j, d_old=other)), np.conj(want))
+
+
+@pytest.mark.parametrize("im", [False, True])
+def test_mirror_images_are_made_of_one_side(spark, im):
+    a = random_ints((53, 60), 0.2, 10, im)
+    t = sparse(spark, a)
+    for density in ("sparse", "dense"):
+        got = contract("ik,jk->ji", t, t, config=PlanConfig(strategy="block_gemm", density=density, block_size=16, partitions=3))
+        plan = got.df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 2 and plan.count("Join Inner") == 1
+        assert np.array_equal(to_numpy(got), a @ a.T) and got.df.count() == (53 * 53 if density == "dense" else np.count_nonzero(a @ a.T))
+
+
+def test_mirror_images_of_batches_and_several_labels(spark):
+    x = random_ints((3, 4, 5, 30), 0.3, 11)
+    t = sparse(spark, x)
+    got = contract("huvk,hwxk->huvwx", t, t, config=PlanConfig(**BLOCKS, block_size=7, partitions=2))
+    assert np.array_equal(to_numpy(got), np.einsum("huvk,hwxk->huvwx", x, x))
+    # Crossed labels of A and B are no mirror images.
+    y = random_ints((6, 6, 30), 0.3, 12)
+    t = sparse(spark, y)
+    assert not X.mirrored(Problem.einsum("f64", "uvk,uwk->vw", y.shape, y.shape), t, sparse(spark, y))
+    got = contract("uvk,wuk->vw", t, t, config=PlanConfig(**BLOCKS, block_size=8, partitions=2))
+    assert np.array_equal(to_numpy(got), np.einsum("uvk,wuk->vw", y, y))
+
+
+def test_choice_of_a_product_with_itself_needs_no_count_by_key(spark, monkeypatch):
+    monkeypatch.setattr(X, "key_counts", lambda *_: pytest.fail("keys counted"))
+    rows = spark.range(600 * 600).select((F.col("id") % 600).alias("s"), F.expr("id div 600").alias("p"), F.lit(1.0).alias("v"))
+    t = from_table(rows, ["s", "p"], "v", (600, 600))
+    p = Plan(Problem.einsum("f64", "sp,tp->st", t.dims, t.dims), PlanConfig(density="sparse"))
+    p.count(t, t)
+    assert p.algorithm == "block_gemm.f64" and 0 < p.report.join_rows <= 600**3
